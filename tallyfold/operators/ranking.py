@@ -83,24 +83,22 @@ def rank_cutoffs(
     want: Callable[[Column], Column],
     by: Sequence[str] = (),
     levels: int = 2,
-    by_rows: int | None = None,
+    n_cuts: int | None = None,
     natural: bool = False,
 ) -> DataFrame:
     """Rows that hold the wanted 1-based ranks: columns ``*by, rank, *order``.
 
     ``order[0]`` is a 60-bit hash, or with ``natural=True`` a numeric or time key.  ``want`` maps the
     row count of the group to an array of ranks.  Ranks outside ``1..count`` yield no row.
-    ``by_rows`` bounds the number of (group, rank) pairs, if known.
+    ``n_cuts`` is a proven bound on the number of result rows, if there is one.
     """
     by = list(by)
-    if not by:
-        by_rows = by_rows or 1
     edges, path = None, []
     for level in range(1, levels + 1):
         b = f"_b{level}"
         rows = keyed
         if edges is not None:
-            hot = small_side(edges.select(*by, *path).distinct(), by_rows)
+            hot = small_side(edges.select(*by, *path).distinct(), n_cuts)
             rows = rows.join(hot, [*by, *path], "left_semi")
         if natural:
             bounds_from = rows
@@ -114,7 +112,7 @@ def rank_cutoffs(
             group = Window.partitionBy(*by)
             counts = counts.withColumn("_want", want(F.sum("_n").over(group))).withColumn("_base", F.lit(0))
         else:
-            counts = counts.join(small_side(edges, by_rows), [*by, *path])
+            counts = counts.join(small_side(edges, n_cuts), [*by, *path])
             group = Window.partitionBy(*by, "rank")
         before = F.coalesce(F.sum("_n").over(group.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counts = counts.withColumn("_base", (F.col("_base") + before).cast("bigint"))
@@ -127,7 +125,7 @@ def rank_cutoffs(
             edges = counts.where((F.col("rank") > F.col("_base")) & (F.col("rank") <= upto)).select(
                 *by, *path, "_base", "rank"
             )
-    last = keyed.join(small_side(edges, by_rows), [*by, *path])
+    last = keyed.join(small_side(edges, n_cuts), [*by, *path])
     place = F.row_number().over(Window.partitionBy(*by, "rank").orderBy(*order))
     return (
         last.withColumn("_base", F.col("rank") - F.col("_base") - place)
@@ -148,7 +146,7 @@ def at_or_before_rank(
     df: DataFrame, row_id: str, want: Callable[[Column], Column], seed: int = 42, hash: str = "md5", levels: int = 2
 ) -> Column:
     """Boolean column: the row is among the first ``want(count)`` rows of the seeded order."""
-    cut = rank_cutoffs(_hashed(df, row_id, seed, hash), ["_h", "_id"], lambda n: F.array(want(n)), levels=levels)
+    cut = rank_cutoffs(_hashed(df, row_id, seed, hash), ["_h", "_id"], lambda n: F.array(want(n)), levels=levels, n_cuts=1)
     cut = cut.select(F.struct("_h", "_id").alias("cut")).scalar()
     return F.coalesce(_place(row_id, seed, hash) <= cut, F.lit(False))
 
@@ -196,7 +194,7 @@ def stratified_sample(
         lambda total: F.array(F.least(wanted, total).cast("bigint")),
         by=[class_col],
         levels=levels,
-        by_rows=len(sizes),
+        n_cuts=len(sizes),
     ).select(class_col, F.struct("_h", "_id").alias("_cut"))
     return (
         classes.join(small_side(cuts, len(sizes)), class_col)
