@@ -281,7 +281,7 @@ def running_totals(
 def global_ordinal(df: DataFrame, key: str, name: str = "ordinal", fan: int = 32) -> DataFrame:
     """0-based position of every row along a unique numeric or time key."""
     ranked = running_totals(df, [key], {"_pos": F.lit(1).cast("bigint")}, fan=fan)
-    return ranked.withColumn(name, F.col("_pos") - 1).drop("_pos")
+    return ranked.select(*df.columns, (F.col("_pos") - 1).alias(name))
 
 
 def shuffle_rank(df: DataFrame, row_id: str, seed: int = 42, hash: str = "md5", name: str = "shuffle_rank") -> DataFrame:
@@ -290,4 +290,4 @@ def shuffle_rank(df: DataFrame, row_id: str, seed: int = 42, hash: str = "md5",
     ranked = running_totals(
         hashed, ["_h", row_id], {"_pos": F.lit(1).cast("bigint")}, bucket=hash_bucket("_h")
     )
-    return ranked.withColumn(name, F.col("_pos")).drop("_pos", "_h")
+    return ranked.select(*df.columns, F.col("_pos").alias(name))
