@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once per row.
+
+    Inside a lambda a column that is itself an expression would be worked out again for every element
+    once the optimizer merges projections or pushes a filter down; a lambda variable never is.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def file_stem(path: Column) -> Column:
     """Base name of a path up to its first dot."""
     return F.substring_index(F.substring_index(path, "/", -1), ".", 1)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.hashing import fold, hasher
+from tallyfold.functions.scalars import let
 from tallyfold.operators.labels import encode_category
 
 # ASCII white space only, so that every engine cuts words alike.
@@ -31,20 +32,24 @@ def token_chain_bits(df: DataFrame, text: str, radius: int, n_bits: int, name: s
     space, are hashed as ``k:words`` and folded.  The neighbourhood of radius k grows from the one of
     radius k - 1, so each word costs radius + 1 hashes.
     """
+    return df.withColumn(name, token_chain(F.col(text), radius, n_bits, hash))
+
+
+def token_chain(text: Column, radius: int, n_bits: int, hash: str = "md5") -> Column:
     h = hasher(hash)
-    df = df.withColumn("_t", words(F.col(text))).withColumn("_w0", F.col("_t"))
 
-    def wider(k: int) -> Callable[[Column, Column], Column]:
-        return lambda w, i: F.concat_ws(" ", F.get("_t", i - F.lit(k)), w, F.get("_t", i + F.lit(k)))
+    def folded(near: Column, k: int) -> Column:
+        return F.transform(near, lambda w: fold(h(F.concat(F.lit(f"{k}:"), w)), n_bits))
 
-    def folded(k: int) -> Callable[[Column], Column]:
-        return lambda w: fold(h(F.concat(F.lit(f"{k}:"), w)), n_bits)
+    def rounds_from(tokens: Column, near: Column, k: int) -> Column:
+        """Bits of rounds k..radius, given the neighbourhoods of round k."""
+        if k == radius:
+            return folded(near, k)
+        step = F.lit(k + 1)
+        wider = F.transform(near, lambda w, i: F.concat_ws(" ", F.get(tokens, i - step), w, F.get(tokens, i + step)))
+        return F.concat(folded(near, k), let(wider, lambda w: rounds_from(tokens, w, k + 1)))
 
-    for k in range(1, radius + 1):
-        df = df.withColumn(f"_w{k}", F.transform(f"_w{k - 1}", wider(k)))
-    rounds = [F.transform(f"_w{k}", folded(k)) for k in range(radius + 1)]
-    bits = F.array_sort(F.array_distinct(F.concat(*rounds)))
-    return df.withColumn(name, bits).drop("_t", *[f"_w{k}" for k in range(radius + 1)])
+    return F.array_sort(F.array_distinct(let(words(text), lambda t: rounds_from(t, t, 0))))
 
 
 @dataclass(frozen=True)
@@ -121,10 +126,10 @@ PROSE_KEYS = (
     PatternKey(16, r"<p>", 3),
     PatternKey(17, r"[{}]"),
     PatternKey(18, r"[*#%]"),
-    PatternKey(19, r"\b(the|and|of)\b", 3),
-    PatternKey(20, r"\b(der|die|und)\b", 3),
-    PatternKey(21, r"\b(el|los|que)\b", 3),
-    PatternKey(22, r"\b(le|les|des)\b", 3),
+    PatternKey(19, r" (the|and|of) ", 3),
+    PatternKey(20, r" (der|die|und) ", 3),
+    PatternKey(21, r" (el|los|que) ", 3),
+    PatternKey(22, r" (le|les|des) ", 3),
     PatternKey(23, r" ", 1000),
 )
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.hashing import fold, hasher
+from tallyfold.functions.scalars import let
 
 # Symbols of the notation (bracket atom, two-letter atoms, one-letter atoms, ring labels, branches, bonds).
 SYMBOL = r"(\[[^\]]+\]|Br|Cl|[BCNOSPFIbcnosp]|%[0-9]{2}|[0-9]|[()]|[-=#$:/\\.])"
@@ -88,19 +89,18 @@ def parse_notation(df: DataFrame, text: str, name: str = "graph") -> DataFrame:
         F.lit(False).alias("bad"),
     ).cast(_STATE)
     source = F.coalesce(F.col(text), F.lit(""))
-    read = (
-        df.withColumn("_sym", F.regexp_extract_all(source, F.lit(SYMBOL), F.lit(1)))
-        .withColumn("_end", F.aggregate("_sym", start, _step))
-        .withColumn("_len", F.length(F.array_join("_sym", "")))
-    )
-    ok = (
-        (F.col("_len") == F.length(source))
-        & ~F.col("_end.bad")
-        & (F.size("_end.stack") == 0)
-        & (F.size("_end.open") == 0)
-    )
-    graph = F.struct(F.col("_end.atoms").alias("atoms"), F.col("_end.edges").alias("edges"), ok.alias("parse_ok"))
-    return read.withColumn(name, graph).drop("_sym", "_end", "_len")
+
+    def finish(symbols: Column, end: Column) -> Column:
+        ok = (
+            (F.length(F.array_join(symbols, "")) == F.length(source))
+            & ~end["bad"]
+            & (F.size(end["stack"]) == 0)
+            & (F.size(end["open"]) == 0)
+        )
+        return F.struct(end["atoms"].alias("atoms"), end["edges"].alias("edges"), ok.alias("parse_ok"))
+
+    symbols = F.regexp_extract_all(source, F.lit(SYMBOL), F.lit(1))
+    return df.withColumn(name, let(symbols, lambda s: let(F.aggregate(s, start, _step), lambda end: finish(s, end))))
 
 
 def notation_tables(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -201,36 +201,47 @@ def notation_bits(
     df: DataFrame, text: str, radius: int, n_bits: int, name: str = "bits", hash: str = "md5"
 ) -> DataFrame:
     """The same fingerprint for graphs written as strings, as a projection of the row."""
+    parsed = parse_notation(df, text, "_g")
+    bits = let(F.col("_g"), lambda g: _row_graph_bits(g["atoms"], g["edges"], radius, n_bits, hash))
+    return parsed.withColumn(name, bits).drop("_g")
+
+
+def _row_graph_bits(atoms: Column, edges: Column, radius: int, n_bits: int, hash: str) -> Column:
     h = hasher(hash)
-    df = parse_notation(df, text, "_g")
-    flip = lambda e: F.struct(e["dst"].alias("src"), e["src"].alias("dst"), e["bond"].alias("bond"))
-    df = df.withColumn("_links", F.concat("_g.edges", F.transform("_g.edges", flip)))
-    df = df.withColumn(
-        "_near", F.transform("_g.atoms", lambda a, i: F.filter("_links", lambda e: e["src"] == i))
-    ).withColumn(
-        "_h0",
-        F.transform("_g.atoms", lambda a, i: h(F.concat_ws(":", a, F.size(F.get("_near", i)).cast("string")))),
-    )
 
-    def grow(k: int) -> Column:
-        last = f"_h{k - 1}"
+    def flip(e: Column) -> Column:
+        return F.struct(e["dst"].alias("src"), e["src"].alias("dst"), e["bond"].alias("bond"))
+
+    def neighbours(links: Column) -> Column:
+        return F.transform(atoms, lambda a, i: F.filter(links, lambda e: e["src"] == i))
+
+    def first(near: Column) -> Column:
+        return F.transform(atoms, lambda a, i: h(F.concat_ws(":", a, F.size(F.get(near, i)).cast("string"))))
+
+    def grow(near: Column, last: Column, k: int) -> Column:
         zero = F.lit(0).cast("bigint")
 
-        def node(near: Column, i: Column) -> Column:
-            sent = F.transform(near, lambda e: h(_message_text(e["bond"], F.get(last, e["dst"]))))
+        def node(links: Column, i: Column) -> Column:
             total = F.aggregate(
-                sent,
+                F.transform(links, lambda e: h(_message_text(e["bond"], F.get(last, e["dst"])))),
                 F.struct(zero.alias("hi"), zero.alias("lo")),
                 lambda s, m: F.struct((s["hi"] + _high(m)).alias("hi"), (s["lo"] + _low(m)).alias("lo")),
                 lambda s: F.concat_ws(":", s["hi"].cast("string"), s["lo"].cast("string")),
             )
             own = F.get(last, i).cast("string")
-            return h(F.concat_ws(":", F.lit(str(k)), own, F.size(near).cast("string"), total))
+            return h(F.concat_ws(":", F.lit(str(k)), own, F.size(links).cast("string"), total))
 
-        return F.transform("_near", node)
+        return F.transform(near, node)
 
-    for k in range(1, radius + 1):
-        df = df.withColumn(f"_h{k}", grow(k))
-    every = F.concat(*[F.col(f"_h{k}") for k in range(radius + 1)])
-    bits = F.array_sort(F.array_distinct(F.transform(every, lambda v: fold(v, n_bits))))
-    return df.withColumn(name, bits).drop("_g", "_links", "_near", *[f"_h{k}" for k in range(radius + 1)])
+    def rounds_from(near: Column, last: Column, k: int) -> Column:
+        bits = F.transform(last, lambda v: fold(v, n_bits))
+        if k == radius:
+            return bits
+        return F.concat(bits, let(grow(near, last, k + 1), lambda v: rounds_from(near, v, k + 1)))
+
+    links = F.concat(edges, F.transform(edges, flip))
+    return F.array_sort(
+        F.array_distinct(
+            let(links, lambda ls: let(neighbours(ls), lambda near: let(first(near), lambda v: rounds_from(near, v, 0))))
+        )
+    )

@@ -116,7 +116,12 @@ def allot_learners(
     pool = df
     if final_size != -1:
         last = rank_cutoffs(
-            df.select(order), [order], lambda n: F.array((n - final_size).cast("bigint")), n_cuts=1, natural=True
+            df.select(order),
+            [order],
+            lambda n: F.array((n - final_size).cast("bigint")),
+            levels=1,
+            n_cuts=1,
+            natural=True,
         )
         in_pool = F.coalesce(F.col(order) <= last.select(order).scalar(), F.lit(False))
         pool = df.where(in_pool)
