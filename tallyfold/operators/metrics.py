@@ -34,7 +34,7 @@ def accuracy(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> D
 
 
 def binary_metrics(
-    df: DataFrame, score: str, label: str, by: Sequence[str] = (), threshold: float = 0.5, fan: int = 32
+    df: DataFrame, score: str, label: str, by: Sequence[str] = (), threshold: float = 0.5, key_bits: int = 10
 ) -> DataFrame:
     """``*by, roc_auc, average_precision, accuracy, n_pos, n_neg``.
 
@@ -43,7 +43,7 @@ def binary_metrics(
     by = list(by)
     counts = score_counts(df, score, label, by)
     curve = running_totals(
-        counts, ["score"], {"tp": F.col("pos"), "fp": F.col("neg")}, by=by, descending=True, fan=fan
+        counts, ["score"], {"tp": F.col("pos"), "fp": F.col("neg")}, by=by, descending=True, key_bits=key_bits
     )
     big = "decimal(38,0)"
     pairs2 = F.col("neg").cast("decimal(20,0)") * (2 * F.col("tp") - F.col("pos")).cast("decimal(18,0)")

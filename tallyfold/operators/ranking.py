@@ -42,26 +42,23 @@ def _no_rows(df: DataFrame) -> DataFrame:
 
 
 def with_quantile_bucket(
-    df: DataFrame, key: str, name: str, fan: int = 32, bounds_from: DataFrame | None = None
+    df: DataFrame, key: str, name: str, bits: int = 10, bounds_from: DataFrame | None = None
 ) -> DataFrame:
-    """Add a monotone bucket number of a numeric or time ``key``: ``fan * fan`` buckets of even size.
+    """Add a monotone bucket number of a numeric or time ``key``: ``2 ** bits`` buckets of even size.
 
-    The bounds are one scalar subquery over ``bounds_from``.  A row looks its bucket up in two steps of
-    ``fan - 1`` comparisons, all inside generated code.
+    The bounds are one scalar subquery over ``bounds_from``.  A row finds its bucket by binary search, one
+    short step per bit, inside generated code.
     """
-    n = fan * fan
+    n = 2**bits
     # written as SQL text: a thousand literals built one by one cost seconds of driver time
     probs = ", ".join(f"{i / n!r}D" for i in range(1, n))
-    k = f"`{key}`"
-    bounds = (bounds_from or df).agg(F.expr(f"percentile_approx({k}, array({probs}), {10 * n})")).scalar()
-    coarse = " + ".join(f"cast(get(_q, {i * fan - 1}) < {k} as int)" for i in range(1, fan))
-    fine = " + ".join(f"cast(coalesce(get(_q, _c + {i}) < {k}, false) as int)" for i in range(fan - 1))
-    return (
-        df.withColumn("_q", bounds)
-        .withColumn("_c", F.expr(f"coalesce({fan} * ({coarse}), 0)"))
-        .withColumn(name, F.expr(f"_c + {fine}"))
-        .drop("_q", "_c")
-    )
+    bounds = (bounds_from or df).agg(F.expr(f"percentile_approx(`{key}`, array({probs}), {10 * n})")).scalar()
+    df = df.withColumn("_q", bounds).withColumn("_s", F.lit(0))
+    # each step refers to the last one twice, so the optimizer keeps the steps apart instead of nesting them
+    for half in (2**i for i in reversed(range(bits))):
+        past = f"coalesce(get(_q, _s + {half - 1}) < `{key}`, false)"
+        df = df.withColumn("_s", F.expr(f"_s + if({past}, {half}, 0)"))
+    return df.withColumn(name, F.col("_s")).drop("_q", "_s")
 
 
 def hash_bucket(h: str | Column, bits: int = LEVEL_BITS) -> Column:
@@ -80,14 +77,14 @@ def rank_cutoffs(
     levels: int = 2,
     n_cuts: int | None = None,
     natural: bool = False,
-    fan: int = 64,
+    key_bits: int = 12,
 ) -> DataFrame:
     """Rows that hold the wanted 1-based ranks: columns ``*by, rank, *order``.
 
     ``order[0]`` is a 60-bit hash, or with ``natural=True`` a numeric or time key.  ``want`` maps the
     row count of the group to an array of ranks.  Ranks outside ``1..count`` yield no row.
-    A level narrows the search by 4096 (``fan ** 2`` for a natural key), so one level of a natural key
-    leaves a 4096th of the rows for the last step and two levels of a hash a 16-millionth.
+    A level narrows the search by 4096 (``2 ** key_bits`` for a natural key), so two levels of a hash
+    leave a 16-millionth of the rows for the last step.
     ``n_cuts`` is a proven bound on the number of result rows, if there is one.
     """
     by = list(by)
@@ -100,8 +97,8 @@ def rank_cutoffs(
             rows = rows.join(hot, [*by, *path], "left_semi")
         if natural:
             bounds_from = rows
-            keyed = with_quantile_bucket(keyed, order[0], b, fan, bounds_from)
-            rows = with_quantile_bucket(rows, order[0], b, fan, bounds_from)
+            keyed = with_quantile_bucket(keyed, order[0], b, key_bits, bounds_from)
+            rows = with_quantile_bucket(rows, order[0], b, key_bits, bounds_from)
         else:
             keyed = keyed.withColumn(b, hash_bucket(order[0], LEVEL_BITS * level))
             rows = rows.withColumn(b, hash_bucket(order[0], LEVEL_BITS * level))
@@ -244,12 +241,12 @@ def running_totals(
     by: Sequence[str] = (),
     bucket: Column | None = None,
     descending: bool = False,
-    fan: int = 32,
+    key_bits: int = 10,
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` along ``order`` within ``by``, exact for a unique order."""
     by = list(by)
     if bucket is None:
-        tagged = with_quantile_bucket(df, order[0], "_b", fan)
+        tagged = with_quantile_bucket(df, order[0], "_b", key_bits)
     else:
         tagged = df.withColumn("_b", bucket)
     if descending:
@@ -264,7 +261,7 @@ def running_totals(
         F.col("_b").alias("_g_b"),
         *[F.coalesce(F.sum(f"_t_{name}").over(ahead), F.lit(0)).alias(f"_o_{name}") for name in sums],
     )
-    n_buckets = fan * fan if bucket is None else 2**LEVEL_BITS
+    n_buckets = 2**key_bits if bucket is None else 2**LEVEL_BITS
     same = F.col("_b") == F.col("_g_b")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
@@ -276,9 +273,9 @@ def running_totals(
     )
 
 
-def global_ordinal(df: DataFrame, key: str, name: str = "ordinal", fan: int = 32) -> DataFrame:
+def global_ordinal(df: DataFrame, key: str, name: str = "ordinal", key_bits: int = 10) -> DataFrame:
     """0-based position of every row along a unique numeric or time key."""
-    ranked = running_totals(df, [key], {"_pos": F.lit(1).cast("bigint")}, fan=fan)
+    ranked = running_totals(df, [key], {"_pos": F.lit(1).cast("bigint")}, key_bits=key_bits)
     return ranked.select(*df.columns, (F.col("_pos") - 1).alias(name))
 
 

@@ -73,7 +73,7 @@ def top_up_positives(
     target_ratio: float,
     neg: int | None = None,
     pos: int | None = None,
-    seed: int = 42,
+    seed: int = 43,
     hash: str = "md5",
     debug_rows: int | None = None,
 ) -> DataFrame:
@@ -81,7 +81,8 @@ def top_up_positives(
 
     ``neg`` and ``pos`` are the counts the ratio is based on; by default those of ``candidates``.
     The sample is drawn from all positive candidates and then loses rows already in ``working``, so
-    it may add fewer than asked for; asking for more than exist is an error.  ``debug_rows`` keeps
+    it may add fewer than asked for; asking for more than exist is an error.  ``seed`` must not be the
+    one that drew ``working``: the same order would draw the same rows again.  ``debug_rows`` keeps
     the first so many of the added rows by id.
     """
     if neg is None or pos is None:

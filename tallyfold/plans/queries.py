@@ -386,7 +386,7 @@ STAGED_ROWS = (
 
 
 def staged_rows(spark, d):
-    rows = table(spark, d, "orders").select(
+    rows = spread(table(spark, d, "orders").select("o_orderkey", "o_orderstatus")).select(
         "o_orderkey", "o_orderstatus", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("round")
     )
     key = F.col("o_orderkey").cast("string")
@@ -661,11 +661,13 @@ def f3(spark, d):
     return document_bits(spark, d).select("doc_id", joined("bits").alias("bits"))
 
 
-@query("f3_token_chain_fingerprint_fast_hash", "select doc_id, true as has_bits from documents where length(trim(text)) > 0")
+@query(
+    "f3_token_chain_fingerprint_fast_hash",
+    r"select doc_id, case when regexp_matches(text, '[^ \t\r\n]') then true end as in_range from documents",
+)
 def f3_xx(spark, d):
-    return document_bits(spark, d, "xx").where(F.size("bits") > 0).select(
-        "doc_id", (F.array_max("bits") < N_BITS).alias("has_bits")
-    )
+    """Another hash sets other bits, so only their range can be checked in SQL."""
+    return document_bits(spark, d, "xx").select("doc_id", (F.array_max("bits") < N_BITS).alias("in_range"))
 
 
 @query("f4_pattern_key_fingerprint", sql.pattern_key_sql("pages", "page_id", "html", fp.PROSE_KEYS))
@@ -706,7 +708,7 @@ def f5_edges(spark, d):
 
 @query("f6_graph_fingerprint_tables", sql.graph_bits_sql(2, N_BITS))
 def f6(spark, d):
-    nodes, edges = graphs.notation_tables(notation(spark, d), "p_partkey", "s")
+    nodes, edges = graphs.notation_tables(spread(notation(spark, d)), "p_partkey", "s")
     bits = graphs.graph_bits(nodes, edges, 2, N_BITS)
     return bits.select(F.col("graph_id").alias("p_partkey"), joined("bits").alias("bits"))
 
@@ -724,7 +726,7 @@ def coded_documents(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
     known = labels.dictionary_frame(spark, CODES)
     grown = labels.grow_dictionary(docs, "lang", "doc_id", known, len(CODES))
-    bits = fp.pattern_key_bits(docs.select("doc_id", "lang", "text"), "text", fp.PROSE_KEYS)
+    bits = fp.pattern_key_bits(spread(docs.select("doc_id", "lang", "text")), "text", fp.PROSE_KEYS)
     return fp.with_category_code(bits, "lang", grown)
 
 
@@ -794,24 +796,21 @@ SMALL = learning.BoostParams(
 )
 
 
-def labelled_features(spark, d) -> DataFrame:
-    """Feature vectors of all documents, written once and shared by training and scoring."""
+def document_features(spark, d) -> DataFrame:
+    """Bits, label, split and class weight of every document (nulls where there is no label), written once."""
     path = scratch_path(spark, "features")
-    docs = spread(documents_text(spark, d))
-    fp.token_chain_bits(docs, "text", 1, 64, hash="xx").select("doc_id", "bits").write.parquet(path)
-    bits = fp.bits_to_vector(spark.read.parquet(path), "bits", 64).drop("bits")
-    return bits.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-
-
-def documents_text(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    split = rowsets.split_train_val(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    split = labels.with_class_weight(split, "quality")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    bits = fp.token_chain_bits(docs, "text", 1, 64, hash="xx").select("doc_id", "bits")
+    bits.join(split, "doc_id", "left").write.parquet(path)
+    return fp.bits_to_vector(spark.read.parquet(path), "bits", 64).drop("bits")
 
 
 def fitted(spark, d) -> tuple[learning.BoostedModel, DataFrame, DataFrame]:
     """Model on the labelled documents; their rows with a split; and the rows without a label."""
-    rows = labelled_features(spark, d)
-    known = rowsets.split_train_val(rows.where(F.col("quality").isNotNull()), "doc_id")
-    known = labels.with_class_weight(known, "quality")
+    rows = document_features(spark, d)
+    known = rows.where(F.col("quality").isNotNull())
     model, _ = learning.train(known, "quality", SMALL, "doc_id", "split", "weight")
     return model, known, rows.where(F.col("quality").isNull())
 
@@ -938,20 +937,23 @@ def l9(spark, d):
 )
 def l5(spark, d):
     """Two weak learners on disjoint rows, then a final model on their scores for the rows kept back."""
-    rows = labelled_features(spark, d).where(F.col("quality").isNotNull())
-    n = rows.count()
-    path = scratch_path(spark, "allotment")
-    dealt = rowsets.allot_learners(rows.select("doc_id", "quality"), "doc_id", n // 3, n // 4)
-    tables.write_membership(dealt, path, "doc_id", ["learner"])
+    rows = document_features(spark, d).where(F.col("quality").isNotNull()).drop("split", "weight")
+    known = table(spark, d, "labels").select("doc_id")
+    n, path = known.count(), scratch_path(spark, "allotment")
+    tables.write_membership(rowsets.allot_learners(known, "doc_id", n // 3, n // 4), path, "doc_id", ["learner"])
     members = spark.read.parquet(path).withColumn("learner", F.col("learner").cast("string"))
+
+    def with_split(learner: str) -> DataFrame:
+        """Rows of one learner with split and weight; the row set is small and written before it is used twice."""
+        ids = rowsets.split_train_val(members.where(F.col("learner") == learner).select("doc_id"), "doc_id")
+        where = scratch_path(spark, f"learner-{learner}")
+        tables.write_table(ids, where)
+        return labels.with_class_weight(rows.join(spark.read.parquet(where), "doc_id"), "quality")
+
     weak = []
     for i in range(labels.learner_count(n, n // 4, n // 3)):
-        mine = rows.join(members.where(F.col("learner") == str(i)), "doc_id")
-        mine = rowsets.split_train_val(mine, "doc_id")
-        weak.append(learning.train(labels.with_class_weight(mine, "quality"), "quality", SMALL, "doc_id", "split", "weight")[0])
-    final = rows.join(members.where(F.col("learner") == rowsets.FINAL), "doc_id")
-    final = rowsets.split_train_val(learning.stacked_features(weak, final), "doc_id")
-    final = labels.with_class_weight(final, "quality")
+        weak.append(learning.train(with_split(str(i)), "quality", SMALL, "doc_id", "split", "weight")[0])
+    final = learning.stacked_features(weak, with_split(rowsets.FINAL))
     model, _ = learning.train(final, "quality", SMALL, "doc_id", "split", "weight")
     size = F.size(vector_to_array("features"))
     return model.score(final).select("doc_id", size.alias("n_weak"), in_unit("score").alias("in_unit"))
