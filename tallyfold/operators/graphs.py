@@ -106,9 +106,10 @@ def parse_notation(df: DataFrame, text: str, name: str = "graph") -> DataFrame:
 def notation_tables(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Node table ``(graph_id, node_id, label)`` and edge table ``(graph_id, src, dst, label)``."""
     parsed = parse_notation(df.select(F.col(row_id).alias("graph_id"), text), text)
-    nodes = parsed.select("graph_id", F.posexplode("graph.atoms").alias("node_id", "label"))
-    edges = parsed.select("graph_id", F.inline("graph.edges").alias("src", "dst", "label"))
-    return nodes, edges
+    # the outer forms keep the optimizer from parsing every string a second time just to test for emptiness
+    nodes = parsed.select("graph_id", F.posexplode_outer("graph.atoms").alias("node_id", "label"))
+    edges = parsed.select("graph_id", F.inline_outer("graph.edges").alias("src", "dst", "label"))
+    return nodes.where(F.col("node_id").isNotNull()), edges.where(F.col("src").isNotNull())
 
 
 # Neighbour hashes are summed in two 30-bit halves: sums are order-free, pre-aggregate and cannot overflow.

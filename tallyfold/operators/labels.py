@@ -28,7 +28,7 @@ def class_counts_by(df: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
 
 def class_counts_within(df: DataFrame, label: str, row_id: str, ids: DataFrame) -> DataFrame:
     """``neg, pos`` of the rows named in ``ids``."""
-    return class_counts(df.select(row_id, label).join(ids.select(row_id), row_id, "left_semi"), label)
+    return class_counts(df.select(row_id, label).join(ids.select(row_id).distinct(), row_id, "left_semi"), label)
 
 
 def value_counts(df: DataFrame, label: str) -> DataFrame:

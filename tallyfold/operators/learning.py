@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 import json
+import math
 import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators.fingerprints import assemble
 from tallyfold.operators.metrics import early_stop, round_curve
+from tallyfold.session import shared_dir
 
 
 @dataclass(frozen=True)
@@ -35,9 +37,15 @@ class BoostParams:
     others: dict = field(default_factory=dict)
 
 
+ROWS_PER_PARTITION = 250_000
+
+
 def arrange(df: DataFrame, row_id: str, partitions: int | None = None) -> DataFrame:
     """Fixed placement and order of rows, so that a refit sees the same partitions and grows the same trees."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions
+    if n is None:
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = max(least, math.ceil(df.count() / ROWS_PER_PARTITION))
     return df.repartition(n, row_id).sortWithinPartitions(row_id)
 
 
@@ -62,6 +70,7 @@ def fit_trees(df: DataFrame, label: str, params: BoostParams, row_id: str, weigh
     )
     if weight:
         learner = learner.setWeightCol("weight")
+    shared_dir(df.sparkSession)  # the lineage of many rounds is cut by checkpoints there
     return learner.fit(arrange(df.select(*columns), row_id, params.partitions).drop(row_id))
 
 

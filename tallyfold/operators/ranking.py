@@ -52,7 +52,7 @@ def with_quantile_bucket(
     n = 2**bits
     # written as SQL text: a thousand literals built one by one cost seconds of driver time
     probs = ", ".join(f"{i / n!r}D" for i in range(1, n))
-    bounds = (bounds_from or df).agg(F.expr(f"percentile_approx(`{key}`, array({probs}), {10 * n})")).scalar()
+    bounds = (bounds_from or df).agg(F.expr(f"percentile_approx(`{key}`, array({probs}), {4 * n})")).scalar()
     df = df.withColumn("_q", bounds).withColumn("_s", F.lit(0))
     # each step refers to the last one twice, so the optimizer keeps the steps apart instead of nesting them
     for half in (2**i for i in reversed(range(bits))):
@@ -130,7 +130,9 @@ def rank_cutoffs(
 
 
 def _hashed(df: DataFrame, row_id: str, seed: int, hash: str, keep: Sequence[str] = ()) -> DataFrame:
-    return df.select(*keep, row_hash(row_id, seed, hash).alias("_h"), F.col(row_id).alias("_id"))
+    # never null, or every join on its buckets would hash each row once more to test for null
+    h = F.coalesce(row_hash(row_id, seed, hash), F.lit(0).cast("bigint"))
+    return df.select(*keep, h.alias("_h"), F.col(row_id).alias("_id"))
 
 
 def _place(row_id: str, seed: int, hash: str) -> Column:

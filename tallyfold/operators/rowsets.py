@@ -17,13 +17,13 @@ MAX_LEARNERS = 10_000
 
 
 def keep_ids(df: DataFrame, row_id: str, ids: DataFrame) -> DataFrame:
-    """Rows named in ``ids``."""
-    return df.join(ids.select(row_id), row_id, "left_semi")
+    """Rows named in ``ids``; repeated ids collapse before the shuffle, so a hot one costs nothing."""
+    return df.join(ids.select(row_id).distinct(), row_id, "left_semi")
 
 
 def drop_ids(df: DataFrame, row_id: str, ids: DataFrame) -> DataFrame:
     """Rows not named in ``ids``."""
-    return df.join(ids.select(row_id), row_id, "left_anti")
+    return df.join(ids.select(row_id).distinct(), row_id, "left_anti")
 
 
 def id_difference(left: DataFrame, right: DataFrame, row_id: str) -> DataFrame:
@@ -65,6 +65,34 @@ def positives_wanted(neg: int, pos: int, target_ratio: float) -> int:
     return math.floor(neg / target_ratio - pos)
 
 
+def select_training_rows(
+    df: DataFrame,
+    row_id: str,
+    label: str,
+    train_size: int = -1,
+    add_positives: int = 0,
+    train_share: float = 0.8,
+    seed: int = 42,
+    hash: str = "md5",
+    name: str = "split",
+) -> DataFrame:
+    """Cap, positive top-up and train / validation split in one row-wise pass.
+
+    The top-up draws ``add_positives`` of the positives of ``df``; those beyond the cap are added.
+    Each choice is a comparison with a cutoff row, so whole rows, texts included, never move.
+    """
+    if train_size == -1:
+        selected = df
+    else:
+        chosen = at_or_before_rank(df, row_id, lambda n: F.least(F.lit(train_size), n).cast("bigint"), seed, hash)
+        if add_positives:
+            positive = df.where(F.col(label) == 1)
+            drawn = at_or_before_rank(positive, row_id, lambda n: F.lit(add_positives).cast("bigint"), seed + 1, hash)
+            chosen = chosen | ((F.col(label) == 1) & drawn)
+        selected = df.where(chosen)
+    return split_train_val(selected, row_id, train_share, seed + 2, hash, name)
+
+
 def top_up_positives(
     working: DataFrame,
     candidates: DataFrame,

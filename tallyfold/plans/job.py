@@ -7,7 +7,7 @@ executor costs a re-read, never a recomputation from the start.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
@@ -16,11 +16,25 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.scalars import add_code
 from tallyfold.operators import fingerprints as fp
-from tallyfold.operators.labels import class_counts, dictionary_frame, grow_dictionary, learner_count
-from tallyfold.operators.learning import BoostedModel, stacked_features, trainer
+from tallyfold.operators.labels import (
+    class_counts,
+    dictionary_frame,
+    grow_dictionary,
+    learner_count,
+    with_class_weight,
+)
+from tallyfold.operators.learning import BoostedModel, trainer, weak_scores
 from tallyfold.operators.metrics import METRICS, binary_metrics
 from tallyfold.operators.ranking import debug_subset, small_side
-from tallyfold.operators.rowsets import FINAL, allot_learners, cap_train_size, keep_ids, split_train_val, top_up_positives
+from tallyfold.operators.rowsets import (
+    FINAL,
+    allot_learners,
+    cap_train_size,
+    positives_wanted,
+    select_training_rows,
+    split_train_val,
+    top_up_positives,
+)
 from tallyfold.plans.params import ENSEMBLE, Columns, FeatureParams, JobParams
 from tallyfold.sources import tables
 
@@ -42,16 +56,44 @@ def normalise(df: DataFrame, columns: Columns, labelled: bool) -> DataFrame:
     return df.select(*picked)
 
 
-def select_rows(rows: DataFrame, whole: DataFrame, params: JobParams) -> tuple[DataFrame, int, int]:
-    """``row_id, label, split`` of one learner, and the class counts of its rows before selection."""
-    counts = class_counts(rows, LABEL).first()
-    working = rows.select(ID, LABEL)
-    if params.debug:
-        working = debug_subset(working, ID, params.debug_rows, params.seed)
+@dataclass
+class Selection:
+    """Chosen rows with their ``split``, and what the class weight depends on."""
+
+    rows: DataFrame
+    neg: int
+    pos: int
+    base_rows: int
+    topped_up: bool
+
+    def weight(self, params: JobParams, n_selected: int) -> float:
+        """neg / pos after the top-up; without one, the configured weight comes first."""
+        if self.topped_up:
+            return self.neg / (self.pos + n_selected - self.base_rows)
+        return params.model.scale_pos_weight or self.neg / self.pos
+
+
+def select_rows(rows: DataFrame, whole: DataFrame, params: JobParams) -> Selection:
+    """Cap, top-up and split of one model's rows.
+
+    ``rows`` are the model's own, ``whole`` the table that class counts fall back to when positives may
+    come from anywhere.
+    """
+    own = params.top_up_from == "own"
+    counts = class_counts(rows if own else whole, LABEL).first()
+    wanted = positives_wanted(counts.neg, counts.pos, params.target_scale_pos_weight)
+    n_rows = min(rows.count(), params.debug_rows) if params.debug else rows.count()
+    base_rows = n_rows if params.train_size == -1 else min(n_rows, params.train_size)
+    if not params.debug and (own or not wanted):
+        if wanted > counts.pos:
+            raise ValueError(f"cannot draw {wanted} of {counts.pos} positive rows without replacement")
+        picked = select_training_rows(rows, ID, LABEL, params.train_size, wanted, params.train_share, params.seed + 1)
+        return Selection(picked, counts.neg, counts.pos, base_rows, wanted > 0)
+    working = debug_subset(rows, ID, params.debug_rows, params.seed) if params.debug else rows
     working = cap_train_size(working, ID, params.train_size, params.seed + 1)
     working = top_up_positives(
         working,
-        (rows if params.top_up_from == "own" else whole).select(ID, LABEL),
+        rows if own else whole,
         ID,
         LABEL,
         params.target_scale_pos_weight,
@@ -60,7 +102,8 @@ def select_rows(rows: DataFrame, whole: DataFrame, params: JobParams) -> tuple[D
         params.seed + 2,
         debug_rows=params.debug_added if params.debug else None,
     )
-    return split_train_val(working, ID, params.train_share, params.seed + 3), counts.neg, counts.pos
+    picked = split_train_val(working, ID, params.train_share, params.seed + 3)
+    return Selection(picked, counts.neg, counts.pos, base_rows, wanted > 0)
 
 
 def build_features(df: DataFrame, features: FeatureParams, dictionary: DataFrame | None, keep: list[str]) -> DataFrame:
@@ -98,35 +141,31 @@ def _rewrite(df: DataFrame, path: str, **options) -> DataFrame:
 
 
 def _train_one(
-    spark: SparkSession,
-    selected: DataFrame,
-    neg: int,
-    pos: int,
-    taken: int,
-    features: DataFrame,
+    stored: DataFrame,
+    vectors: Callable[[DataFrame], DataFrame],
+    chosen: Selection,
     test: DataFrame,
     params: JobParams,
     out_dir: str,
     input_name: str,
 ) -> tuple[BoostedModel, dict]:
-    """Train, validate and score the test table for one model; ``features`` and ``test`` hold vectors."""
-    members = _rewrite(selected, f"{out_dir}/membership", partition_by=["split"])
-    added = members.count() - taken
-    weight = params.model.scale_pos_weight or neg / (pos + added)
-    rows = features.join(members.select(ID, LABEL, "split"), ID)
-    rows = rows.withColumn("weight", F.when(F.col(LABEL) == 1, F.lit(weight)).otherwise(F.lit(1.0)))
+    """Train and validate on the stored rows of one model, then score the test table."""
+    spark = stored.sparkSession
+    tables.write_membership(stored, f"{out_dir}/membership", ID, [LABEL, "split"], mode="overwrite")
+    weight = chosen.weight(params, stored.count())
+    rows = with_class_weight(vectors(stored), LABEL, weight)
     model, curve = trainer(params.trainer)(rows, LABEL, params.model, ID, "split", "weight")
     model.save(out_dir)
     if curve is not None:
         tables.write_csv(curve.orderBy("round", "split"), f"{out_dir}/rounds.csv", mode="overwrite")
-    scored = _rewrite(
-        model.score(rows.where(F.col("split") == "val")).select(ID, LABEL, "score"), f"{out_dir}/val_scores"
-    )
-    metrics = binary_metrics(scored, "score", LABEL).select(*METRICS)
-    tables.write_csv(metrics, tables.metrics_path(out_dir, input_name, spark), mode="overwrite")
+    val = model.score(rows.where(F.col("split") == "val")).select(ID, LABEL, "score")
+    metrics = binary_metrics(_rewrite(val, f"{out_dir}/val_scores"), "score", LABEL).select(*METRICS)
+    metrics = metrics.first().asDict()
+    table = spark.createDataFrame([metrics], ", ".join(f"{m} double" for m in METRICS))
+    tables.write_csv(table, tables.metrics_path(out_dir, input_name, spark), mode="overwrite")
     answer = tables.submission(model.score(test), ID, "score", "binds")
     tables.write_csv(answer, f"{out_dir}/submission.csv", mode="overwrite")
-    return model, metrics.first().asDict()
+    return model, metrics
 
 
 def run_job(
@@ -141,7 +180,7 @@ def run_job(
 ) -> JobResult:
     """Run the whole pipeline.
 
-    Writes ``config``, ``membership`` (by split), ``model``, ``rounds.csv``, ``{input}_metrics.csv`` and
+    Writes ``config``, ``membership``, ``model``, ``rounds.csv``, ``{input}_metrics.csv`` and
     ``submission.csv`` under ``out_dir``, and the same under ``weak_learner_{i}`` for every weak learner.
     """
     out_dir = out_dir.rstrip("/")
@@ -153,64 +192,49 @@ def run_job(
     if columns.category:
         known = dictionary_frame(spark, codes or {})
         grown = _rewrite(grow_dictionary(whole, CATEGORY, ID, known, len(codes or {})), f"{out_dir}/codes_train")
-        n = grown.count()
-        grown = _rewrite(grow_dictionary(test, CATEGORY, ID, grown, n), f"{out_dir}/codes")
+        grown = _rewrite(grow_dictionary(test, CATEGORY, ID, grown, grown.count()), f"{out_dir}/codes")
         dictionary = small_side(grown, grown.count())
 
-    ensemble = params.kind == ENSEMBLE
-    base = params.weak if ensemble else params
-    n_bits = bit_length(base.features)
-
-    def vectors(df: DataFrame, path: str, keep: list[str]) -> DataFrame:
-        return vectorise(_rewrite(build_features(df, base.features, dictionary, keep), path), n_bits, base.code_mode)
+    base = params.weak if params.kind == ENSEMBLE else params
 
-    test_vectors = vectors(test, f"{out_dir}/features_test", [])
+    def vectors(df: DataFrame) -> DataFrame:
+        return vectorise(df, bit_length(base.features), base.code_mode)
 
-    def size_of(n_rows: int, p: JobParams) -> int:
-        n_rows = min(n_rows, p.debug_rows) if p.debug else n_rows
-        return n_rows if p.train_size == -1 else min(n_rows, p.train_size)
+    # texts are read to make bits, once per table, and never again
+    test_rows = vectors(_rewrite(build_features(test, base.features, dictionary, []), f"{out_dir}/features_test"))
 
-    if not ensemble:
-        selected, neg, pos = select_rows(whole, whole, params)
-        n_rows = whole.count()
-        # ids first, text second: only selected rows are fingerprinted
-        ids = _rewrite(selected, f"{out_dir}/selected")
-        features = vectors(keep_ids(whole, ID, ids), f"{out_dir}/features_train", [])
-        model, metrics = _train_one(
-            spark, ids, neg, pos, size_of(n_rows, params), features, test_vectors, params, out_dir, input_name
-        )
+    if params.kind != ENSEMBLE:
+        chosen = select_rows(whole, whole, params)
+        made = build_features(chosen.rows, base.features, dictionary, [LABEL, "split"])
+        stored = _rewrite(made, f"{out_dir}/features_train", partition_by=["split"])
+        model, metrics = _train_one(stored, vectors, chosen, test_rows, params, out_dir, input_name)
         return JobResult(model, [], metrics, out_dir)
 
     k = learner_count(whole.count(), params.train_size, params.weak.train_size)
-    dealt = allot_learners(
-        whole.select(ID, LABEL), ID, params.weak.train_size, params.train_size, order=ID, seed=params.seed
-    )
-    dealt = _rewrite(dealt, f"{out_dir}/allotment", partition_by=["learner"])
-    features = vectors(whole, f"{out_dir}/features_train", [])
+    dealt = allot_learners(whole, ID, params.weak.train_size, params.train_size, order=ID, seed=params.seed)
+    made = build_features(dealt, base.features, dictionary, [LABEL, "learner"])
+    # one folder per learner; rebalancing keeps files few for small learners and splits the large final set
+    dealt = _rewrite(made.hint("rebalance", "learner"), f"{out_dir}/features_train", partition_by=["learner"])
+    dealt = dealt.withColumn("learner", F.col("learner").cast("string"))
     weak: list[BoostedModel] = []
     for i in range(k):
-        mine = dealt.where(F.col("learner") == str(i))
-        selected, neg, pos = select_rows(mine, dealt, params.weak)
         where = f"{out_dir}/weak_learner_{i}"
-        taken = size_of(mine.count(), params.weak)
-        model, _ = _train_one(spark, selected, neg, pos, taken, features, test_vectors, params.weak, where, input_name)
-        weak.append(model)
-    mine = dealt.where(F.col("learner") == FINAL)
-    counts = class_counts(whole, LABEL).first()
-    selected, _, _ = select_rows(mine, dealt, params)
-    ids = _rewrite(selected, f"{out_dir}/selected")
-    stacked = stacked_features(weak, keep_ids(features, ID, ids)).select(ID, "features")
-    stacked_test = stacked_features(weak, test_vectors).select(ID, "features")
+        chosen = select_rows(dealt.where(F.col("learner") == str(i)), dealt, params.weak)
+        stored = _rewrite(chosen.rows, f"{where}/features_train", partition_by=["split"])
+        weak.append(_train_one(stored, vectors, chosen, test_rows, params.weak, where, input_name)[0])
+
+    def weak_score_vectors(df: DataFrame) -> DataFrame:
+        return fp.assemble(df, [f"weak_{i}" for i in range(k)])
+
+    chosen = select_rows(dealt.where(F.col("learner") == FINAL), dealt, params)
+    scored = weak_scores(weak, vectors(chosen.rows)).drop("features")
+    stored = _rewrite(scored, f"{out_dir}/weak_scores_train", partition_by=["split"])
+    scored_test = _rewrite(weak_scores(weak, test_rows).drop("features"), f"{out_dir}/weak_scores_test")
+    # class counts of the whole table, as the final model stands for all of it
+    totals = class_counts(dealt, LABEL).first()
+    if not chosen.topped_up:
+        chosen.neg, chosen.pos = totals.neg, totals.pos
     model, metrics = _train_one(
-        spark,
-        ids,
-        counts.neg,
-        counts.pos,
-        size_of(mine.count(), params),
-        stacked,
-        stacked_test,
-        params,
-        out_dir,
-        input_name,
+        stored, weak_score_vectors, chosen, weak_score_vectors(scored_test), params, out_dir, input_name
     )
     return JobResult(model, weak, metrics, out_dir)

@@ -709,7 +709,10 @@ def f5_edges(spark, d):
 @query("f6_graph_fingerprint_tables", sql.graph_bits_sql(2, N_BITS))
 def f6(spark, d):
     nodes, edges = graphs.notation_tables(spread(notation(spark, d)), "p_partkey", "s")
-    bits = graphs.graph_bits(nodes, edges, 2, N_BITS)
+    at = scratch_path(spark, "graphs")
+    tables.write_table(nodes, f"{at}/nodes")
+    tables.write_table(edges, f"{at}/edges")
+    bits = graphs.graph_bits(spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges"), 2, N_BITS)
     return bits.select(F.col("graph_id").alias("p_partkey"), joined("bits").alias("bits"))
 
 

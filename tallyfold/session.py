@@ -27,9 +27,11 @@ def local_session(cores: int | str = 8, name: str = "tallyfold", memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names, or a temporary one when none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
     if named:
+        if not current:
+            spark.sparkContext.setCheckpointDir(named)  # boosting cuts its lineage there
         return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
