@@ -44,8 +44,8 @@ ID, TEXT, LABEL, CATEGORY = "row_id", "text", "label", "category"
 def normalise(df: DataFrame, columns: Columns, labelled: bool) -> DataFrame:
     """``row_id, text[, label][, category]`` under fixed names; only these columns are ever read."""
     need = [columns.text, *([columns.label] if labelled else []), *([columns.category] if columns.category else [])]
-    tables.require_columns(df, [*need, *([columns.row_id] if columns.row_id else [])])
-    row_id = columns.row_id
+    row_id = columns.row_id if labelled else columns.test_id or columns.row_id
+    tables.require_columns(df, [*need, *([row_id] if row_id else [])])
     if row_id is None:
         df, row_id = tables.with_row_index(df, "_position"), "_position"
     picked = [F.col(row_id).alias(ID), F.col(columns.text).alias(TEXT)]
@@ -87,10 +87,12 @@ def select_rows(rows: DataFrame, whole: DataFrame, params: JobParams) -> Selecti
     if not params.debug and (own or not wanted):
         if wanted > counts.pos:
             raise ValueError(f"cannot draw {wanted} of {counts.pos} positive rows without replacement")
-        picked = select_training_rows(rows, ID, LABEL, params.train_size, wanted, params.train_share, params.seed + 1)
+        picked = select_training_rows(
+            rows, ID, LABEL, params.train_size, wanted, params.train_share, params.seed + 1, params.hash
+        )
         return Selection(picked, counts.neg, counts.pos, base_rows, wanted > 0)
-    working = debug_subset(rows, ID, params.debug_rows, params.seed) if params.debug else rows
-    working = cap_train_size(working, ID, params.train_size, params.seed + 1)
+    working = debug_subset(rows, ID, params.debug_rows, params.seed, params.hash) if params.debug else rows
+    working = cap_train_size(working, ID, params.train_size, params.seed + 1, params.hash)
     working = top_up_positives(
         working,
         rows if own else whole,
@@ -100,9 +102,10 @@ def select_rows(rows: DataFrame, whole: DataFrame, params: JobParams) -> Selecti
         counts.neg,
         counts.pos,
         params.seed + 2,
+        params.hash,
         debug_rows=params.debug_added if params.debug else None,
     )
-    picked = split_train_val(working, ID, params.train_share, params.seed + 3)
+    picked = split_train_val(working, ID, params.train_share, params.seed + 3, params.hash)
     return Selection(picked, counts.neg, counts.pos, base_rows, wanted > 0)
 
 
@@ -148,6 +151,7 @@ def _train_one(
     params: JobParams,
     out_dir: str,
     input_name: str,
+    answer_name: str,
 ) -> tuple[BoostedModel, dict]:
     """Train and validate on the stored rows of one model, then score the test table."""
     spark = stored.sparkSession
@@ -163,7 +167,7 @@ def _train_one(
     metrics = metrics.first().asDict()
     table = spark.createDataFrame([metrics], ", ".join(f"{m} double" for m in METRICS))
     tables.write_csv(table, tables.metrics_path(out_dir, input_name, spark), mode="overwrite")
-    answer = tables.submission(model.score(test), ID, "score", "binds")
+    answer = tables.submission(model.score(test), ID, "score", answer_name, order=ID)
     tables.write_csv(answer, f"{out_dir}/submission.csv", mode="overwrite")
     return model, metrics
 
@@ -195,6 +199,7 @@ def run_job(
         grown = _rewrite(grow_dictionary(test, CATEGORY, ID, grown, grown.count()), f"{out_dir}/codes")
         dictionary = small_side(grown, grown.count())
 
+    names = (input_name, columns.label)
     base = params.weak if params.kind == ENSEMBLE else params
 
     def vectors(df: DataFrame) -> DataFrame:
@@ -207,11 +212,11 @@ def run_job(
         chosen = select_rows(whole, whole, params)
         made = build_features(chosen.rows, base.features, dictionary, [LABEL, "split"])
         stored = _rewrite(made, f"{out_dir}/features_train", partition_by=["split"])
-        model, metrics = _train_one(stored, vectors, chosen, test_rows, params, out_dir, input_name)
+        model, metrics = _train_one(stored, vectors, chosen, test_rows, params, out_dir, *names)
         return JobResult(model, [], metrics, out_dir)
 
     k = learner_count(whole.count(), params.train_size, params.weak.train_size)
-    dealt = allot_learners(whole, ID, params.weak.train_size, params.train_size, order=ID, seed=params.seed)
+    dealt = allot_learners(whole, ID, params.weak.train_size, params.train_size, ID, params.seed, params.hash)
     made = build_features(dealt, base.features, dictionary, [LABEL, "learner"])
     # one folder per learner; rebalancing keeps files few for small learners and splits the large final set
     dealt = _rewrite(made.hint("rebalance", "learner"), f"{out_dir}/features_train", partition_by=["learner"])
@@ -221,7 +226,7 @@ def run_job(
         where = f"{out_dir}/weak_learner_{i}"
         chosen = select_rows(dealt.where(F.col("learner") == str(i)), dealt, params.weak)
         stored = _rewrite(chosen.rows, f"{where}/features_train", partition_by=["split"])
-        weak.append(_train_one(stored, vectors, chosen, test_rows, params.weak, where, input_name)[0])
+        weak.append(_train_one(stored, vectors, chosen, test_rows, params.weak, where, *names)[0])
 
     def weak_score_vectors(df: DataFrame) -> DataFrame:
         return fp.assemble(df, [f"weak_{i}" for i in range(k)])
@@ -235,6 +240,6 @@ def run_job(
     if not chosen.topped_up:
         chosen.neg, chosen.pos = totals.neg, totals.pos
     model, metrics = _train_one(
-        stored, weak_score_vectors, chosen, weak_score_vectors(scored_test), params, out_dir, input_name
+        stored, weak_score_vectors, chosen, weak_score_vectors(scored_test), params, out_dir, *names
     )
     return JobResult(model, weak, metrics, out_dir)

@@ -30,7 +30,7 @@ class FeatureParams:
     name: str = "token_chain"
     radius: int = 2
     length: int = 2048
-    hash: str = "md5"
+    hash: str = "xx"
 
     def __post_init__(self):
         if self.name != "weak_scores":
@@ -39,12 +39,17 @@ class FeatureParams:
 
 @dataclass(frozen=True)
 class Columns:
-    """Which columns of the input play which part. ``row_id=None`` numbers the rows by file position."""
+    """Which columns of the input play which part.
+
+    ``row_id=None`` numbers the rows by file position; ``test_id`` names the id of the test table where it
+    differs from that of the training table.
+    """
 
     text: str
     label: str
     row_id: str | None = None
     category: str | None = None
+    test_id: str | None = None
 
 
 @dataclass(frozen=True)
@@ -58,6 +63,7 @@ class JobParams:
     trainer: str = "boosted_trees"
     train_share: float = 0.8
     seed: int = 42
+    hash: str = "xx"  # of row ids; "md5" makes the row sets reproducible outside Spark
     debug: bool = False
     debug_rows: int = 50_000
     debug_added: int = 10_000
