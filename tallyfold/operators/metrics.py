@@ -42,8 +42,16 @@ def binary_metrics(
     """
     by = list(by)
     counts = score_counts(df, score, label, by)
+    # mentioning the counts keeps the bucket search on the very same shuffle, so rows are scored once
+    steer = F.when(F.col("pos") + F.col("neg") > 0, F.col("score"))
     curve = running_totals(
-        counts, ["score"], {"tp": F.col("pos"), "fp": F.col("neg")}, by=by, descending=True, key_bits=key_bits
+        counts,
+        ["score"],
+        {"tp": F.col("pos"), "fp": F.col("neg")},
+        by=by,
+        descending=True,
+        key_bits=key_bits,
+        balance=steer,
     )
     big = "decimal(38,0)"
     pairs2 = F.col("neg").cast("decimal(20,0)") * (2 * F.col("tp") - F.col("pos")).cast("decimal(18,0)")

@@ -42,17 +42,24 @@ def _no_rows(df: DataFrame) -> DataFrame:
 
 
 def with_quantile_bucket(
-    df: DataFrame, key: str, name: str, bits: int = 10, bounds_from: DataFrame | None = None
+    df: DataFrame,
+    key: str,
+    name: str,
+    bits: int = 10,
+    bounds_from: DataFrame | None = None,
+    balance: Column | None = None,
 ) -> DataFrame:
     """Add a monotone bucket number of a numeric or time ``key``: ``2 ** bits`` buckets of even size.
 
-    The bounds are one scalar subquery over ``bounds_from``.  A row finds its bucket by binary search, one
+    The bounds are one scalar subquery over ``bounds_from``, on ``balance`` if given (the key, or null for
+    rows that need not steer the buckets).  A row finds its bucket by binary search, one
     short step per bit, inside generated code.
     """
     n = 2**bits
-    # written as SQL text: a thousand literals built one by one cost seconds of driver time
-    probs = ", ".join(f"{i / n!r}D" for i in range(1, n))
-    bounds = (bounds_from or df).agg(F.expr(f"percentile_approx(`{key}`, array({probs}), {4 * n})")).scalar()
+    # one folded constant: a thousand literals would be walked by every analysis of the plan
+    probs = F.split(F.lit(",".join(str(i / n) for i in range(1, n))), ",").cast("array<double>")
+    steer = F.col(key) if balance is None else balance
+    bounds = (bounds_from or df).agg(F.percentile_approx(steer, probs, 4 * n)).scalar()
     df = df.withColumn("_q", bounds).withColumn("_s", F.lit(0))
     # each step refers to the last one twice, so the optimizer keeps the steps apart instead of nesting them
     for half in (2**i for i in reversed(range(bits))):
@@ -244,11 +251,12 @@ def running_totals(
     bucket: Column | None = None,
     descending: bool = False,
     key_bits: int = 10,
+    balance: Column | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` along ``order`` within ``by``, exact for a unique order."""
     by = list(by)
     if bucket is None:
-        tagged = with_quantile_bucket(df, order[0], "_b", key_bits)
+        tagged = with_quantile_bucket(df, order[0], "_b", key_bits, balance=balance)
     else:
         tagged = df.withColumn("_b", bucket)
     if descending:
