@@ -206,6 +206,11 @@ FEATURIZERS: dict[str, Featurizer] = {
 }
 
 
+def register_featurizer(name: str, run: Featurizer) -> None:
+    """Add a fingerprint of your own: ``run(df, text, radius=, length=, hash=)`` adds an int array ``bits``."""
+    FEATURIZERS[name] = run
+
+
 def featurizer(name: str) -> Featurizer:
     """Fingerprint function by name: ``(df, text, **settings) -> df with a "bits" column``."""
     if name not in FEATURIZERS:

@@ -27,6 +27,8 @@ LEVEL_BITS = 12
 BROADCAST_ROWS = 100_000
 # Below Spark's default windowGroupLimitThreshold, so ranks are cut before the shuffle.
 GROUP_LIMIT_MAX = 500
+# Up to here the first rows by id are merged in one task.
+FIRST_N_MAX = 100_000
 
 
 def small_side(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -236,8 +238,18 @@ def per_group_sample(
 
 
 def first_n(df: DataFrame, row_id: str, n: int) -> DataFrame:
-    """First ``n`` rows by id."""
-    return df.orderBy(row_id).limit(n)
+    """First ``n`` rows by a unique id; a large ``n`` needs a numeric or time id and is found by its cutoff."""
+    if n <= FIRST_N_MAX:
+        return df.orderBy(row_id).limit(n)
+    cut = rank_cutoffs(
+        df.select(row_id),
+        [row_id],
+        lambda total: F.array(F.least(F.lit(n), total).cast("bigint")),
+        levels=1,
+        n_cuts=1,
+        natural=True,
+    )
+    return df.where(F.col(row_id) <= cut.select(row_id).scalar())
 
 
 # ---------------------------------------------------------------------------------- running totals

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 
-from tallyfold.operators.fingerprints import featurizer
+from tallyfold.operators.fingerprints import FEATURIZERS, featurizer
 from tallyfold.operators.learning import BoostParams, trainer
 
 SINGLE, ENSEMBLE = "single", "ensemble"
@@ -87,9 +87,9 @@ class JobParams:
         name = model.pop("name")
         if name not in MODEL_NAMES:
             raise ValueError(f"model {name!r} is not supported")
-        if feats["name"] not in FEATURIZER_NAMES:
+        if feats["name"] not in FEATURIZER_NAMES and feats["name"] not in FEATURIZERS:
             raise ValueError(f"featurizer {feats['name']!r} is not supported")
-        feats["name"] = FEATURIZER_NAMES[feats["name"]]
+        feats["name"] = FEATURIZER_NAMES.get(feats["name"], feats["name"])
         weak = model.pop("weak_learner_config", None)
         model.pop("num_weak_learners", None)
         ignored = {k: model.pop(k) for k in CLUSTER_KEYS if k in model}

@@ -8,7 +8,7 @@ from tallyfold.operators.learning import BoostedModel
 from tallyfold.plans.job import run_job
 from tallyfold.plans.params import Columns, JobParams
 from tallyfold.streaming.micro import run_available
-from tallyfold.operators.fingerprints import token_chain_bits
+from tallyfold.operators.fingerprints import register_featurizer, token_chain_bits, user_kernel_bits
 
 # 2,289 rows: 1,500 negatives and 789 positives
 FRAGMENTS = ["C", "N", "O", "CC(=O)N", "c1ccccc1", "C(F)(F)", "S", "C(Cl)"]
@@ -90,6 +90,16 @@ def test_top_up_brings_the_ratio_down(spark, inputs, tmp_path):
     assert members.select("row_id").distinct().count() == members.count()
 
 
+def test_own_fingerprint_in_a_job(spark, inputs, tmp_path):
+    def length_bits(df, text, length=64, **_):
+        return user_kernel_bits(df, text, lambda t: [min(len(t), length - 1)])
+
+    register_featurizer("length", length_bits)
+    config = {**SINGLE, "featurizer": {"name": "length", "length": 64}}
+    result = run_job(spark, *inputs, JobParams.from_dict(config), COLUMNS, str(tmp_path / "o"), CODES)
+    assert result.model.model.numFeatures == 65
+
+
 def test_debug_needs_enough_rows(spark, inputs, tmp_path):
     with pytest.raises(ValueError):
         run_job(spark, *inputs, JobParams.from_dict(SINGLE, debug=True), COLUMNS, str(tmp_path / "o"), CODES)

@@ -52,6 +52,22 @@ def test_refit_does_not_depend_on_partitioning(data, fitted):
     assert again.toDebugString.split("\n")[1:] == fitted[0].model.toDebugString.split("\n")[1:]
 
 
+def test_first_rounds_is_a_model_of_its_own(data, fitted):
+    model = fitted[0].model
+    short = ln.first_rounds(model, 2)
+    assert short.getNumTrees == 2 and short.treeWeights == model.treeWeights[:2]
+    both = ln.score_rows(short, ln.score_rows(model, data, rounds=2, name="chain"))
+    assert both.where("abs(score - chain) > 1e-12").count() == 0
+
+
+def test_stopping_keeps_only_the_rounds_that_count(data):
+    params = ln.BoostParams(max_depth=2, num_boost_round=8, eta=0.3, subsample=1.0, colsample_bytree=1.0, early_stopping_rounds=1, partitions=4)
+    model, curve = ln.train(data, "y", params, "id")
+    assert curve.where("split = 'val'").count() == 8
+    assert model.model.getNumTrees == model.kept_rounds <= 8
+    assert model.score(data).where("score between 0 and 1").count() == 400
+
+
 def test_save_and_load(spark, data, fitted, tmp_path):
     fitted[0].save(str(tmp_path / "m"))
     back = ln.BoostedModel.load(str(tmp_path / "m"))
@@ -66,7 +82,9 @@ def test_stacking_uses_one_column_per_learner(data, fitted):
     assert len(stacked.first().features) == 2
 
 
-def test_alpha_warns_and_unknown_trainer_fails():
+def test_alpha_warns_and_unknown_trainer_fails(data):
+    with pytest.warns(UserWarning, match="alpha"):
+        ln.fit_trees(data, "y", ln.BoostParams(max_depth=1, num_boost_round=1, alpha=0.1, partitions=2), "id")
     with pytest.raises(ValueError):
         ln.trainer("forest")
 

@@ -108,3 +108,10 @@ def test_xx_hash_gives_exact_sizes(numbers):
     assert ranking.sample_n(numbers, "id", 123, hash="xx").count() == 123
     with pytest.raises(ValueError):
         ranking.sample_n(numbers, "id", 1, hash="sha")
+
+
+@pytest.mark.parametrize("limit", [10, 100_000])
+@pytest.mark.parametrize("n", [11, 5000])
+def test_first_n(numbers, n, limit, monkeypatch):
+    monkeypatch.setattr(ranking, "FIRST_N_MAX", limit)
+    assert sorted(r.id for r in ranking.first_n(numbers, "id", n).collect()) == IDS[:n]
