@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.hashing import row_hash
+from tallyfold.functions.scalars import let
 from tallyfold.operators.labels import class_counts
 from tallyfold.operators.ranking import at_or_before_rank, rank_cutoffs, sample_n
 
@@ -167,13 +168,18 @@ def allot_learners(
     hashed = pool.select(row_hash(row_id, seed, hash).alias("_h"), F.col(row_id).alias("_id"))
     cuts = rank_cutoffs(hashed, ["_h", "_id"], ends, n_cuts=MAX_LEARNERS)
     cuts = cuts.agg(F.array_sort(F.collect_list(F.struct("_h", "_id"))).alias("cuts")).scalar()
-    passed = F.size(F.filter("_cuts", lambda c: c < F.col("_place")))
-    return (
-        df.withColumn("_cuts", cuts)
-        .withColumn("_place", place)
-        .withColumn(
-            name,
-            F.when(in_pool & (passed < F.size("_cuts")), passed.cast("string")).otherwise(F.lit(FINAL)),
-        )
-        .drop("_cuts", "_place")
+    # number of cutoffs before the row, by binary search; one expression, so that it stays one when a filter
+    # on the learner is pushed below it
+    halves = F.array(*[F.lit(2**i) for i in reversed(range(MAX_LEARNERS.bit_length()))])
+
+    def cuts_before(here: Column) -> Column:
+        def step(at: Column, half: Column) -> Column:
+            beyond = F.coalesce(F.get("_cuts", at + half - 1) < here, F.lit(False))
+            return at + F.when(beyond, half).otherwise(F.lit(0))
+
+        return F.aggregate(halves, F.lit(0), step)
+
+    learner = let(
+        let(place, cuts_before), lambda i: F.when(i < F.size("_cuts"), i.cast("string")).otherwise(F.lit(FINAL))
     )
+    return df.withColumn("_cuts", cuts).withColumn(name, F.when(in_pool, learner).otherwise(F.lit(FINAL))).drop("_cuts")

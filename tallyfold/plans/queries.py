@@ -920,8 +920,8 @@ def l7_none(spark, d):
 def l8(spark, d):
     model, _, rest = fitted(spark, d)
     path = scratch_path(spark, "submission")
-    tables.write_csv(tables.submission(model.score(rest), "doc_id", "score", "binds", order="doc_id"), path)
-    return tables.read_csv(spark, path, "id bigint, binds double").select("id", in_unit("binds").alias("in_unit"))
+    tables.write_csv(tables.submission(model.score(rest), "doc_id", "score", "quality", order="doc_id"), path)
+    return tables.read_csv(spark, path, "id bigint, quality double").select("id", in_unit("quality").alias("in_unit"))
 
 
 @query("l9_score_distribution", sql.histogram_of(f"select {sql.pseudo_score('doc_id::varchar')} as v from documents"))

@@ -25,7 +25,7 @@ STACKED = {
     "train": {"early_stopping_rounds": 2, "train_size": 600},
     "featurizer": {"name": "ensemble_predictions"},
 }
-COLUMNS = Columns(text="smiles", label="binds", category="protein", test_id="id")
+COLUMNS = Columns(text="notation", label="active", category="site", test_id="id")
 
 
 @pytest.fixture(scope="module")
@@ -35,20 +35,20 @@ def inputs(spark, tmp_path_factory):
     pick = lambda d: F.get(frag, F.pmod(F.floor(F.col("id") / d), F.lit(8)).cast("int"))
     mol = F.concat(pick(1), pick(8), pick(64), pick(512))
     rows = spark.range(2289).select(
-        mol.alias("smiles"), F.element_at(F.array(F.lit("HSA"), F.lit("sEH"), F.lit("BRD4")), (F.col("id") % 3 + 1).cast("int")).alias("protein"),
-        (F.col("id") < 789).cast("int").alias("binds"),
+        mol.alias("notation"), F.element_at(F.array(F.lit("north"), F.lit("east"), F.lit("south")), (F.col("id") % 3 + 1).cast("int")).alias("site"),
+        (F.col("id") < 789).cast("int").alias("active"),
     )
     rows.coalesce(1).write.option("parquet.block.row.count.limit", 500).parquet(f"{base}/train")
-    spark.range(5000, 5100).select("id", F.lit("CCO").alias("smiles"), F.lit("NEW").alias("protein")).coalesce(1).write.parquet(f"{base}/test")
+    spark.range(5000, 5100).select("id", F.lit("CCO").alias("notation"), F.lit("NEW").alias("site")).coalesce(1).write.parquet(f"{base}/test")
     return spark.read.parquet(f"{base}/train"), spark.read.parquet(f"{base}/test")
 
 
-CODES = {"HSA": 0, "sEH": 1, "BRD4": 2}
+CODES = {"north": 0, "east": 1, "south": 2}
 FILES = ["membership", "model", "rounds", "rounds.csv", "train_metrics.csv", "submission.csv"]
 
 
 @pytest.mark.parametrize("config", [SINGLE, KEYS, STACKED], ids=["circular", "keys", "stacked"])
-def test_pipeline(spark, inputs, tmp_path, config):
+def test_end_to_end(spark, inputs, tmp_path, config):
     out = str(tmp_path / "out")
     params = JobParams.from_dict(config)
     result = run_job(spark, *inputs, params, COLUMNS, out, CODES)
@@ -61,7 +61,7 @@ def test_pipeline(spark, inputs, tmp_path, config):
     assert size == {"train": int(0.8 * n), "val": n - int(0.8 * n)}
     assert members.select("row_id").distinct().count() == n
     sub = spark.read.option("header", True).csv(f"{out}/submission.csv")
-    assert sub.columns == ["id", "binds"]
+    assert sub.columns == ["id", "active"]
     assert [int(r.id) for r in sub.collect()] == list(range(5000, 5100))
     assert 0.0 <= result.metrics["roc_auc"] <= 1.0
     assert result.metrics["roc_auc"] > 0.6

@@ -206,6 +206,12 @@ def test_allotment_is_disjoint_and_sized(labelled, final, weak):
     assert set(sizes) <= {str(i) for i in range(k)} | {"final"}
 
 
+def test_filter_on_an_allotted_learner(labelled):
+    dealt = rowsets.allot_learners(labelled, "id", 100, 250)
+    want = {r.id for r in dealt.collect() if r.learner == "3"}
+    assert {r.id for r in dealt.where(F.col("learner") == "3").collect()} == want and len(want) == 100
+
+
 def test_too_many_learners_is_an_error(labelled, monkeypatch):
     monkeypatch.setattr(rowsets, "MAX_LEARNERS", 10)
     with pytest.raises(Exception, match="more than 10 weak learners"):

@@ -42,9 +42,9 @@ def test_csv_round_trip(spark, tmp_path):
 
 
 def test_dictionary(spark, tmp_path):
-    (tmp_path / "m.json").write_text('{"HSA": 0,\n "sEH": 1, "BRD4": 2}')
+    (tmp_path / "m.json").write_text('{"north": 0,\n "east": 1, "south": 2}')
     got = {r.value: r.code for r in tables.read_dictionary(spark, str(tmp_path / "m.json")).collect()}
-    assert got == {"HSA": 0, "sEH": 1, "BRD4": 2}
+    assert got == {"north": 0, "east": 1, "south": 2}
 
 
 def test_membership_is_pruned_by_set(spark, tmp_path):
@@ -59,7 +59,7 @@ def test_membership_is_pruned_by_set(spark, tmp_path):
 def test_submission_keeps_input_order(spark, tmp_path):
     scored = spark.range(500).select("id", (F.col("id") / 500).alias("score"), (500 - F.col("id")).alias("pos")).repartition(5)
     path = str(tmp_path / "s")
-    tables.write_csv(tables.submission(scored, "id", "score", "binds", order="pos").coalesce(1), path)
+    tables.write_csv(tables.submission(scored, "id", "score", "active", order="pos").coalesce(1), path)
     got = spark.read.option("header", True).csv(path).collect()
     assert [int(r.id) for r in got] == list(range(499, -1, -1))
     assert tables.metrics_path("/o/", "/x/train.parquet", spark) == "/o/train_metrics.csv"
