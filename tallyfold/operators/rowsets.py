@@ -80,18 +80,38 @@ def select_training_rows(
     """Cap, positive top-up and train / validation split in one row-wise pass.
 
     The top-up draws ``add_positives`` of the positives of ``df``; those beyond the cap are added.
-    Each choice is a comparison with a cutoff row, so whole rows, texts included, never move.
+    Each choice is a comparison with a cutoff row, so whole rows, texts included, never move.  Without a
+    top-up one search finds both cutoffs: the cap takes the first rows of the seeded order, and the
+    training rows are the first of those.
     """
-    if train_size == -1:
-        selected = df
-    else:
-        chosen = at_or_before_rank(df, row_id, lambda n: F.least(F.lit(train_size), n).cast("bigint"), seed, hash)
-        if add_positives:
-            positive = df.where(F.col(label) == 1)
-            drawn = at_or_before_rank(positive, row_id, lambda n: F.lit(add_positives).cast("bigint"), seed + 1, hash)
-            chosen = chosen | ((F.col(label) == 1) & drawn)
-        selected = df.where(chosen)
-    return split_train_val(selected, row_id, train_share, seed + 2, hash, name)
+
+    def size(total: Column) -> Column:
+        return total if train_size == -1 else F.least(F.lit(train_size), total)
+
+    if add_positives and train_size != -1:
+        chosen = at_or_before_rank(df, row_id, lambda n: size(n).cast("bigint"), seed, hash)
+        positive = df.where(F.col(label) == 1)
+        drawn = at_or_before_rank(positive, row_id, lambda n: F.lit(add_positives).cast("bigint"), seed + 1, hash)
+        selected = df.where(chosen | ((F.col(label) == 1) & drawn))
+        return split_train_val(selected, row_id, train_share, seed + 2, hash, name)
+
+    def both_ends(total: Column) -> Column:
+        n_train = (size(total).cast("double") * F.lit(train_share)).cast("bigint")
+        return F.array(n_train, size(total).cast("bigint"))
+
+    hashed = df.select(row_hash(row_id, seed, hash).alias("_h"), F.col(row_id).alias("_id"))
+    ends = rank_cutoffs(hashed, ["_h", "_id"], both_ends, n_cuts=2)
+    ends = ends.agg(F.array_sort(F.collect_list(F.struct("_h", "_id")))).scalar()
+    place = F.struct(row_hash(row_id, seed, hash).alias("_h"), F.col(row_id).alias("_id"))
+    # a single end means that no row trains
+    in_train = (F.size("_ends") == 2) & (F.col("_place") <= F.get("_ends", F.lit(0)))
+    return (
+        df.withColumn("_ends", ends)
+        .withColumn("_place", place)
+        .where(F.coalesce(F.col("_place") <= F.get("_ends", F.size("_ends") - 1), F.lit(False)))
+        .withColumn(name, F.when(in_train, "train").otherwise("val"))
+        .drop("_ends", "_place")
+    )
 
 
 def top_up_positives(

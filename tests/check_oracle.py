@@ -33,8 +33,15 @@ def canon(columns, rows):
     return sorted(columns), sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def compare(df, con, sql):
     """Empty string when equal, else what differs."""
+    have = {name: TYPES.get(kind, kind) for name, kind in df.dtypes}
+    types = {r[0]: r[1] for r in con.execute(f"describe {sql}").fetchall()}
+    if have != types:
+        return f"types {have} != {types}"
     got = canon(df.columns, [tuple(r) for r in df.collect()])
     res = con.execute(sql)
     want = canon([c[0] for c in res.description], res.fetchall())

@@ -167,6 +167,25 @@ def test_split_does_not_depend_on_partitioning(labelled):
     assert sets[0] == sets[1]
 
 
+@pytest.mark.parametrize("rows_in, size", [(1000, 300), (1000, -1), (1000, 5000), (1, -1), (0, 10), (7, 3)])
+def test_cap_and_split_in_one_search(labelled, rows_in, size):
+    df = labelled.where(F.col("id") < rows_in)
+    got = rowsets.select_training_rows(df, "id", "y", size).collect()
+    n = rows_in if size == -1 else min(rows_in, size)
+    assert len({r.id for r in got}) == len(got) == n
+    assert sum(r.split == "train" for r in got) == int(0.8 * n)
+    capped = {r.id for r in rowsets.cap_train_size(df, "id", size).collect()}
+    assert {r.id for r in got} == capped
+
+
+def test_cap_top_up_and_split_in_one_pass(labelled):
+    got = rowsets.select_training_rows(labelled, "id", "y", 300, add_positives=50).collect()
+    capped = {r.id for r in rowsets.cap_train_size(labelled, "id", 300).collect()}
+    drawn = {r.id for r in rowsets.cap_train_size(labelled.where("y = 1"), "id", 50, 43).collect()}
+    assert {r.id for r in got} == capped | drawn and len(got) == len(capped | drawn)
+    assert sum(r.split == "train" for r in got) == int(0.8 * len(got))
+
+
 def test_top_up(labelled):
     working = rowsets.cap_train_size(labelled, "id", 300)
     got = rowsets.top_up_positives(working, labelled, "id", "y", 2.5, neg=240, pos=60)
