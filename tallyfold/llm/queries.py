@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import exact_dedup, mixing, packing, simhash, toxicity
+from tallyfold.llm import embeddings, exact_dedup, langid, mixing, packing, simhash, sql_twins, toxicity, urlfilter
 from tallyfold.llm.common import hex64, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,32 @@ def tokenizer_file() -> str:
 @query("op10_pattern_packing")
 def op10(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), tokenizer_file())
+
+
+# --------------------------------------------------------------------------------------------------- 2 url filters
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op2_redirect_equivalence", sql_twins.URLS)
+def op2(spark, d):
+    return urlfilter.judge_urls(table(spark, d, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+# --------------------------------------------------------------------------------------------------- 7 language id
+
+
+@query("op7_language_spans")
+def op7(spark, d):
+    docs = table(spark, d, "documents")
+    model = langid.fit_languages(docs.where(~langid.held_out()))
+    found = langid.detect(docs, model, spans=False)
+    return found.select(F.col("doc.doc_id").alias("doc_id"), langid.held_out("doc.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+# ----------------------------------------------------------------------------------- 9 near-duplicate embeddings
+
+
+@query("op9_embedding_near_dedup")
+def op9(spark, d):
+    return embeddings.embedding_classes(table(spark, d, "embeddings"))
