@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import embeddings, exact_dedup, langid, licenses, mixing, packing, simhash, sql_twins, toxicity, urlfilter
+from tallyfold.llm import embeddings, exact_dedup, langid, licenses, mixing, packing, pii, simhash, sql_twins, toxicity, urlfilter
 from tallyfold.llm.common import hex64, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +175,11 @@ def op9(spark, d):
 @query("op3_license_diagonals", sql_twins.licenses(licenses.templates(), licenses.NEAR, licenses.LEAST_COVER, licenses.SLACK))
 def op3(spark, d):
     return licenses.license_scan(table(spark, d, "documents")).drop("spans")
+
+
+# ---------------------------------------------------------------------------------------------------------- 4 PII
+
+
+@query("op4_pii_candidates")
+def op4(spark, d):
+    return pii.pii_digest(pii.personal_spans(table(spark, d, "documents")))
