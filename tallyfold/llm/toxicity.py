@@ -127,18 +127,28 @@ def fit_severity(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str
 
     Rows without a grade, text or id take no part.  Equal texts count once, with their highest grade, so a hot copy does
     not outweigh the rest.  If there are more than ``max_labelled`` texts, a hash of the text picks about that many; only
-    their word hashes reach the driver.
+    the hashes of their words that stand out reach the driver.
     """
     known = grades.select(F.col(id_col).alias("_id"), F.col("grade").cast("int").alias("grade")).where("_id is not null and grade is not null")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t is not null")
-    labelled = texts.join(known, "_id").select(F.xxhash64("_t").alias("_h"), "grade", word_features(F.col("_t")).alias("words"))
+    labelled = texts.join(known, "_id").select(F.xxhash64("_t").alias("_h"), F.greatest(F.lit(0), F.least("grade", F.lit(n_grades - 1))).alias("grade"), word_features(F.col("_t")).alias("words"))
     ids = texts.join(known, "_id").select(F.xxhash64("_t").alias("_h"))
     n = ids.agg(F.approx_count_distinct("_h", 0.01)).first()[0]
     if n > max_labelled:
         labelled = labelled.where(F.pmod("_h", F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
-    rows = labelled.groupBy("_h").agg(F.max("grade").alias("grade"), F.first("words").alias("words")).orderBy("_h").toPandas()
-    grade = rows["grade"].to_numpy(np.int64).clip(0, n_grades - 1) if len(rows) else np.empty(0, np.int64)
-    return fit_ordinal(list(rows["words"]), grade, n_grades, l2=l2)
+    rows = staged(labelled.groupBy("_h").agg(F.max("grade").alias("grade"), F.first("words").alias("words")), "labelled")
+    # only words that stand out a little reach the driver; the fit asks for more within each of its folds
+    above = (F.col("grade") > 0).cast("double")
+    base = rows.agg(F.avg(above)).first()[0] or 0.0
+    each = rows.select("_h", "grade", F.explode_outer("words").alias("word"))
+    seen = each.groupBy("word").agg(F.count("*").alias("n"), F.sum(above).alias("m"))
+    z = (F.col("m") - F.col("n") * base) / F.sqrt(F.greatest(F.col("n") * base * (1 - base), F.lit(1e-9)))
+    telling = seen.where((F.col("n") >= LEAST_TEXTS) & (F.abs(z) >= LEAST_Z - 1)).select(F.col("word").alias("told"))
+    kept = each.join(F.broadcast(telling), F.col("word") == F.col("told"), "left").groupBy("_h", "grade").agg(F.array_sort(F.collect_list("told")).alias("words"))
+    got = kept.orderBy("_h").toArrow()
+    lists = got["words"].combine_chunks()
+    words = np.split(np.asarray(lists.values), np.asarray(lists.offsets)[1:-1]) if len(lists) else []
+    return fit_ordinal(words, np.asarray(got["grade"], np.int64), n_grades, l2=l2)
 
 
 def score_severity(docs: DataFrame, model: SeverityModel, text_col: str = "text") -> DataFrame:
