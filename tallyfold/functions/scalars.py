@@ -28,7 +28,9 @@ def above(score: Column, threshold: float = 0.5) -> Column:
 
 
 def shard_of(position: Column, shard_size: int) -> Column:
-    return F.floor(position / F.lit(shard_size)).cast("bigint")
+    """Floor of the quotient in whole numbers, so exact for all 64 bits; below zero too."""
+    size = F.lit(shard_size).cast("bigint")
+    return F.call_function("div", position.cast("bigint") - F.pmod(position.cast("bigint"), size), size)
 
 
 def offset_in_shard(position: Column, shard_size: int) -> Column:

@@ -196,7 +196,8 @@ def _pattern_keys(df: DataFrame, text: str, keys: Sequence[PatternKey] = NOTATIO
 def _graph_circular(df: DataFrame, text: str, radius: int = 2, length: int = 2048, hash: str = "md5", **_) -> DataFrame:
     from tallyfold.operators.graphs import notation_bits
 
-    return notation_bits(df, text, radius, length, hash=hash)
+    # null bits tell which texts cannot be read; the job counts them and stops
+    return notation_bits(df, text, radius, length, hash=hash, bad="null")
 
 
 FEATURIZERS: dict[str, Featurizer] = {

@@ -73,6 +73,9 @@ def _step(s: Column, t: Column) -> Column:
     ).cast(_STATE)
 
 
+_GRAPH = "struct<atoms:array<string>,edges:array<struct<src:int,dst:int,bond:string>>,parse_ok:boolean>"
+
+
 def parse_notation(df: DataFrame, text: str, name: str = "graph") -> DataFrame:
     """Add ``struct(atoms: array<string>, edges: array<struct(src, dst, bond)>, parse_ok: boolean)``.
 
@@ -103,9 +106,31 @@ def parse_notation(df: DataFrame, text: str, name: str = "graph") -> DataFrame:
     return df.withColumn(name, let(symbols, lambda s: let(F.aggregate(s, start, _step), lambda end: finish(s, end))))
 
 
-def notation_tables(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Node table ``(graph_id, node_id, label)`` and edge table ``(graph_id, src, dst, label)``."""
+BAD = ("error", "null")
+
+
+def _readable(graph: Column, text: Column, bad: str) -> Column:
+    """The parsed graph; for a text that cannot be read null, or an error that shows it."""
+    if bad not in BAD:
+        raise ValueError(f"bad must be one of {BAD}")
+    note = F.concat(F.lit("not line notation: "), F.coalesce(F.substring(text, 1, 100), F.lit("null")))
+    instead = F.raise_error(note).cast(_GRAPH) if bad == "error" else F.lit(None).cast(_GRAPH)
+    return F.when(graph["parse_ok"], graph).otherwise(instead)
+
+
+def unreadable(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """``(row_id, text)`` of the rows whose text is not line notation; null is not."""
+    parsed = parse_notation(df.select(row_id, text), text, "_g")
+    return parsed.where(~F.col("_g.parse_ok") | F.col(text).isNull()).select(row_id, text)
+
+
+def notation_tables(df: DataFrame, row_id: str, text: str, bad: str = "error") -> tuple[DataFrame, DataFrame]:
+    """Node table ``(graph_id, node_id, label)`` and edge table ``(graph_id, src, dst, label)``.
+
+    A text that cannot be read is an error, or has no nodes and edges with ``bad="null"``.
+    """
     parsed = parse_notation(df.select(F.col(row_id).alias("graph_id"), text), text)
+    parsed = parsed.withColumn("graph", _readable(F.col("graph"), F.col(text), bad))
     # the outer forms keep the optimizer from parsing every string a second time just to test for emptiness
     nodes = parsed.select("graph_id", F.posexplode_outer("graph.atoms").alias("node_id", "label"))
     edges = parsed.select("graph_id", F.inline_outer("graph.edges").alias("src", "dst", "label"))
@@ -199,11 +224,15 @@ def graph_bits(nodes: DataFrame, edges: DataFrame, radius: int, n_bits: int, has
 
 
 def notation_bits(
-    df: DataFrame, text: str, radius: int, n_bits: int, name: str = "bits", hash: str = "md5"
+    df: DataFrame, text: str, radius: int, n_bits: int, name: str = "bits", hash: str = "md5", bad: str = "error"
 ) -> DataFrame:
-    """The same fingerprint for graphs written as strings, as a projection of the row."""
+    """The same fingerprint for graphs written as strings, as a projection of the row.
+
+    A text that cannot be read is an error, or has null bits with ``bad="null"``.
+    """
     parsed = parse_notation(df, text, "_g")
-    bits = let(F.col("_g"), lambda g: _row_graph_bits(g["atoms"], g["edges"], radius, n_bits, hash))
+    graph = _readable(F.col("_g"), F.col(text), bad)
+    bits = let(graph, lambda g: F.when(g.isNotNull(), _row_graph_bits(g["atoms"], g["edges"], radius, n_bits, hash)))
     return parsed.withColumn(name, bits).drop("_g")
 
 

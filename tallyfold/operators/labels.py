@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.operators.ranking import global_ordinal, running_totals, small_side
+from tallyfold.functions.scalars import shard_of
+from tallyfold.operators.ranking import global_ordinal, running_totals, settled, small_side
 
 
 def _label_counts(label: str) -> list[Column]:
@@ -148,12 +149,12 @@ def encode_category(df: DataFrame, column: str, dictionary: DataFrame, name: str
 def grow_dictionary(df: DataFrame, column: str, row_id: str, dictionary: DataFrame, n_known: int) -> DataFrame:
     """Dictionary extended by the unseen categories of ``df``, coded in order of first appearance.
 
-    One code per category for the whole table, whatever the partitioning.  ``row_id`` must be unique
-    and numeric.  Rows collapse to one per category before anything is joined or ordered.
+    One code per category for the whole table, whatever the partitioning.  ``row_id`` may have any type that
+    can be ordered and should be unique.  Rows collapse to one per category before anything is joined or ordered.
     """
     seen = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(row_id).alias("first"))
     unseen = seen.join(dictionary.select("value"), "value", "left_anti")
-    coded = global_ordinal(unseen, "first", name="_pos")
+    coded = global_ordinal(settled(unseen, "unseen"), ["first", "value"], name="_pos")
     return dictionary.select("value", "code").unionByName(
         coded.select("value", (F.lit(n_known) + F.col("_pos")).cast("int").alias("code"))
     )
@@ -176,7 +177,7 @@ def learner_count(n_rows: int, final_size: int, weak_size: int) -> int:
 def learner_count_table(df: DataFrame, final_size: int, weak_size: int) -> DataFrame:
     """``n_rows, pool, num_weak`` with the same two error cases, as one lazy row."""
     pool = F.col("n_rows") if final_size == -1 else F.col("n_rows") - F.lit(final_size)
-    k = F.floor(F.col("pool") / F.lit(weak_size)).cast("bigint")
+    k = shard_of(F.col("pool"), weak_size)
     fail = lambda text: F.raise_error(F.lit(text)).cast("bigint")
     return (
         df.agg(F.count(F.lit(1)).alias("n_rows"))

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators.fingerprints import assemble
 from tallyfold.operators.metrics import early_stop, round_curve
-from tallyfold.session import scratch_path, shared_dir
+from tallyfold.operators.ranking import settled
+from tallyfold.session import shared_dir
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class BoostParams:
     colsample_bytree: float = 0.6
     alpha: float = 0.0
     early_stopping_rounds: int | None = 5
+    eval_metric: str = "average_precision"
     scale_pos_weight: float | None = None
     max_bins: int = 32
     seed: int = 42
@@ -37,6 +39,28 @@ class BoostParams:
     others: dict = field(default_factory=dict)
 
 
+    def __post_init__(self):
+        stopping_metric(self.eval_metric)
+
+
+# Names under which a stopping metric may be asked for: fixed values.  Larger is better for all of them.
+STOPPING_METRICS = {
+    "average_precision": "average_precision",
+    "map": "average_precision",
+    "aucpr": "average_precision",
+    "roc_auc": "roc_auc",
+    "auc": "roc_auc",
+    "accuracy": "accuracy",
+    "error": "accuracy",
+}
+
+
+def stopping_metric(name: str) -> str:
+    if name not in STOPPING_METRICS:
+        raise ValueError(f"eval_metric {name!r} is not supported; choose one of {sorted(STOPPING_METRICS)}")
+    return STOPPING_METRICS[name]
+
+
 ROWS_PER_PARTITION = 250_000
 
 
@@ -74,8 +98,14 @@ def fit_trees(df: DataFrame, label: str, params: BoostParams, row_id: str, weigh
     return learner.fit(arrange(df.select(*columns), row_id, params.partitions).drop(row_id))
 
 
-def fit_external_trees(df: DataFrame, label: str, params: BoostParams, weight: str | None = None):
-    """Fit with the distributed trainer of the ``xgboost`` package, where it is installed on the cluster."""
+EXTERNAL_METRICS = {"average_precision": "aucpr", "roc_auc": "auc", "accuracy": "error"}
+
+
+def fit_external_trees(df: DataFrame, label: str, params: BoostParams, weight: str | None = None, split: str | None = None):
+    """Fit with the distributed trainer of the ``xgboost`` package, where it is installed on the cluster.
+
+    With ``split`` its ``val`` rows watch the training and stop it after the patience.
+    """
     if importlib.util.find_spec("xgboost") is None:
         raise ImportError("the xgboost package is not installed")
     from xgboost.spark import SparkXGBClassifier
@@ -83,6 +113,12 @@ def fit_external_trees(df: DataFrame, label: str, params: BoostParams, weight: s
     columns = [F.col("features"), F.col(label).cast("double").alias("label")]
     if weight:
         columns.append(F.col(weight).alias("weight"))
+    watched = {}
+    if split:
+        columns.append((F.col(split) == "val").alias("watch"))
+        watched = {"validation_indicator_col": "watch", "eval_metric": EXTERNAL_METRICS[stopping_metric(params.eval_metric)]}
+        if params.early_stopping_rounds is not None:
+            watched["early_stopping_rounds"] = params.early_stopping_rounds
     learner = SparkXGBClassifier(
         features_col="features",
         label_col="label",
@@ -95,6 +131,7 @@ def fit_external_trees(df: DataFrame, label: str, params: BoostParams, weight: s
         colsample_bytree=params.colsample_bytree,
         reg_alpha=params.alpha,
         random_state=params.seed,
+        **watched,
         **params.others,
     )
     return learner.fit(df.select(*columns))
@@ -143,23 +180,6 @@ def score_rows(model, df: DataFrame, rounds: int | None = None, name: str = "sco
     return df.withColumn(name, probability(margin)).drop(*[f"_t{i}" for i in range(rounds)])
 
 
-def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
-    """The model of the first ``rounds`` trees, as a model of its own.
-
-    It is cut out of the saved form, so it scores with one function call per row whatever its size.
-    """
-    spark = SparkSession.getActiveSession()
-    path = scratch_path(spark, "rounds")
-    whole, part = f"{path}/whole", f"{path}/part"
-    model.write().save(whole)
-    notes = json.loads(spark.read.text(f"{whole}/metadata").first().value)
-    notes["numTrees"] = rounds
-    spark.createDataFrame([(json.dumps(notes),)], "value string").coalesce(1).write.text(f"{part}/metadata")
-    for table, tree in (("treesMetadata", "_1"), ("data", "treeID")):
-        spark.read.parquet(f"{whole}/{table}").where(F.col(tree) < rounds).write.parquet(f"{part}/{table}")
-    return GBTClassificationModel.load(part)
-
-
 def staged_scores(model: GBTClassificationModel, df: DataFrame, label: str, split: str) -> DataFrame:
     """Long table ``round, split, score, label``: the score of every row after every round."""
     staged = staged_margins(model, df, model.getNumTrees)
@@ -186,40 +206,55 @@ class BoostedModel:
         """Model folder, with the round numbers beside it as one line of JSON."""
         self.model.write().overwrite().save(f"{path}/model")
         spark = SparkSession.getActiveSession()
-        notes = json.dumps({"kept_rounds": self.kept_rounds, "best_round": self.best_round})
+        kind = "boosted_trees" if isinstance(self.model, GBTClassificationModel) else "external_boosted_trees"
+        notes = json.dumps({"kept_rounds": self.kept_rounds, "best_round": self.best_round, "kind": kind})
         spark.createDataFrame([(notes,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/rounds")
 
     @classmethod
     def load(cls, path: str) -> BoostedModel:
         spark = SparkSession.getActiveSession()
         notes = json.loads(spark.read.text(f"{path}/rounds").first().value)
-        return cls(GBTClassificationModel.load(f"{path}/model"), notes["kept_rounds"], notes["best_round"])
+        if notes.get("kind") == "external_boosted_trees":
+            from xgboost.spark import SparkXGBClassifierModel
+
+            model = SparkXGBClassifierModel.load(f"{path}/model")
+        else:
+            model = GBTClassificationModel.load(f"{path}/model")
+        return cls(model, notes["kept_rounds"], notes["best_round"])
 
 
 def train(
-    df: DataFrame, label: str, params: BoostParams, row_id: str, split: str = "split", weight: str | None = None
+    df: DataFrame,
+    label: str,
+    params: BoostParams,
+    row_id: str,
+    split: str = "split",
+    weight: str | None = None,
+    train_curve: bool = False,
 ) -> tuple[BoostedModel, DataFrame]:
-    """Fit on the ``train`` rows and pick the stopping round by average precision on the ``val`` rows.
+    """Fit on the ``train`` rows and pick the stopping round by ``eval_metric`` on the ``val`` rows.
 
-    Returns the model and the metric curve of both splits.  All rounds are grown first: Spark's own
-    validation stop has other rules (it follows the loss and has no patience).
+    Returns the model and the metric curve of the ``val`` rows; with ``train_curve`` of both splits, which scores the
+    training rows once per round as well.  All rounds are grown first: Spark's own validation stop has other rules (it
+    follows the loss and has no patience).  The model stays whole; scoring uses the rounds that count.
     """
     model = fit_trees(df.where(F.col(split) == "train"), label, params, row_id, weight)
-    curve = round_curve(staged_scores(model, df, label, split), "round", split, "score", label)
+    watched = df if train_curve else df.where(F.col(split) == "val")
+    curve = settled(round_curve(staged_scores(model, watched, label, split), "round", split, "score", label), "curve")
     n = model.getNumTrees
     if params.early_stopping_rounds is None:
         return BoostedModel(model, n), curve
-    val = curve.where(F.col(split) == "val").select("round", "average_precision")
-    stop = early_stop(val, "round", "average_precision", params.early_stopping_rounds).first()
-    kept = stop.kept_rounds or n
-    return BoostedModel(model if kept == n else first_rounds(model, kept), kept, stop.best_round), curve
+    metric = stopping_metric(params.eval_metric)
+    val = curve.where(F.col(split) == "val").select("round", metric)
+    stop = early_stop(val, "round", metric, params.early_stopping_rounds).first()
+    return BoostedModel(model, stop.kept_rounds or n, stop.best_round), curve
 
 
 def train_external(
     df: DataFrame, label: str, params: BoostParams, row_id: str, split: str = "split", weight: str | None = None
 ) -> tuple[BoostedModel, None]:
-    """The same step with the external trainer; it keeps no per-round curve."""
-    return BoostedModel(fit_external_trees(df.where(F.col(split) == "train"), label, params, weight), None), None
+    """The same step with the external trainer, which stops by itself and keeps no per-round curve."""
+    return BoostedModel(fit_external_trees(df, label, params, weight, split), None), None
 
 
 TRAINERS: dict[str, Callable] = {"boosted_trees": train, "external_boosted_trees": train_external}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyfold.functions.scalars import above
-from tallyfold.operators.ranking import running_totals
+from tallyfold.operators.ranking import running_totals, settled
 
 METRICS = ["roc_auc", "average_precision", "accuracy"]
 
@@ -41,9 +41,8 @@ def binary_metrics(
     Without labelled rows the metrics are null; AUC and AP are null when a class is missing.
     """
     by = list(by)
-    counts = score_counts(df, score, label, by)
-    # mentioning the counts keeps the bucket search on the very same shuffle, so rows are scored once
-    steer = F.when(F.col("pos") + F.col("neg") > 0, F.col("score"))
+    # stored, so that rows are scored once although the counts are read more than once
+    counts = settled(score_counts(df, score, label, by), "scores")
     curve = running_totals(
         counts,
         ["score"],
@@ -51,7 +50,6 @@ def binary_metrics(
         by=by,
         descending=True,
         key_bits=key_bits,
-        balance=steer,
     )
     big = "decimal(38,0)"
     pairs2 = F.col("neg").cast("decimal(20,0)") * (2 * F.col("tp") - F.col("pos")).cast("decimal(18,0)")

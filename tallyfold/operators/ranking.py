@@ -8,27 +8,28 @@ the few rows left.  A sample or split is then the plain filter "at or before the
 data rows themselves are never shuffled or sorted.
 
 ``running_totals`` is a distributed prefix sum: bucket totals are summed in bucket order, and each
-bucket is then summed on its own.  Buckets come from approximate quantiles, so they are even whatever
-the distribution; the quantiles only steer balance, never the result.
+bucket is then summed on its own.  Buckets come from a bounded sample of the keys, taken once and passed
+on as constants, so they are even whatever the distribution; the sample only steers balance, never the
+result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyfold.functions.hashing import HASH_BITS, row_hash
+from tallyfold.session import scratch_path
 
 LEVEL_BITS = 12
 # Sides known to have at most this many rows are broadcast; beyond it the join is left to the planner.
 BROADCAST_ROWS = 100_000
-# Below Spark's default windowGroupLimitThreshold, so ranks are cut before the shuffle.
-GROUP_LIMIT_MAX = 500
-# Up to here the first rows by id are merged in one task.
-FIRST_N_MAX = 100_000
+# A bucket of the natural order holds about this many rows at least, and this many keys are sampled for it.
+BUCKET_ROWS = 1_000
+SAMPLE_PER_BUCKET = 32
 
 
 def small_side(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -43,33 +44,53 @@ def _no_rows(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------- buckets
 
 
-def with_quantile_bucket(
-    df: DataFrame,
-    key: str,
-    name: str,
-    bits: int = 10,
-    bounds_from: DataFrame | None = None,
-    balance: Column | None = None,
-) -> DataFrame:
-    """Add a monotone bucket number of a numeric or time ``key``: ``2 ** bits`` buckets of even size.
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back, for what is used more than once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def order_bounds(df: DataFrame, order: Sequence[str], bits: int) -> list[Row]:
+    """Ascending bounds that cut ``df`` into up to ``2 ** bits`` buckets of about even size along ``order``.
 
-    The bounds are one scalar subquery over ``bounds_from``, on ``balance`` if given (the key, or null for
-    rows that need not steer the buckets).  A row finds its bucket by binary search, one
-    short step per bit, inside generated code.
+    They are taken from a sample of a fixed number of keys per bucket, of any type that Spark can order.
     """
-    n = 2**bits
-    # one folded constant: a thousand literals would be walked by every analysis of the plan
-    probs = F.split(F.lit(",".join(str(i / n) for i in range(1, n))), ",").cast("array<double>")
-    steer = F.col(key) if balance is None else balance
-    bounds = (bounds_from or df).agg(F.percentile_approx(steer, probs, 4 * n)).scalar()
-    df = df.withColumn("_q", bounds).withColumn("_s", F.lit(0))
+    n = df.count()
+    buckets = min(2**bits, n // BUCKET_ROWS)
+    if buckets < 2:
+        return []
+    share = SAMPLE_PER_BUCKET * buckets / n
+    keys = df.select(*order)
+    got = (keys.sample(share, seed=17) if share < 1 else keys).orderBy(*order).collect()
+    picked = [got[len(got) * i // buckets] for i in range(1, buckets)] if got else []
+    return [row for i, row in enumerate(picked) if not i or row != picked[i - 1]]
+
+
+def with_order_bucket(df: DataFrame, order: Sequence[str], name: str, bounds: Sequence[Row]) -> DataFrame:
+    """Add a monotone bucket number: how many ``bounds`` lie before the row, nulls first.
+
+    The bounds are constants.  A row finds its bucket by binary search, one short step per bit, inside
+    generated code.
+    """
+    if not bounds:
+        return df.withColumn(name, F.lit(0))
+    place = F.struct(*[F.col(c) for c in order])
+    table = df.sparkSession.createDataFrame([tuple(r) for r in bounds], df.select(*order).schema)
+    df = df.withColumn("_q", table.agg(F.array_sort(F.collect_list(place))).scalar()).withColumn("_s", F.lit(0))
     # each step refers to the last one twice, so the optimizer keeps the steps apart instead of nesting them
-    for half in (2**i for i in reversed(range(bits))):
-        past = f"coalesce(get(_q, _s + {half - 1}) < `{key}`, false)"
-        df = df.withColumn("_s", F.expr(f"_s + if({past}, {half}, 0)"))
+    for half in (2**i for i in reversed(range(len(bounds).bit_length()))):
+        past = F.coalesce(F.get("_q", F.col("_s") + (half - 1)) < place, F.lit(False))
+        df = df.withColumn("_s", F.col("_s") + F.when(past, F.lit(half)).otherwise(F.lit(0)))
     return df.withColumn(name, F.col("_s")).drop("_q", "_s")
 
 
+def constant(df: DataFrame, order: Sequence[str], row: Row) -> Column:
+    """A key as a constant struct with the types it has in ``df``."""
+    types = {f.name: f.dataType for f in df.select(*order).schema.fields}
+    return F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in order])
+
+
 def hash_bucket(h: str | Column, bits: int = LEVEL_BITS) -> Column:
     """Leading ``bits`` of a 60-bit hash; even by construction."""
     return F.shiftright(h, HASH_BITS - bits)
@@ -81,20 +102,19 @@ def hash_bucket(h: str | Column, bits: int = LEVEL_BITS) -> Column:
 def rank_cutoffs(
     keyed: DataFrame,
     order: Sequence[str],
-    want: Callable[[Column], Column],
+    want: Callable[[Column], Column] | None = None,
     by: Sequence[str] = (),
     levels: int = 2,
     n_cuts: int | None = None,
-    natural: bool = False,
-    key_bits: int = 12,
+    every: int | None = None,
 ) -> DataFrame:
-    """Rows that hold the wanted 1-based ranks: columns ``*by, rank, *order``.
+    """Rows that hold the wanted 1-based ranks: columns ``*by, rank, *order, take, ties``.
 
-    ``order[0]`` is a 60-bit hash, or with ``natural=True`` a numeric or time key.  ``want`` maps the
-    row count of the group to an array of ranks.  Ranks outside ``1..count`` yield no row.
-    A level narrows the search by 4096 (``2 ** key_bits`` for a natural key), so two levels of a hash
-    leave a 16-millionth of the rows for the last step.
-    ``n_cuts`` is a proven bound on the number of result rows, if there is one.
+    ``order[0]`` is a 60-bit hash.  ``want`` maps the row count of the group to an array of ranks, or
+    ``every`` asks for all its multiples.  Ranks outside ``1..count`` yield no row.  ``ties`` rows are equal
+    in ``order`` to the row found and ``take`` of them lie at or before the rank.  A level narrows the search
+    by 4096, so two levels leave a 16-millionth of the rows for the last step.  ``n_cuts`` is a proven bound
+    on the number of result rows, if there is one.
     """
     by = list(by)
     edges, path = None, []
@@ -104,41 +124,80 @@ def rank_cutoffs(
         if edges is not None:
             hot = small_side(edges.select(*by, *path).distinct(), n_cuts)
             rows = rows.join(hot, [*by, *path], "left_semi")
-        if natural:
-            bounds_from = rows
-            keyed = with_quantile_bucket(keyed, order[0], b, key_bits, bounds_from)
-            rows = with_quantile_bucket(rows, order[0], b, key_bits, bounds_from)
-        else:
-            keyed = keyed.withColumn(b, hash_bucket(order[0], LEVEL_BITS * level))
-            rows = rows.withColumn(b, hash_bucket(order[0], LEVEL_BITS * level))
+        keyed = keyed.withColumn(b, hash_bucket(order[0], LEVEL_BITS * level))
+        rows = rows.withColumn(b, hash_bucket(order[0], LEVEL_BITS * level))
         counts = rows.groupBy(*by, *path, b).agg(F.count(F.lit(1)).alias("_n"))
         if edges is None:
             group = Window.partitionBy(*by)
-            counts = counts.withColumn("_want", want(F.sum("_n").over(group))).withColumn("_base", F.lit(0))
+            if want:
+                counts = counts.withColumn("_want", want(F.sum("_n").over(group)))
+            counts = counts.withColumn("_base", F.lit(0))
         else:
             counts = counts.join(small_side(edges, n_cuts), [*by, *path])
             group = Window.partitionBy(*by, "rank")
         before = F.coalesce(F.sum("_n").over(group.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counts = counts.withColumn("_base", (F.col("_base") + before).cast("bigint"))
-        upto = F.col("_base") + F.col("_n")
+        counts = counts.withColumn("_upto", F.col("_base") + F.col("_n"))
         path = [*path, b]
-        if edges is None:
-            inside = F.filter("_want", lambda r: (r > F.col("_base")) & (r <= upto))
-            edges = counts.select(*by, *path, "_base", F.explode(inside).alias("rank"))
+        if edges is not None:
+            inside = (F.col("rank") > F.col("_base")) & (F.col("rank") <= F.col("_upto"))
+            edges = counts.where(inside).select(*by, *path, "_base", "rank")
+        elif every:
+            step = F.lit(int(every)).cast("bigint")
+            first, last = F.expr(f"(_base div {every}L + 1) * {every}L"), F.expr(f"(_upto div {every}L) * {every}L")
+            ranks = F.when(first <= last, F.sequence(first, last, step))
+            edges = counts.select(*by, *path, "_base", F.explode(ranks).alias("rank"))
         else:
-            edges = counts.where((F.col("rank") > F.col("_base")) & (F.col("rank") <= upto)).select(
-                *by, *path, "_base", "rank"
-            )
+            inside = F.filter("_want", lambda r: (r > F.col("_base")) & (r <= F.col("_upto")))
+            edges = counts.select(*by, *path, "_base", F.explode(inside).alias("rank"))
     last = keyed.join(small_side(edges, n_cuts), [*by, *path])
-    place = F.row_number().over(Window.partitionBy(*by, "rank").orderBy(*order))
+    inside = Window.partitionBy(*by, "rank").orderBy(*order)
+    equal = F.count(F.lit(1)).over(Window.partitionBy(*by, "rank", *order))
     return (
-        last.withColumn("_base", F.col("rank") - F.col("_base") - place)
-        .where("_base = 0")
-        .select(*by, "rank", *order)
+        last.withColumns({"_place": F.row_number().over(inside), "_low": F.rank().over(inside), "ties": equal})
+        .where(F.col("_base") + F.col("_place") == F.col("rank"))
+        .select(*by, "rank", *order, (F.col("_place") - F.col("_low") + 1).alias("take"), "ties")
     )
 
 
-def _hashed(df: DataFrame, row_id: str, seed: int, hash: str, keep: Sequence[str] = ()) -> DataFrame:
+def cutoff_row(df: DataFrame, order: Sequence[str], rank: int) -> tuple[Row, int, int] | None:
+    """The row at a 1-based ``rank`` along ``order`` (any types, nulls first), with how many rows equal to it
+    lie at or before the rank and how many there are; None beyond the last row.
+
+    Buckets are counted and only the one that holds the rank is searched on, until it is small or made of
+    equal rows.
+    """
+    order = list(order)
+    rows, left, size = df.select(*order), int(rank), None
+    while bounds := order_bounds(rows, order, LEVEL_BITS):
+        counts = sorted(tuple(r) for r in with_order_bucket(rows, order, "_b", bounds).groupBy("_b").count().collect())
+        hit = None
+        for b, n in counts:
+            if left <= n:
+                hit = b, n
+                break
+            left -= n
+        if hit is None:
+            return None
+        b, n = hit
+        place = F.struct(*[F.col(c) for c in order])
+        if b:
+            rows = rows.where(place > constant(df, order, bounds[b - 1]))
+        if b < len(bounds):
+            rows = rows.where(place <= constant(df, order, bounds[b]))
+        if n <= BUCKET_ROWS or (size is not None and n > 0.9 * size):
+            break
+        size = n
+    # equal rows collapse before they meet
+    upto = F.sum("count").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = rows.groupBy(*order).count().withColumn("_upto", upto).where(F.col("_upto") >= left).orderBy(*order).limit(1).collect()
+    if not found:
+        return None
+    row = found[0]
+    return Row(**{c: row[c] for c in order}), left - (row["_upto"] - row["count"]), row["count"]
+
+
+def _hashed(df: DataFrame, row_id: str, seed: int, hash: str, keep: Sequence[str | Column] = ()) -> DataFrame:
     # never null, or every join on its buckets would hash each row once more to test for null
     h = F.coalesce(row_hash(row_id, seed, hash), F.lit(0).cast("bigint"))
     return df.select(*keep, h.alias("_h"), F.col(row_id).alias("_id"))
@@ -151,9 +210,14 @@ def _place(row_id: str, seed: int, hash: str) -> Column:
 def at_or_before_rank(
     df: DataFrame, row_id: str, want: Callable[[Column], Column], seed: int = 42, hash: str = "md5", levels: int = 2
 ) -> Column:
-    """Boolean column: the row is among the first ``want(count)`` rows of the seeded order."""
+    """Boolean column: the row is among the first ``want(count)`` rows of the seeded order.
+
+    Rows that share an id cannot be told apart: an end between them is an error when the query runs.
+    """
     cut = rank_cutoffs(_hashed(df, row_id, seed, hash), ["_h", "_id"], lambda n: F.array(want(n)), levels=levels, n_cuts=1)
-    cut = cut.select(F.struct("_h", "_id").alias("cut")).scalar()
+    torn = F.raise_error(F.lit(f"{row_id} is not unique: the last row taken shares its id with others"))
+    whole = F.struct("_h", "_id")
+    cut = cut.select(F.when(F.col("take") < F.col("ties"), torn.cast(cut.select(whole.alias("c")).schema["c"].dataType)).otherwise(whole).alias("cut")).scalar()
     return F.coalesce(_place(row_id, seed, hash) <= cut, F.lit(False))
 
 
@@ -163,7 +227,7 @@ def at_or_before_rank(
 def sample_n(
     df: DataFrame, row_id: str, n: int, seed: int = 42, hash: str = "md5", strict: bool = False, levels: int = 2
 ) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows without replacement; ``row_id`` must be unique.
+    """Exactly ``min(n, rows)`` rows without replacement; a ``row_id`` that is not unique may be an error.
 
     With ``strict`` asking for more rows than exist raises.
     """
@@ -212,44 +276,45 @@ def stratified_sample(
 def per_group_sample(
     df: DataFrame, row_id: str, group_cols: Sequence[str], n: int, seed: int = 42, hash: str = "md5"
 ) -> DataFrame:
-    """Up to ``n`` rows of every group, in the seeded order.
+    """Exactly ``min(n, rows)`` rows of every group, in the seeded order; ids may repeat.
 
-    A small ``n`` is cut per task before the shuffle (window group limit), so a hot group costs no more
-    than a small one.  A large ``n`` goes through per-group cutoffs.
+    Each group's cutoff row is found by counting, as for one sample, so neither a hot group nor a large ``n``
+    brings a group together.  Rows with one id are told apart by their content; equal rows by nothing.
     """
     if n <= 0:
         return _no_rows(df)
-    if n <= GROUP_LIMIT_MAX:
-        place = Window.partitionBy(*group_cols).orderBy("_h", row_id)
-        return (
-            df.withColumn("_h", row_hash(row_id, seed, hash))
-            .withColumn("_rank", F.row_number().over(place))
-            .where(F.col("_rank") <= n)
-            .drop("_h", "_rank")
-        )
     keyed = df.withColumn("_g", F.to_json(F.struct(*group_cols)))  # never null, so no group is lost in the join
-    cuts = rank_cutoffs(
-        _hashed(keyed, row_id, seed, hash, ["_g"]),
-        ["_h", "_id"],
-        lambda total: F.array(F.least(F.lit(n), total).cast("bigint")),
-        by=["_g"],
-    ).select("_g", F.struct("_h", "_id").alias("_cut"))
-    return keyed.join(cuts, "_g").where(_place(row_id, seed, hash) <= F.col("_cut")).select(*df.columns)
+    rows = _hashed(keyed, row_id, seed, hash, ["_g", F.xxhash64(*df.columns).alias("_r")])
+    cuts = rank_cutoffs(rows, ["_h", "_id", "_r"], lambda total: F.array(F.least(F.lit(n), total).cast("bigint")), by=["_g"])
+    cuts = settled(cuts.select("_g", F.struct("_h", "_id", "_r").alias("_cut"), "take", "ties"), "cuts")
+    groups, torn = cuts.agg(F.count(F.lit(1)), F.max(F.col("ties") - F.col("take"))).first()
+    h = F.coalesce(row_hash(row_id, seed, hash), F.lit(0).cast("bigint"))
+    place = F.struct(h.alias("_h"), F.col(row_id).alias("_id"), F.xxhash64(*df.columns).alias("_r"))
+    near = keyed.join(small_side(cuts, groups), "_g").withColumn("_place", place)
+    if not torn:
+        return near.where(F.col("_place") <= F.col("_cut")).select(*df.columns)
+    nth = F.row_number().over(Window.partitionBy("_g").orderBy("_place"))
+    equal = near.where(F.col("_place") == F.col("_cut")).withColumn("_nth", nth).where(F.col("_nth") <= F.col("take"))
+    return near.where(F.col("_place") < F.col("_cut")).select(*df.columns).union(equal.select(*df.columns))
 
 
 def first_n(df: DataFrame, row_id: str, n: int) -> DataFrame:
-    """First ``n`` rows by a unique id; a large ``n`` needs a numeric or time id and is found by its cutoff."""
-    if n <= FIRST_N_MAX:
-        return df.orderBy(row_id).limit(n)
-    cut = rank_cutoffs(
-        df.select(row_id),
-        [row_id],
-        lambda total: F.array(F.least(F.lit(n), total).cast("bigint")),
-        levels=1,
-        n_cuts=1,
-        natural=True,
-    )
-    return df.where(F.col(row_id) <= cut.select(row_id).scalar())
+    """Exactly ``min(n, rows)`` first rows by an id of any type, nulls first; ids may repeat.
+
+    The n-th row is found by counting buckets; the result is a filter.  Rows with one id are ordered by a
+    hash of their content, so only wholly equal rows are ever cut by a limit.
+    """
+    if n <= 0:
+        return _no_rows(df)
+    keyed = df.select("*", F.col(row_id).alias("_key"), F.xxhash64(*df.columns).alias("_r"))
+    found = cutoff_row(keyed, ["_key", "_r"], n)
+    if found is None:
+        return df
+    row, take, ties = found
+    place, cut = F.struct("_key", "_r"), constant(keyed, ["_key", "_r"], row)
+    if take == ties:
+        return keyed.where(place <= cut).select(*df.columns)
+    return keyed.where(place < cut).select(*df.columns).union(keyed.where(place == cut).limit(take).select(*df.columns))
 
 
 # ---------------------------------------------------------------------------------- running totals
@@ -263,12 +328,14 @@ def running_totals(
     bucket: Column | None = None,
     descending: bool = False,
     key_bits: int = 10,
-    balance: Column | None = None,
 ) -> DataFrame:
-    """Inclusive running sums of ``sums`` along ``order`` within ``by``, exact for a unique order."""
+    """Inclusive running sums of ``sums`` along ``order`` within ``by``, exact for a unique order.
+
+    Without a ``bucket`` the bounds are sampled at once, so ``df`` should be a stored table or cheap to read twice.
+    """
     by = list(by)
     if bucket is None:
-        tagged = with_quantile_bucket(df, order[0], "_b", key_bits, balance=balance)
+        tagged = with_order_bucket(df, order, "_b", order_bounds(df, order, key_bits))
     else:
         tagged = df.withColumn("_b", bucket)
     if descending:
@@ -295,9 +362,13 @@ def running_totals(
     )
 
 
-def global_ordinal(df: DataFrame, key: str, name: str = "ordinal", key_bits: int = 10) -> DataFrame:
-    """0-based position of every row along a unique numeric or time key."""
-    ranked = running_totals(df, [key], {"_pos": F.lit(1).cast("bigint")}, key_bits=key_bits)
+def global_ordinal(df: DataFrame, key: str | Sequence[str], name: str = "ordinal", key_bits: int = 10) -> DataFrame:
+    """0-based position of every row along one or more columns of any orderable type, nulls first.
+
+    The last column should be unique; rows equal in all of them get positions next to each other.
+    """
+    order = [key] if isinstance(key, str) else list(key)
+    ranked = running_totals(df, order, {"_pos": F.lit(1).cast("bigint")}, key_bits=key_bits)
     return ranked.select(*df.columns, (F.col("_pos") - 1).alias(name))
 
 

@@ -6,15 +6,24 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyfold.functions.hashing import row_hash
-from tallyfold.functions.scalars import let
 from tallyfold.operators.labels import class_counts
-from tallyfold.operators.ranking import at_or_before_rank, rank_cutoffs, sample_n
+from tallyfold.operators.ranking import (
+    at_or_before_rank,
+    constant,
+    cutoff_row,
+    first_n,
+    hash_bucket,
+    rank_cutoffs,
+    sample_n,
+    small_side,
+)
 
 FINAL = "final"
-# every weak learner is a model of its own, so their number is small; checked when learners are allotted
-MAX_LEARNERS = 10_000
+# most leading hash bits by which the ends of learners are looked up
+MAX_BITS = 24
 
 
 def keep_ids(df: DataFrame, row_id: str, ids: DataFrame) -> DataFrame:
@@ -143,7 +152,7 @@ def top_up_positives(
     positive = candidates.where(F.col(label) == 1)
     added = drop_ids(sample_n(positive, row_id, n, seed, hash, strict=True), row_id, working)
     if debug_rows is not None:
-        added = added.orderBy(row_id).limit(debug_rows)
+        added = first_n(added, row_id, debug_rows)
     return working.unionByName(added.select(*working.columns))
 
 
@@ -163,43 +172,31 @@ def allot_learners(
     table for -1.  Pool rows that do not fill another learner go to ``final`` as well.
     """
     order = order or row_id
-    pool = df
+    pool, in_pool = df, F.lit(True)
     if final_size != -1:
-        last = rank_cutoffs(
-            df.select(order),
-            [order],
-            lambda n: F.array((n - final_size).cast("bigint")),
-            levels=1,
-            n_cuts=1,
-            natural=True,
-        )
-        in_pool = F.coalesce(F.col(order) <= last.select(order).scalar(), F.lit(False))
+        keys = list(dict.fromkeys([order, row_id]))
+        found = cutoff_row(df, keys, df.count() - final_size)
+        if found is None or found[0] is None:
+            in_pool = F.lit(False)
+        else:
+            in_pool = F.struct(*keys) <= constant(df, keys, found[0])
         pool = df.where(in_pool)
-    else:
-        in_pool = F.lit(True)
-    step = F.lit(weak_size).cast("bigint")
-    too_many = F.raise_error(F.lit(f"more than {MAX_LEARNERS} weak learners")).cast("array<bigint>")
-
-    def ends(total: Column) -> Column:
-        k = F.floor(total / weak_size).cast("bigint")
-        return F.when(k > MAX_LEARNERS, too_many).when(k > 0, F.sequence(step, k * step, step))
-
-    place = F.struct(row_hash(row_id, seed, hash).alias("_h"), F.col(row_id).alias("_id"))
+    learners = pool.count() // weak_size
+    if not learners:
+        return df.withColumn(name, F.lit(FINAL))
     hashed = pool.select(row_hash(row_id, seed, hash).alias("_h"), F.col(row_id).alias("_id"))
-    cuts = rank_cutoffs(hashed, ["_h", "_id"], ends, n_cuts=MAX_LEARNERS)
-    cuts = cuts.agg(F.array_sort(F.collect_list(F.struct("_h", "_id"))).alias("cuts")).scalar()
-    # number of cutoffs before the row, by binary search; one expression, so that it stays one when a filter
-    # on the learner is pushed below it
-    halves = F.array(*[F.lit(2**i) for i in reversed(range(MAX_LEARNERS.bit_length()))])
-
-    def cuts_before(here: Column) -> Column:
-        def step(at: Column, half: Column) -> Column:
-            beyond = F.coalesce(F.get("_cuts", at + half - 1) < here, F.lit(False))
-            return at + F.when(beyond, half).otherwise(F.lit(0))
-
-        return F.aggregate(halves, F.lit(0), step)
-
-    learner = let(
-        let(place, cuts_before), lambda i: F.when(i < F.size("_cuts"), i.cast("string")).otherwise(F.lit(FINAL))
-    )
-    return df.withColumn("_cuts", cuts).withColumn(name, F.when(in_pool, learner).otherwise(F.lit(FINAL))).drop("_cuts")
+    cuts = rank_cutoffs(hashed, ["_h", "_id"], n_cuts=learners, every=weak_size)
+    # ends of learners by leading hash bits: about one per bucket, and how many lie in buckets before
+    bits = min(MAX_BITS, max(1, learners.bit_length()))
+    ends = cuts.groupBy(hash_bucket("_h", bits).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_h", "_id"))).alias("_ends"))
+    every = df.sparkSession.range(2**bits).select(F.col("id").alias("_b")).join(ends, "_b", "left")
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.coalesce(F.size("_ends"), F.lit(0))
+    every = every.select("_b", "_ends", F.coalesce(F.sum(F.greatest(here, F.lit(0))).over(before), F.lit(0)).alias("_before"))
+    place = F.struct(row_hash(row_id, seed, hash).alias("_h"), F.col(row_id).alias("_id"))
+    dealt = df.withColumn("_place", place).withColumn("_b", hash_bucket(F.col("_place._h"), bits))
+    dealt = dealt.join(small_side(every, 2**bits), "_b", "left")
+    passed = F.coalesce(F.size(F.filter("_ends", lambda end: end < F.col("_place"))), F.lit(0))
+    number = F.col("_before") + F.greatest(passed, F.lit(0))
+    learner = F.when(in_pool & (number < learners), number.cast("string")).otherwise(F.lit(FINAL))
+    return dealt.withColumn(name, learner).select(*df.columns, name)

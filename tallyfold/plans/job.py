@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +26,17 @@ from tallyfold.operators.labels import (
 )
 from tallyfold.operators.learning import BoostedModel, trainer, weak_scores
 from tallyfold.operators.metrics import METRICS, binary_metrics
-from tallyfold.operators.ranking import debug_subset, small_side
+from tallyfold.operators.ranking import debug_subset, settled, small_side
 from tallyfold.operators.rowsets import (
     FINAL,
     allot_learners,
     cap_train_size,
+    keep_ids,
     positives_wanted,
     select_training_rows,
     split_train_val,
     top_up_positives,
+    widen_scores,
 )
 from tallyfold.plans.params import ENSEMBLE, Columns, FeatureParams, JobParams
 from tallyfold.sources import tables
@@ -143,6 +146,14 @@ def _rewrite(df: DataFrame, path: str, **options) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _all_readable(made: DataFrame, features: FeatureParams, what: str) -> DataFrame:
+    """A fingerprint that is null stands for a text that cannot be read; the job stops rather than lose it."""
+    bad = made.where(F.col("bits").isNull()).count() if features.name == "graph_circular" else 0
+    if bad:
+        raise ValueError(f"{bad} rows of the {what} table are not line notation")
+    return made
+
+
 def _train_one(
     stored: DataFrame,
     vectors: Callable[[DataFrame], DataFrame],
@@ -153,7 +164,7 @@ def _train_one(
     input_name: str,
     answer_name: str,
 ) -> tuple[BoostedModel, dict]:
-    """Train and validate on the stored rows of one model, then score the test table."""
+    """Train and validate on the stored rows of one model, then score the test table once, into ``test_scores``."""
     spark = stored.sparkSession
     tables.write_membership(stored, f"{out_dir}/membership", ID, [LABEL, "split"], mode="overwrite")
     weight = chosen.weight(params, stored.count())
@@ -167,7 +178,9 @@ def _train_one(
     metrics = metrics.first().asDict()
     table = spark.createDataFrame([metrics], ", ".join(f"{m} double" for m in METRICS))
     tables.write_csv(table, tables.metrics_path(out_dir, input_name, spark), mode="overwrite")
-    answer = tables.submission(model.score(test), ID, "score", answer_name, order=ID)
+    # stored before it is sorted, as a sort reads its input twice
+    scores = _rewrite(model.score(test).select(ID, "score"), f"{out_dir}/test_scores")
+    answer = tables.submission(scores, ID, "score", answer_name, order=ID)
     tables.write_csv(answer, f"{out_dir}/submission.csv", mode="overwrite")
     return model, metrics
 
@@ -190,6 +203,7 @@ def run_job(
     out_dir = out_dir.rstrip("/")
     notes = json.dumps(params.to_dict())
     spark.createDataFrame([(notes,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out_dir}/config")
+    spark.createDataFrame([(json.dumps(asdict(columns)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out_dir}/columns")
     whole = normalise(train_df, columns, labelled=True)
     test = normalise(test_df, columns, labelled=False)
     dictionary = None
@@ -206,12 +220,13 @@ def run_job(
         return vectorise(df, bit_length(base.features), base.code_mode)
 
     # texts are read to make bits, once per table, and never again
-    test_rows = vectors(_rewrite(build_features(test, base.features, dictionary, []), f"{out_dir}/features_test"))
+    made = _rewrite(build_features(test, base.features, dictionary, []), f"{out_dir}/features_test")
+    test_rows = vectors(_all_readable(made, base.features, "test"))
 
     if params.kind != ENSEMBLE:
         chosen = select_rows(whole, whole, params)
         made = build_features(chosen.rows, base.features, dictionary, [LABEL, "split"])
-        stored = _rewrite(made, f"{out_dir}/features_train", partition_by=["split"])
+        stored = _all_readable(_rewrite(made, f"{out_dir}/features_train", partition_by=["split"]), base.features, "training")
         model, metrics = _train_one(stored, vectors, chosen, test_rows, params, out_dir, *names)
         return JobResult(model, [], metrics, out_dir)
 
@@ -220,7 +235,7 @@ def run_job(
     made = build_features(dealt, base.features, dictionary, [LABEL, "learner"])
     # one folder per learner; rebalancing keeps files few for small learners and splits the large final set
     dealt = _rewrite(made.hint("rebalance", "learner"), f"{out_dir}/features_train", partition_by=["learner"])
-    dealt = dealt.withColumn("learner", F.col("learner").cast("string"))
+    dealt = _all_readable(dealt, base.features, "training").withColumn("learner", F.col("learner").cast("string"))
     weak: list[BoostedModel] = []
     for i in range(k):
         where = f"{out_dir}/weak_learner_{i}"
@@ -234,7 +249,10 @@ def run_job(
     chosen = select_rows(dealt.where(F.col("learner") == FINAL), dealt, params)
     scored = weak_scores(weak, vectors(chosen.rows)).drop("features")
     stored = _rewrite(scored, f"{out_dir}/weak_scores_train", partition_by=["split"])
-    scored_test = _rewrite(weak_scores(weak, test_rows).drop("features"), f"{out_dir}/weak_scores_test")
+    # every weak learner has scored the test table already
+    long = [spark.read.parquet(f"{out_dir}/weak_learner_{i}/test_scores").withColumn("learner", F.lit(f"weak_{i}")) for i in range(k)]
+    wide = widen_scores(reduce(DataFrame.union, long), ID, "learner", "score", [f"weak_{i}" for i in range(k)])
+    scored_test = _rewrite(wide, f"{out_dir}/weak_scores_test")
     # class counts of the whole table, as the final model stands for all of it
     totals = class_counts(dealt, LABEL).first()
     if not chosen.topped_up:
@@ -243,3 +261,51 @@ def run_job(
         stored, weak_score_vectors, chosen, weak_score_vectors(scored_test), params, out_dir, *names
     )
     return JobResult(model, weak, metrics, out_dir)
+
+
+@dataclass
+class SavedRun:
+    """A finished run, read back from its folder, to score and evaluate other tables."""
+
+    params: JobParams
+    columns: Columns
+    dictionary: DataFrame | None
+    model: BoostedModel
+    weak: list[BoostedModel]
+
+    def _scored(self, df: DataFrame, labelled: bool) -> DataFrame:
+        base = self.params.weak if self.params.kind == ENSEMBLE else self.params
+        rows = normalise(df, self.columns, labelled)
+        keep = [LABEL] if LABEL in rows.columns else []
+        # stored, as the rows are counted for unreadable texts before they are scored
+        made = settled(build_features(rows, base.features, self.dictionary, keep), "features")
+        rows = vectorise(_all_readable(made, base.features, "given"), bit_length(base.features), base.code_mode)
+        if self.weak:
+            scored = weak_scores(self.weak, rows).drop("features")
+            rows = fp.assemble(scored, [f"weak_{i}" for i in range(len(self.weak))])
+        return self.model.score(rows).select(ID, *keep, "score")
+
+    def score(self, df: DataFrame, labelled: bool = False) -> DataFrame:
+        """``row_id, score`` of every row; ``labelled`` says which of the two id columns the table has."""
+        return self._scored(df, labelled).select(ID, "score")
+
+    def evaluate(self, df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+        """One row of metrics over the labelled rows, or over those named in ``ids`` (column ``row_id``)."""
+        scored = self._scored(df, labelled=True)
+        return binary_metrics(scored if ids is None else keep_ids(scored, ID, ids), "score", LABEL)
+
+
+def load_run(spark: SparkSession, out_dir: str) -> SavedRun:
+    """Read a run of :func:`run_job` back: settings, columns, category codes, model and weak learners."""
+    out_dir = out_dir.rstrip("/")
+    params = JobParams.from_saved(json.loads(spark.read.text(f"{out_dir}/config").first().value))
+    columns = Columns(**json.loads(spark.read.text(f"{out_dir}/columns").first().value))
+    dictionary = None
+    if columns.category:
+        codes = spark.read.parquet(f"{out_dir}/codes")
+        dictionary = small_side(codes, codes.count())
+    weak = []
+    if params.kind == ENSEMBLE:
+        size = len(spark.read.parquet(f"{out_dir}/weak_scores_test").columns) - 1
+        weak = [BoostedModel.load(f"{out_dir}/weak_learner_{i}") for i in range(size)]
+    return SavedRun(params, columns, dictionary, BoostedModel.load(out_dir), weak)

@@ -22,7 +22,9 @@ FEATURIZER_NAMES = {
     "weak_scores": "weak_scores",
 }
 # Settings that belong to the cluster or are implied by Spark's trees; read, kept and not used.
-CLUSTER_KEYS = ("objective", "eval_metric", "verbosity", "nthread", "tree_method", "grow_policy", "device")
+CLUSTER_KEYS = ("verbosity", "nthread", "tree_method", "grow_policy", "device")
+
+OBJECTIVE = "binary:logistic"
 
 
 @dataclass(frozen=True)
@@ -93,6 +95,9 @@ class JobParams:
         weak = model.pop("weak_learner_config", None)
         model.pop("num_weak_learners", None)
         ignored = {k: model.pop(k) for k in CLUSTER_KEYS if k in model}
+        objective = model.pop("objective", OBJECTIVE)
+        if objective != OBJECTIVE:
+            raise ValueError(f"objective {objective!r} is not supported, only {OBJECTIVE!r}")
         boost = BoostParams(
             early_stopping_rounds=train.get("early_stopping_rounds"), seed=extra.get("seed", 42), **model
         )

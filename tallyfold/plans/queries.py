@@ -21,6 +21,8 @@ from tallyfold.functions.scalars import (
 from tallyfold.operators import fingerprints as fp
 from tallyfold.operators import graphs, labels, learning, metrics, ranking, rowsets
 from tallyfold.plans import oracle as sql
+from tallyfold.plans.job import load_run, run_job
+from tallyfold.plans.params import Columns, JobParams
 from tallyfold.session import scratch_path, spread
 from tallyfold.sources import tables
 
@@ -418,6 +420,12 @@ def a12(spark, d):
     return labels.grow_dictionary(table(spark, d, "documents"), "lang", "doc_id", known, len(CODES))
 
 
+@query("a12_dictionary_growth_by_string_id", f"select 'en' as value, 0 as code union all select 'fr', 1 union all select value, code::int from ({GROWN.replace('min(doc_id)', "min('d' || doc_id)")})")
+def a12_string(spark, d):
+    docs = table(spark, d, "documents").select("lang", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"))
+    return labels.grow_dictionary(docs, "lang", "key", labels.dictionary_frame(spark, CODES), len(CODES))
+
+
 @query(
     "a13_learner_count",
     """select n as n_rows, n - 50 as pool, (n - 50) // 60 as num_weak from (select count(*) as n from documents)""",
@@ -429,9 +437,17 @@ def a13(spark, d):
 # ================================================================================= window-shaped rows
 
 
-@query("w1_global_ordinal", "select event_id, row_number() over (order by ts) - 1 as ordinal from events")
+@query("w1_global_ordinal", "select event_id, row_number() over (order by ts, event_id) - 1 as ordinal from events")
 def w1(spark, d):
-    return ranking.global_ordinal(table(spark, d, "events").select("event_id", "ts"), "ts").drop("ts")
+    return ranking.global_ordinal(table(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"]).drop("ts")
+
+
+@query(
+    "w1_global_ordinal_by_string",
+    "select event_id, row_number() over (order by event_type, event_id) - 1 as ordinal from events",
+)
+def w1_string(spark, d):
+    return ranking.global_ordinal(table(spark, d, "events").select("event_id", "event_type"), ["event_type", "event_id"]).drop("event_type")
 
 
 @query(
@@ -477,6 +493,20 @@ def w4_large(spark, d):
     return ranking.per_group_sample(table(spark, d, "events").select("event_id", "event_type"), "event_id", ["event_type"], 700)
 
 
+def sql_group_sample(n: int) -> str:
+    return f"""select event_id, event_type from (
+          select event_id, event_type, row_number() over (partition by event_type order by {sql.seeded('event_id')}, event_id) as r
+          from events) where r <= {n}"""
+
+
+def group_sample(n: int) -> Query:
+    return lambda spark, d: ranking.per_group_sample(table(spark, d, "events").select("event_id", "event_type"), "event_id", ["event_type"], n)
+
+
+for rows_per_group in (500, 501):
+    query(f"w4_sample_of_{rows_per_group}_per_group", sql_group_sample(rows_per_group))(group_sample(rows_per_group))
+
+
 # ================================================================================== samples and limits
 
 
@@ -506,6 +536,23 @@ def k3(spark, d):
     return ranking.first_n(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 1000)
 
 
+@query("k3_first_n_of_repeated_ids", "select o_custkey, count(*) as n from (select o_custkey from orders order by o_custkey limit 1234) group by 1")
+def k3_repeated(spark, d):
+    first = ranking.first_n(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", 1234)
+    return first.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k3_first_n_by_string", "select c_name from customer order by c_name limit 120")
+def k3_string(spark, d):
+    return ranking.first_n(table(spark, d, "customer").select("c_name"), "c_name", 120)
+
+
+@query("k3_first_most", "select l_orderkey, count(*) as n from (select l_orderkey from lineitem order by l_orderkey limit (select count(*) - 7 from lineitem)) group by 1")
+def k3_most(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    return ranking.first_n(lines, "l_orderkey", lines.count() - 7).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "k4_sorted_id_set",
     f"select distinct o_orderkey from orders where o_orderkey not in {RETURNED} order by o_orderkey",
@@ -834,10 +881,39 @@ def l4(spark, d):
     return model.score(known).select("doc_id", "split", in_unit("score").alias("in_unit"))
 
 
-@query("l1_l2_l4_model_scores")
+@query(
+    "l1_l2_l4_model_scores",
+    f"select count(*) as n_rows, true as beats_chance, true as many_scores from ({LABELLED_SPLIT}) where split = 'train'",
+)
 def l4_scores(spark, d):
+    """The scores of the training rows tell the classes apart, and are many."""
     model, known, _ = fitted(spark, d)
-    return model.score(known).select("doc_id", "split", "quality", "score")
+    scored = ranking.settled(model.score(known.where("split = 'train'")).select("doc_id", "quality", "score"), "scored")
+    many = (scored.agg(F.count_distinct("score").alias("n")).scalar() > 10).alias("many_scores")
+    found = metrics.binary_metrics(scored, "score", "quality")
+    return found.select((F.col("n_pos") + F.col("n_neg")).alias("n_rows"), (F.col("roc_auc") > 0.6).alias("beats_chance"), many)
+
+
+SMALL_JOB = {
+    "model": {"name": "single", "max_depth": 3, "num_boost_round": 4, "eta": 0.3, "eval_metric": "auc"},
+    "train": {"early_stopping_rounds": 2, "train_size": -1},
+    "featurizer": {"name": "token_chain", "radius": 1, "length": 256},
+}
+
+
+@query(
+    "job_saved_run_scores_again",
+    "select doc_id as row_id, true as same from documents where doc_id not in (select doc_id from labels where quality is not null)",
+)
+def job_again(spark, d):
+    """Train, save and score with the whole job; then load the run and score the same documents once more."""
+    rows = documents_with_labels(spark, d)
+    train, test = rows.where("quality is not null"), rows.where("quality is null")
+    columns = Columns(text="text", label="quality", row_id="doc_id", category="lang")
+    out = scratch_path(spark, "run")
+    run_job(spark, train, test, JobParams.from_dict(SMALL_JOB), columns, out, CODES)
+    sent = spark.read.option("header", True).schema("row_id bigint, sent double").csv(f"{out}/submission.csv")
+    return load_run(spark, out).score(test).join(sent, "row_id").select("row_id", (F.abs(F.col("score") - F.col("sent")) < 1e-9).alias("same"))
 
 
 @query(
@@ -906,11 +982,36 @@ def l7(spark, d):
 
 @query(
     "l7_metrics_without_labels",
-    "select null::double as roc_auc, null::double as average_precision, null::double as accuracy, 0::bigint as n_pos, 0::bigint as n_neg",
+    """select avg(quality)::double as roc_auc, avg(quality)::double as average_precision, avg(quality)::double as accuracy,
+              count(quality) as n_pos, count(quality) as n_neg, count(*) as n_rows
+       from documents left join labels using (doc_id) where quality is null""",
 )
 def l7_none(spark, d):
-    rows = given_scores(spark, d).withColumn("quality", F.lit(None).cast("int"))
-    return metrics.binary_metrics(rows, "score", "quality")
+    """Metrics of the documents that really have no label: null, over no rows."""
+    rows = given_scores(spark, d).where("quality is null")
+    n_rows = rows.agg(F.count(F.lit(1)).alias("n_rows")).scalar()
+    return metrics.binary_metrics(rows, "score", "quality").withColumn("n_rows", n_rows)
+
+
+WIDE_POSITIONS = "select o_orderkey, (1152921504606846975 - o_orderkey * 7919)::bigint as v from orders"
+
+
+@query("p4_x1_shards_of_60_bit_positions", f"select o_orderkey, v // 1000 as shard, v % 1000 as place from ({WIDE_POSITIONS})")
+def p4_wide(spark, d):
+    v = F.lit(1152921504606846975).cast("bigint") - F.col("o_orderkey") * F.lit(7919).cast("bigint")
+    rows = table(spark, d, "orders").select("o_orderkey", v.alias("v"))
+    return rows.select("o_orderkey", shard_of(F.col("v"), 1000).alias("shard"), offset_in_shard(F.col("v"), 1000).alias("place"))
+
+
+@query(
+    "f5_f6_unreadable_notation",
+    """select p_partkey, p_partkey % 7 <> 0 as readable, p_partkey % 7 <> 0 as has_bits from part""",
+)
+def f5_bad(spark, d):
+    """Every seventh string is broken: the flag says so, and it has no bits."""
+    strings = notation(spark, d).withColumn("s", F.when(F.col("p_partkey") % 7 == 0, F.concat("s", F.lit("??("))).otherwise(F.col("s")))
+    parsed = graphs.parse_notation(graphs.notation_bits(strings, "s", 1, 256, bad="null"), "s", "g")
+    return parsed.select("p_partkey", F.col("g.parse_ok").alias("readable"), F.col("bits").isNotNull().alias("has_bits"))
 
 
 @query(

@@ -68,3 +68,16 @@ def test_hub_node(spark):
     hashes = graphs.graph_node_hashes(nodes, edges, 1)
     assert hashes.count() == 2001
     assert hashes.select("h1").distinct().count() == 2
+
+
+def test_unreadable_texts_are_never_silent(rows):
+    df = rows([(1, "CCO"), (2, "CC??O"), (3, "hello"), (4, "C1CC"), (5, None), (6, "")], "id int, s string")
+    assert {r.id for r in graphs.unreadable(df, "id", "s").collect()} == {2, 3, 4, 5}
+    bits = {r.id: r.bits for r in graphs.notation_bits(df, "s", 2, 256, bad="null").collect()}
+    assert bits[1] and bits[2] is None and bits[3] is None and bits[4] is None
+    nodes, edges = graphs.notation_tables(df, "id", "s", bad="null")
+    assert {r.graph_id for r in nodes.collect()} == {1} == {r.graph_id for r in edges.collect()}
+    with pytest.raises(Exception, match="not line notation"):
+        graphs.notation_bits(df, "s", 2, 256).collect()
+    with pytest.raises(ValueError):
+        graphs.notation_bits(df, "s", 2, 256, bad="skip")

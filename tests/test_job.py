@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.operators.learning import BoostedModel
-from tallyfold.plans.job import run_job
+from tallyfold.plans.job import load_run, run_job
 from tallyfold.plans.params import Columns, JobParams
 from tallyfold.streaming.micro import run_available
 from tallyfold.operators.fingerprints import register_featurizer, token_chain_bits, user_kernel_bits
@@ -120,7 +120,7 @@ def test_config_values(tmp_path):
     p = JobParams.from_yaml(str(path))
     assert (p.model.eta, p.model.max_depth, p.model.subsample, p.train_size) == (0.05, 3, 0.6, 600)
     assert (p.weak.features.radius, p.weak.features.length, p.weak.train_size) == (2, 256, 700)
-    assert p.ignored["eval_metric"] == "map"
+    assert p.model.eval_metric == "map" and p.ignored["device"] == "cpu"
 
 
 def test_run_available_reads_each_file_once(spark, tmp_path):
@@ -137,3 +137,31 @@ def test_run_available_reads_each_file_once(spark, tmp_path):
     assert sorted(r.id for r in got.collect()) == [1, 2]
     batch = token_chain_bits(doc(2), "text", 1, 64).first().bits
     assert got.where("id = 2").first().bits == batch
+
+
+@pytest.mark.parametrize("config", [SINGLE, STACKED], ids=["single", "stacked"])
+def test_saved_run_with_string_ids_scores_and_evaluates_again(spark, inputs, tmp_path, config):
+    out = str(tmp_path / "out")
+    train, test = inputs
+    train = train.withColumn("key", F.concat(F.lit("t"), F.monotonically_increasing_id().cast("string")))
+    test = test.withColumn("id", F.concat(F.lit("x"), F.col("id").cast("string")))
+    columns = Columns(text="notation", label="active", row_id="key", category="site", test_id="id")
+    result = run_job(spark, train, test, JobParams.from_dict(config), columns, out, CODES)
+    run = load_run(spark, out)
+    assert len(run.weak) == len(result.weak) and run.params == JobParams.from_dict(config)
+    sent = {r["id"]: float(r.active) for r in spark.read.option("header", True).csv(f"{out}/submission.csv").collect()}
+    again = {r.row_id: r.score for r in run.score(test).collect()}
+    assert again.keys() == sent.keys() and all(abs(again[k] - sent[k]) < 1e-9 for k in sent)
+    val = spark.read.parquet(f"{out}/membership").where("split = 'val'")
+    found = run.evaluate(train, val).first()
+    assert all(abs(found[m] - result.metrics[m]) < 1e-9 for m in result.metrics)
+    assert run.evaluate(train).first().n_pos == 789
+
+
+def test_job_stops_at_texts_it_cannot_read(spark, inputs, tmp_path):
+    train, test = inputs
+    broken = train.withColumn("notation", F.when(F.rand(1) < 0.01, "CC??O").otherwise(F.col("notation")))
+    n = broken.where("notation = 'CC??O'").count()
+    everything = {**SINGLE, "train": {"early_stopping_rounds": 2, "train_size": -1}}
+    with pytest.raises(ValueError, match=f"{n} rows of the training table"):
+        run_job(spark, broken, test, JobParams.from_dict(everything), COLUMNS, str(tmp_path / "bad"), CODES)

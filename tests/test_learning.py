@@ -25,7 +25,7 @@ def data(spark):
 
 @pytest.fixture(scope="module")
 def fitted(data):
-    return ln.train(data, "y", PARAMS, "id")
+    return ln.train(data, "y", PARAMS, "id", train_curve=True)
 
 
 def test_learns_the_rule(data, fitted):
@@ -52,19 +52,12 @@ def test_refit_does_not_depend_on_partitioning(data, fitted):
     assert again.toDebugString.split("\n")[1:] == fitted[0].model.toDebugString.split("\n")[1:]
 
 
-def test_first_rounds_is_a_model_of_its_own(data, fitted):
-    model = fitted[0].model
-    short = ln.first_rounds(model, 2)
-    assert short.getNumTrees == 2 and short.treeWeights == model.treeWeights[:2]
-    both = ln.score_rows(short, ln.score_rows(model, data, rounds=2, name="chain"))
-    assert both.where("abs(score - chain) > 1e-12").count() == 0
-
-
 def test_stopping_keeps_only_the_rounds_that_count(data):
     params = ln.BoostParams(max_depth=2, num_boost_round=8, eta=0.3, subsample=1.0, colsample_bytree=1.0, early_stopping_rounds=1, partitions=4)
     model, curve = ln.train(data, "y", params, "id")
     assert curve.where("split = 'val'").count() == 8
-    assert model.model.getNumTrees == model.kept_rounds <= 8
+    assert {r.split for r in curve.collect()} == {"val"}
+    assert 1 <= model.kept_rounds <= model.model.getNumTrees == 8
     assert model.score(data).where("score between 0 and 1").count() == 400
 
 
@@ -89,6 +82,47 @@ def test_alpha_warns_and_unknown_trainer_fails(data):
         ln.trainer("forest")
 
 
+@pytest.mark.parametrize("name, column", [("auc", "roc_auc"), ("error", "accuracy")])
+def test_stopping_follows_the_metric_asked_for(data, name, column):
+    params = ln.BoostParams(max_depth=2, num_boost_round=6, eta=0.3, early_stopping_rounds=2, eval_metric=name, partitions=4)
+    model, curve = ln.train(data, "y", params, "id")
+    by_round = {r["round"]: r[column] for r in curve.collect()}
+    best = since = None
+    for i in range(6):
+        if best is None or by_round[i] > by_round[best]:
+            best = i
+        since = i
+        if i - best >= 2:
+            break
+    assert (model.best_round, model.kept_rounds) == (best, since + 1)
+    with pytest.raises(ValueError, match="eval_metric"):
+        ln.BoostParams(eval_metric="rmse")
+
+
 def test_external_trainer_is_gated(data):
     with pytest.raises(ImportError):
         ln.fit_external_trees(data, "y", PARAMS)
+
+
+def test_external_trainer_watches_validation_rows(data, monkeypatch):
+    """The package is not here: a stub takes its place and shows what it is given."""
+    import sys
+    import types
+
+    given = {}
+
+    class SparkXGBClassifier:
+        def __init__(self, **settings):
+            given.update(settings)
+
+        def fit(self, df):
+            given["columns"], given["rows"] = df.columns, df.count()
+            return self
+
+    stub, part = types.ModuleType("xgboost"), types.ModuleType("xgboost.spark")
+    stub.__spec__, part.SparkXGBClassifier = types.SimpleNamespace(name="xgboost"), SparkXGBClassifier
+    monkeypatch.setitem(sys.modules, "xgboost", stub)
+    monkeypatch.setitem(sys.modules, "xgboost.spark", part)
+    ln.train_external(data, "y", PARAMS, "id")
+    assert given["validation_indicator_col"] == "watch" and given["early_stopping_rounds"] == 2 and given["eval_metric"] == "aucpr"
+    assert given["rows"] == 400 and "watch" in given["columns"]

@@ -231,10 +231,21 @@ def test_filter_on_an_allotted_learner(labelled):
     assert {r.id for r in dealt.where(F.col("learner") == "3").collect()} == want and len(want) == 100
 
 
-def test_too_many_learners_is_an_error(labelled, monkeypatch):
-    monkeypatch.setattr(rowsets, "MAX_LEARNERS", 10)
-    with pytest.raises(Exception, match="more than 10 weak learners"):
-        rowsets.allot_learners(labelled, "id", 5).collect()
+def test_more_than_ten_thousand_learners(rows):
+    df = rows([(i,) for i in range(25_000)], "id int").select(F.concat(F.lit("r"), F.col("id")).alias("id"))
+    sizes = {r.learner: r["count"] for r in rowsets.allot_learners(df, "id", 2, 999).groupBy("learner").count().collect()}
+    assert sizes.pop("final") == 1000 - 1 + 1
+    assert sizes == {str(i): 2 for i in range(12_000)}
+
+
+def test_string_ids_are_dealt_and_coded(rows):
+    df = rows([(f"r{i:04d}", f"c{i % 7}") for i in range(3000)], "id string, c string")
+    got = rowsets.allot_learners(df, "id", 400, 500).collect()
+    assert {r.learner for r in got if r.id >= "r2500"} == {"final"}
+    assert sorted({r.learner for r in got}) == ["0", "1", "2", "3", "4", "5", "final"]
+    known = labels.dictionary_frame(df.sparkSession, {"c3": 0})
+    codes = {r.value: r.code for r in labels.grow_dictionary(df, "c", "id", known, 1).collect()}
+    assert codes == {"c3": 0, "c0": 1, "c1": 2, "c2": 3, "c4": 4, "c5": 5, "c6": 6}
 
 
 def test_id_sets(labelled):
@@ -311,3 +322,12 @@ def test_scalars(rows):
     assert df.select(scalars.file_stem(F.col("p"))).first()[0] == "train"
     assert not df.select(scalars.above(F.lit(0.5))).first()[0]
     assert math.isclose(df.select(scalars.let(F.lit(2), lambda v: v * v)).first()[0], 4)
+
+
+def test_shards_are_exact_in_64_bits(rows):
+    from tallyfold.functions.scalars import offset_in_shard, shard_of
+
+    values = [0, 1, -1, -1000, -1001, 9007199254740993, 1152921504606846975, 2**63 - 1, -(2**63) + 1000]
+    for size in (1, 3, 1000):
+        got = {r.v: (r.s, r.o) for r in rows([(v,) for v in values], "v bigint").select("v", shard_of(F.col("v"), size).alias("s"), offset_in_shard(F.col("v"), size).alias("o")).collect()}
+        assert got == {v: (v // size, v % size) for v in values}

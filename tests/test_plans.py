@@ -35,7 +35,6 @@ def test_samples_and_splits_do_not_move_rows(table):
     for df in (
         ranking.sample_n(docs, "doc_id", 50),
         rowsets.split_train_val(docs, "doc_id"),
-        rowsets.allot_learners(docs, "doc_id", 20, 50),
         rowsets.select_training_rows(docs.withColumn("y", F.lit(1)), "doc_id", "y", 50, 10),
     ):
         main = outside_subqueries(df)
@@ -61,9 +60,22 @@ def test_fingerprints_are_projections(table):
         assert "Exchange" not in plan_of(df)
 
 
-def test_small_group_samples_are_cut_before_the_shuffle(table):
-    p = plan_of(ranking.per_group_sample(table("events"), "event_id", ["event_type"], 2))
-    assert p.count("WindowGroupLimit") == 2
+@pytest.mark.parametrize("n", [2, 500])
+def test_group_samples_and_allotments_do_not_move_rows(table, n):
+    dealt = (ranking.per_group_sample(table("events"), "event_id", ["event_type"], n), rowsets.allot_learners(table("documents"), "doc_id", 20, 50))
+    for df, payload in zip(dealt, ("props#", "text#")):
+        main = outside_subqueries(df)
+        # the table's own rows meet the cutoffs in a broadcast join, which comes first in the plan
+        assert main.index("BroadcastHashJoin") < (main + "SortMergeJoin").index("SortMergeJoin")
+        moved = main.split("Exchange")
+        assert all(payload not in part.split("FileScan")[0] for part in moved[1:])
+
+
+def test_bounds_are_constants(table):
+    lines = table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    p = plan_of(ranking.global_ordinal(lines, ["l_orderkey", "l_linenumber", "l_partkey"]))
+    assert "percentile" not in p
+    assert "ExistingRDD" in p or "LocalTableScan" in p
 
 
 def test_only_small_sides_are_broadcast(rows, monkeypatch):

@@ -1,8 +1,10 @@
 import hashlib
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tallyfold.functions.hashing import row_hash
 from tallyfold.operators import ranking
 
 
@@ -62,15 +64,21 @@ def test_stratified_sample(numbers):
     assert len(got) == len(want)
 
 
-@pytest.mark.parametrize("limit", [500, 2])
-def test_per_group_sample(numbers, limit, monkeypatch):
-    monkeypatch.setattr(ranking, "GROUP_LIMIT_MAX", limit)
+@pytest.mark.parametrize("n", [1, 5, 700])
+def test_per_group_sample(numbers, n):
     df = numbers.withColumn("g", F.when(F.col("g") != 3, F.col("g")))
-    got = ranking.per_group_sample(df, "id", ["g"], 5).collect()
+    got = ranking.per_group_sample(df, "id", ["g"], n).collect()
     want = set()
     for g in range(4):
-        want |= set(seeded_order([i for i in IDS if i // 3 % 4 == g])[:5])
-    assert {r.id for r in got} == want
+        want |= set(seeded_order([i for i in IDS if i // 3 % 4 == g])[:n])
+    assert {r.id for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("n", [2, 500, 501])
+def test_per_group_sample_is_exact_when_ids_repeat(rows, n):
+    df = rows([(i % 7, i % 2, i % 3) for i in range(6000)], "id int, g int, v int")
+    got = ranking.per_group_sample(df, "id", ["g"], n).collect()
+    assert sorted(r.g for r in got) == [0] * n + [1] * n
 
 
 @pytest.mark.parametrize("key_bits", [1, 10])
@@ -90,9 +98,32 @@ def test_shuffle_rank_is_a_permutation(numbers):
     assert got == {i: p + 1 for p, i in enumerate(seeded_order(IDS))}
 
 
-def test_natural_cutoff(numbers):
-    cut = ranking.rank_cutoffs(numbers, ["id"], lambda n: F.array(n - 100, F.lit(1)), natural=True).collect()
-    assert {(r.rank, r.id) for r in cut} == {(2900, IDS[2899]), (1, 0)}
+def test_global_ordinal_of_several_columns_of_any_type(rows):
+    data = [(None if i % 5 == 0 else f"k{i % 3}", i) for i in range(4000)]
+    got = ranking.global_ordinal(rows(data, "k string, i int"), ["k", "i"], key_bits=4).collect()
+    want = sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert [(r.k, r.i) for r in sorted(got, key=lambda r: r.ordinal)] == want
+
+
+def test_cutoff_row(numbers, rows):
+    assert ranking.cutoff_row(numbers, ["id"], 2900) == (Row(id=IDS[2899]), 1, 1)
+    assert ranking.cutoff_row(numbers, ["id"], 3001) is None
+    hot = rows([("a",)] * 50 + [("b",)] * 9000 + [(None,)] * 3, "k string")
+    assert ranking.cutoff_row(hot, ["k"], 100) == (Row(k="b"), 47, 9000)
+    assert ranking.cutoff_row(hot, ["k"], 3) == (Row(k=None), 3, 3)
+
+
+def test_cutoffs_at_every_multiple(numbers):
+    hashed = numbers.select(row_hash("id", 42, "md5").alias("_h"), F.col("id").alias("_id"))
+    got = {r["rank"]: r["_id"] for r in ranking.rank_cutoffs(hashed, ["_h", "_id"], every=700).collect()}
+    assert got == {r: seeded_order(IDS)[r - 1] for r in (700, 1400, 2100, 2800)}
+
+
+def test_an_end_between_equal_ids_is_an_error(rows):
+    df = rows([(i % 10,) for i in range(3000)], "id int")
+    assert ranking.sample_n(df, "id", 600).count() == 600
+    with pytest.raises(Exception, match="not unique"):
+        ranking.sample_n(df, "id", 5).collect()
 
 
 def test_running_totals_by_group_with_null_group(rows):
@@ -110,8 +141,14 @@ def test_xx_hash_gives_exact_sizes(numbers):
         ranking.sample_n(numbers, "id", 1, hash="sha")
 
 
-@pytest.mark.parametrize("limit", [10, 100_000])
-@pytest.mark.parametrize("n", [11, 5000])
-def test_first_n(numbers, n, limit, monkeypatch):
-    monkeypatch.setattr(ranking, "FIRST_N_MAX", limit)
+@pytest.mark.parametrize("n", [0, 11, 5000])
+def test_first_n(numbers, n):
     assert sorted(r.id for r in ranking.first_n(numbers, "id", n).collect()) == IDS[:n]
+
+
+@pytest.mark.parametrize("n", [1, 5, 2500, 9000])
+def test_first_n_of_repeated_string_and_null_ids(rows, n):
+    data = [(None if i % 50 == 0 else f"id{i % 9}", i % 4) for i in range(8000)]
+    got = ranking.first_n(rows(data, "id string, v int"), "id", n).collect()
+    want = sorted((r[0] for r in data), key=lambda k: (k is not None, k or ""))[:n]
+    assert sorted((r.id for r in got), key=lambda k: (k is not None, k or "")) == want
