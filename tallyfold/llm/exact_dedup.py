@@ -9,9 +9,9 @@ from tallyfold.llm.common import staged, text_of
 
 BLOCK_BITS = 512
 PROBES = 3
-#: The filter is broadcast; this bounds it (2^18 blocks of 64 bytes of bits: 16 MB of bits, about 40 MB as rows).
+#: The filter is broadcast; this bounds it (2^20 blocks of 64 bytes of bits: 64 MB of bits, about 120 MB as rows).
 #: Beyond the size it is made for more rows count as possible repeats; the result stays exact.
-MAX_BLOCKS = 1 << 18
+MAX_BLOCKS = 1 << 20
 
 
 def _slots(blocks: int) -> tuple[Column, list[Column]]:

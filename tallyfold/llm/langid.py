@@ -37,9 +37,10 @@ SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 
 @dataclass
 class Letters:
-    """Per code point: is it part of a word, its lower case, its script."""
+    """Per code point: is it part of a word, is it a letter, its lower case, its script."""
 
     word: np.ndarray
+    letter: np.ndarray
     lower: np.ndarray
     script: np.ndarray
 
@@ -56,7 +57,7 @@ class Letters:
                 lower[c] = ord(low)
         starts, names = np.array([s for s, _ in SCRIPTS]), np.array([SCRIPT_NAMES.index(n) for _, n in SCRIPTS])
         script = names[np.searchsorted(starts, np.arange(0x110000), "right") - 1].astype(np.uint8)
-        return cls(np.array([k in "LM" for k in kind]), lower, script)
+        return cls(np.array([k in "LM" for k in kind]), letter, lower, script)
 
 
 def _letters() -> Letters:
@@ -69,6 +70,7 @@ class Words:
 
     code: np.ndarray  # trigram of every letter
     first: np.ndarray  # of every word: its first letter's place in ``code``
+    letters: np.ndarray  # of every word: its letters, without combining marks
     script: np.ndarray  # of every word
     begin: np.ndarray  # of every word: where it starts in its text, and where it ends
     end: np.ndarray
@@ -91,7 +93,8 @@ def words_of(texts: list[str], letters: Letters) -> Words:
     start = at[first]
     stop = at[np.append(first[1:], len(at)) - 1] + 1 if len(at) else start
     text = np.searchsorted(text_at, start, "right") - 1
-    return Words(code, first, letters.script[cp[start]], start - text_at[text], stop - text_at[text], np.bincount(text, minlength=len(texts)))
+    pure = np.add.reduceat(letters.letter[cp[at]].astype(np.int64), first) if len(at) else first
+    return Words(code, first, pure, letters.script[cp[start]], start - text_at[text], stop - text_at[text], np.bincount(text, minlength=len(texts)))
 
 
 @dataclass
@@ -181,7 +184,6 @@ def detect(docs: DataFrame, model: LanguageModel, text_col: str = "text", spans:
     def run(texts: pd.Series) -> tuple:
         model, letters = shared.value, _letters()
         words = words_of(texts.tolist(), letters)
-        length = np.diff(np.append(words.first, len(words.code)))
         width = len(model.languages)
         if not len(words.first) or not width:
             return ["und"] * len(texts), [0.0] * len(texts), [[]] * len(texts)
@@ -194,7 +196,7 @@ def detect(docs: DataFrame, model: LanguageModel, text_col: str = "text", spans:
         score = np.where(may, np.maximum(score, -WORD_LIMIT), -2 * WORD_LIMIT)
         path = viterbi(score, words.count, model.switch)
         text = np.repeat(np.arange(len(texts)), words.count)
-        share = np.bincount(text * width + path, length, len(texts) * width).reshape(-1, width)
+        share = np.bincount(text * width + path, words.letters, len(texts) * width).reshape(-1, width)
         total = share.sum(1)
         best = share.argmax(1)
         names = np.array(model.languages, object)

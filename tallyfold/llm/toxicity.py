@@ -14,7 +14,7 @@ from tallyfold.llm.common import staged, text_of, within
 
 #: Hashed feature space; weights of this size are what tasks receive.
 WIDTH = 1 << 18
-#: Labelled texts the regression is fitted on, about: a seeded hash picks them if there are more.
+#: Labelled rows the regression is fitted on, about: a hash of the id picks them if there are more.
 MAX_LABELLED = 20_000
 
 
@@ -126,16 +126,17 @@ def fit_severity(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str
     """Fit on the texts of ``docs`` whose id has a grade (0 .. n_grades - 1) in ``grades`` (id_col, grade).
 
     Rows without a grade, text or id take no part.  Equal texts count once, with their highest grade, so a hot copy does
-    not outweigh the rest.  If there are more than ``max_labelled`` texts, a hash of the text picks about that many; only
-    the hashes of their words that stand out reach the driver.
+    not outweigh the rest.  If there are more than ``max_labelled`` grades, a hash of the id picks about that many; only
+    the hashes of their texts' words that stand out reach the driver.
     """
     known = grades.select(F.col(id_col).alias("_id"), F.col("grade").cast("int").alias("grade")).where("_id is not null and grade is not null")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t is not null")
-    labelled = texts.join(known, "_id").select(F.xxhash64("_t").alias("_h"), F.greatest(F.lit(0), F.least("grade", F.lit(n_grades - 1))).alias("grade"), word_features(F.col("_t")).alias("words"))
-    ids = texts.join(known, "_id").select(F.xxhash64("_t").alias("_h"))
-    n = ids.agg(F.approx_count_distinct("_h", 0.01)).first()[0]
+    n = known.count()
     if n > max_labelled:
-        labelled = labelled.where(F.pmod("_h", F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
+        known = known.where(F.pmod(F.xxhash64("_id", F.lit("labelled")), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
+    # about max_labelled rows: a broadcast, so that no other text moves
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t is not null")
+    grade = F.greatest(F.lit(0), F.least("grade", F.lit(n_grades - 1))).alias("grade")
+    labelled = texts.join(F.broadcast(known), "_id").select(F.xxhash64("_t").alias("_h"), grade, word_features(F.col("_t")).alias("words"))
     rows = staged(labelled.groupBy("_h").agg(F.max("grade").alias("grade"), F.first("words").alias("words")), "labelled")
     # only words that stand out a little reach the driver; the fit asks for more within each of its folds
     above = (F.col("grade") > 0).cast("double")

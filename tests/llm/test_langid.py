@@ -30,6 +30,8 @@ def test_words_and_places():
     words = words_of(["Ab, çd!", "", "x\ny 12", "日本"], Letters.make())
     assert words.count.tolist() == [2, 0, 2, 1]
     assert list(zip(words.begin.tolist(), words.end.tolist())) == [(0, 2), (4, 6), (0, 1), (2, 3), (0, 2)]
+    assert words.letters.tolist() == [2, 2, 1, 1, 2]
+    assert words_of(["\u0301", "e\u0301"], Letters.make()).letters.tolist() == [0, 1]
 
 
 @pytest.fixture(scope="module")
