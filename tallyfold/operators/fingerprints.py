@@ -137,24 +137,29 @@ PROSE_KEYS = (
 def pattern_key_bits(df: DataFrame, text: str, keys: Sequence[PatternKey], name: str = "bits") -> DataFrame:
     """Structural-key fingerprint: one projection of counted patterns."""
     source = F.coalesce(F.col(text), F.lit(""))
-    hits = [
-        F.when(F.regexp_count(source, F.lit(k.pattern)) >= k.min_count, F.lit(k.key))
-        for k in sorted(keys, key=lambda k: k.key)
-    ]
+
+    def found(k: PatternKey) -> Column:
+        # a search stops at the first match, a count reads on
+        return source.rlike(k.pattern) if k.min_count == 1 else F.regexp_count(source, F.lit(k.pattern)) >= k.min_count
+
+    hits = [F.when(found(k), F.lit(k.key)) for k in sorted(keys, key=lambda k: k.key)]
     return df.withColumn(name, F.array_compact(F.array(*hits)).cast("array<int>"))
 
 
 def user_kernel_bits(
-    df: DataFrame, text: str, kernel: Callable[[str], Sequence[int]], name: str = "bits"
+    df: DataFrame, text: str, kernel: Callable, name: str = "bits", whole_batch: bool = False
 ) -> DataFrame:
     """Fingerprint by a user function ``string -> set-bit positions`` that runs on the executors.
 
     Use this to plug in a library installed there, such as a chemistry toolkit.  Strings travel in
-    Arrow batches.
+    Arrow batches; with ``whole_batch`` the function gets such a batch as one series, nulls included, and
+    returns a series of sorted position lists.
     """
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
+        if whole_batch:
+            return kernel(texts)
         return texts.map(lambda s: None if s is None else sorted({int(b) for b in kernel(s)}))
 
     return df.withColumn(name, run(F.col(text)))

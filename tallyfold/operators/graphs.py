@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.hashing import fold, hasher
 from tallyfold.functions.scalars import let
+from tallyfold.operators.ranking import settled
 
 # Symbols of the notation (bracket atom, two-letter atoms, one-letter atoms, ring labels, branches, bonds).
 SYMBOL = r"(\[[^\]]+\]|Br|Cl|[BCNOSPFIbcnosp]|%[0-9]{2}|[0-9]|[()]|[-=#$:/\\.])"
@@ -130,7 +131,8 @@ def notation_tables(df: DataFrame, row_id: str, text: str, bad: str = "error") -
     A text that cannot be read is an error, or has no nodes and edges with ``bad="null"``.
     """
     parsed = parse_notation(df.select(F.col(row_id).alias("graph_id"), text), text)
-    parsed = parsed.withColumn("graph", _readable(F.col("graph"), F.col(text), bad))
+    # stored, so that no string is parsed once for the nodes and once more for the edges
+    parsed = settled(parsed.select("graph_id", _readable(F.col("graph"), F.col(text), bad).alias("graph")), "parsed")
     # the outer forms keep the optimizer from parsing every string a second time just to test for emptiness
     nodes = parsed.select("graph_id", F.posexplode_outer("graph.atoms").alias("node_id", "label"))
     edges = parsed.select("graph_id", F.inline_outer("graph.edges").alias("src", "dst", "label"))

@@ -177,7 +177,7 @@ def _train_one(
     metrics = binary_metrics(_rewrite(val, f"{out_dir}/val_scores"), "score", LABEL).select(*METRICS)
     metrics = metrics.first().asDict()
     table = spark.createDataFrame([metrics], ", ".join(f"{m} double" for m in METRICS))
-    tables.write_csv(table, tables.metrics_path(out_dir, input_name, spark), mode="overwrite")
+    tables.write_csv(table, tables.metrics_path(out_dir, input_name), mode="overwrite")
     # stored before it is sorted, as a sort reads its input twice
     scores = _rewrite(model.score(test).select(ID, "score"), f"{out_dir}/test_scores")
     answer = tables.submission(scores, ID, "score", answer_name, order=ID)

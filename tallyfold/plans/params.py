@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 
@@ -91,6 +92,8 @@ class JobParams:
             raise ValueError(f"model {name!r} is not supported")
         if feats["name"] not in FEATURIZER_NAMES and feats["name"] not in FEATURIZERS:
             raise ValueError(f"featurizer {feats['name']!r} is not supported")
+        if feats["name"] == "maccs_fingerprint":
+            warnings.warn("maccs_fingerprint selects this library's own pattern keys, not the public key set", stacklevel=2)
         feats["name"] = FEATURIZER_NAMES.get(feats["name"], feats["name"])
         weak = model.pop("weak_learner_config", None)
         model.pop("num_weak_learners", None)

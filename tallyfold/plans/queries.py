@@ -79,9 +79,14 @@ def s2(spark, d):
     return tables.row_count(table(spark, d, "documents"))
 
 
-@query("s3_storage_profile", "select count(*) as n_rows from lineitem")
+@query(
+    "s3_storage_profile",
+    "select 'lineitem' as file, count(*) as n_rows from lineitem union all select 'orders', count(*) from orders",
+)
 def s3(spark, d):
-    return tables.storage_profile(table(spark, d, "lineitem")).agg(F.sum("n_rows").alias("n_rows"))
+    """Rows per file, summed over its splits."""
+    both = tables.storage_profile(table(spark, d, "lineitem")).union(tables.storage_profile(table(spark, d, "orders")))
+    return both.groupBy(file_stem(F.col("file")).alias("file")).agg(F.sum("n_rows").alias("n_rows"))
 
 
 @query("s3_row_group_profile", "select count(*) as n_rows from lineitem")
@@ -775,7 +780,8 @@ GROWN_CODES = f"(select 'en' as value, 0 as code union all select 'fr', 1 union
 def coded_documents(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
     known = labels.dictionary_frame(spark, CODES)
-    grown = labels.grow_dictionary(docs, "lang", "doc_id", known, len(CODES))
+    grown = ranking.settled(labels.grow_dictionary(docs, "lang", "doc_id", known, len(CODES)), "codes")
+    grown = ranking.small_side(grown, grown.count())
     bits = fp.pattern_key_bits(spread(docs.select("doc_id", "lang", "text")), "text", fp.PROSE_KEYS)
     return fp.with_category_code(bits, "lang", grown)
 
@@ -975,7 +981,7 @@ def given_scores(spark, d):
 )
 def l7(spark, d):
     found = metrics.binary_metrics(given_scores(spark, d), "score", "quality").select(*METRICS)
-    path = tables.metrics_path(scratch_path(spark, "metrics"), f"{d}/documents.parquet", spark)
+    path = tables.metrics_path(scratch_path(spark, "metrics"), f"{d}/documents.parquet")
     tables.write_csv(found, path)
     return rounded(tables.read_csv(spark, path, "roc_auc double, average_precision double, accuracy double"), *METRICS)
 

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallyfold.operators.ranking import small_side
-from tallyfold.functions.scalars import file_stem, shard_of
+from tallyfold.functions.scalars import shard_of
 
 # ---------------------------------------------------------------------------------------- sources
 
@@ -45,13 +44,13 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
         return df.select("*", F.col("_metadata.row_index").alias(name))
     scan = df.select("*", F.col("_metadata.row_index").alias("_in_file"), F.col("_metadata.file_path").alias("_file"))
     before = Window.partitionBy(F.lit(1)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per file
     offsets = (
         scan.groupBy("_file")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    return scan.join(small_side(offsets, n_files), "_file").select(
+    # one row per file, and the driver holds the listing already
+    return scan.join(F.broadcast(offsets), "_file").select(
         *df.columns, (F.col("_before") + F.col("_in_file")).alias(name)
     )
 
@@ -152,7 +151,7 @@ def submission(scored: DataFrame, row_id: str, score: str, label: str, order: st
     return out.select(F.col(row_id).alias("id"), F.col(score).alias(label))
 
 
-def metrics_path(out_dir: str, input_path: str, spark: SparkSession) -> str:
+def metrics_path(out_dir: str, input_path: str) -> str:
     """``{out_dir}/{input stem}_metrics.csv``."""
-    stem = spark.range(1).select(file_stem(F.lit(input_path)).alias("s")).first().s
+    stem = input_path.rsplit("/", 1)[-1].split(".", 1)[0]
     return f"{out_dir.rstrip('/')}/{stem}_metrics.csv"

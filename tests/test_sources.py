@@ -62,7 +62,7 @@ def test_submission_keeps_input_order(spark, tmp_path):
     tables.write_csv(tables.submission(scored, "id", "score", "active", order="pos").coalesce(1), path)
     got = spark.read.option("header", True).csv(path).collect()
     assert [int(r.id) for r in got] == list(range(499, -1, -1))
-    assert tables.metrics_path("/o/", "/x/train.parquet", spark) == "/o/train_metrics.csv"
+    assert tables.metrics_path("/o/", "/x/train.parquet") == "/o/train_metrics.csv"
 
 
 def test_missing_columns_fail_before_any_job(spark):
