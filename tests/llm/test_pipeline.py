@@ -41,7 +41,8 @@ def test_each_stage_decides_on_its_own_input(stages):
     assert {r.doc_id for r in near.collect()} == {r.component_id for r in near_classes(exact).collect()}
     words = near.select(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0]
     left = mixed.select(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0]
-    assert 0.85 * words < left < 0.97 * words
+    # a leaf keeps the whole document at the end of its budget, and leaves are small here
+    assert 0.89 * words < left < words
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in mixed.collect()}
 
 
