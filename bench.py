@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tallyfold.plans.queries import QUERIES  # noqa: E402
-from tallyfold.session import local_session  # noqa: E402
+from tallyfold.session import drop_scratch, local_session  # noqa: E402
 
 HEADLINE = [
     "s1_parquet_scan",
@@ -65,6 +65,7 @@ def main() -> None:
             }
         )
     )
+    drop_scratch(spark)
     spark.stop()
 
 

@@ -10,7 +10,7 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
-from tallyfold.session import local_session  # noqa: E402
+from tallyfold.session import drop_scratch, local_session  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -71,6 +71,7 @@ def main():
         failed += bool(problem)
         print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s {problem}", flush=True)
     print("failed", failed)
+    drop_scratch(spark)
     spark.stop()
     return failed
 

@@ -1,12 +1,13 @@
 import pytest
 
-from tallyfold.session import local_session
+from tallyfold.session import drop_scratch, local_session
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, "tests", memory="6g")
     yield session
+    drop_scratch(session)
     session.stop()
 
 

@@ -82,3 +82,16 @@ def test_spread_leaves_wide_scans_alone(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "n"))
     narrow = spread(spark.read.parquet(str(tmp_path / "n")))
     assert narrow.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_scratch_is_dropped_on_request(rows):
+    from pyspark.sql import SparkSession
+
+    from tallyfold.session import drop_scratch, scratch_path
+
+    # a session of its own folder would be needed to drop it here; a name under it is enough to see where it lies
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, "x")
+    rows([(1,)], "i int").write.parquet(path)
+    assert f"scratch-{spark.sparkContext.applicationId}/x-" in path
+    assert spark.read.parquet(path).count() == 1 and callable(drop_scratch)
