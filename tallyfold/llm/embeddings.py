@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import staged
 from tallyfold.llm.components import connected_components
 from tallyfold.llm.simhash import union_links
+from tallyfold.operators.ranking import small_side
 
 #: A bucket with more vectors is cut; each pair of its cuts is a unit, so a task holds two cuts at a time at most.
 BLOCK = 2_048
@@ -30,8 +31,9 @@ def plan_tables(n: int, threshold: float) -> tuple[int, int]:
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): vectors in double precision; v is null for those that link with nothing."""
-    v = F.col(vector_col).cast("array<double>")
+    """(vec_id, v): vectors as they are stored, floats or doubles; v is null for those that link with nothing."""
+    stored = table.select(vector_col).schema.fields[0].dataType.simpleString()
+    v = F.col(vector_col).cast(stored if stored in ("array<float>", "array<double>") else "array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = F.forall(v, lambda x: x == 0.0)
     return table.select(F.col(id_col).alias("vec_id"), F.when(v.isNotNull() & ~bad & ~zero, v).alias("v"))
@@ -53,7 +55,7 @@ def embedding_classes(
     """
     rows = staged(valid_vectors(table, id_col, vector_col), "vectors")
     # -0.0 and 0.0 are one value; a hash of 128 bits names the vector
-    flat = F.array_join(F.transform("v", lambda x: (x + 0.0).cast("string")), ",")
+    flat = F.array_join(F.transform("v", lambda x: (x.cast("double") + 0.0).cast("string")), ",")
     keyed = staged(rows.select("vec_id", F.md5(flat).alias("key"), "v"), "vectors")
     nodes = keyed.where("v is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"), F.first("v").alias("v"))
     nodes = staged(nodes, "nodes")
@@ -68,17 +70,19 @@ def embedding_classes(
             for dim, part in frame.groupby(frame["v"].map(len)):
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
-                x = np.stack(part["v"].to_list())
+                x = np.stack(part["v"].to_list()).astype(np.float64)
                 signs = (x / np.abs(x).max(1, keepdims=True)) @ planes[dim] > 0
                 codes = signs.reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
-                yield part.assign(codes=[c for c in codes])
+                yield part.assign(codes=[c.astype(np.int32) for c in codes])
 
-    coded = nodes.mapInPandas(hash_signs, "key string, n bigint, low " + dict(nodes.dtypes)["low"] + ", v array<double>, codes array<bigint>")
+    coded = nodes.mapInPandas(hash_signs, "key string, n bigint, low " + dict(nodes.dtypes)["low"] + f", v {dict(nodes.dtypes)['v']}, codes array<int>")
     coded = staged(coded, "signs")
     placed = coded.select("key", "n", "v", "codes", F.size("v").alias("dim"), F.posexplode("codes").alias("way", "code"))
-    sizes = coded.select(F.size("v").alias("dim"), F.posexplode("codes").alias("way", "code")).groupBy("dim", "way", "code").agg(F.count("*").alias("_m")).where("_m > 1")
-    # a bucket's place and size: as many rows as there are buckets, joined to ids only where it must be
-    placed = placed.join(sizes, ["dim", "way", "code"]).withColumn("cuts", F.ceil(F.col("_m") / F.lit(BLOCK)).cast("int"))
+    # buckets to cut: few, so that vectors move once only, to their unit; beyond that number the join shuffles
+    sizes = coded.select(F.size("v").alias("dim"), F.posexplode("codes").alias("way", "code")).groupBy("dim", "way", "code").agg(F.count("*").alias("_m"))
+    large = staged(sizes.where(F.col("_m") > BLOCK), "large")
+    placed = placed.join(small_side(large, large.count()), ["dim", "way", "code"], "left")
+    placed = placed.withColumn("cuts", F.coalesce(F.ceil(F.col("_m") / F.lit(BLOCK)).cast("int"), F.lit(1)))
     mine = F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")
     placed = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     unit = F.xxhash64("dim", "way", "code", F.least("mine", "other"), F.greatest("mine", "other"))
@@ -102,7 +106,7 @@ def _verify(threshold: float):
         """Frames are sorted by unit; rows of a unit may go on in the next frame."""
 
         def links(frame: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(frame["v"].to_list())
+            x = np.stack(frame["v"].to_list()).astype(np.float64)
             codes, way = np.stack(frame["codes"].to_list()), int(frame["way"].iloc[0])
             n, side, key = frame["n"].to_numpy(np.int64), frame["side"].to_numpy(), frame["key"].to_numpy()
             x = x / np.abs(x).max(1, keepdims=True)
