@@ -650,6 +650,21 @@ def c4(spark, d):
     return rowsets.allot_learners(orders, "o_orderkey", n // 7, n // 5)
 
 
+@query(
+    "c4_learner_allotment_by_string_id",
+    f"""with o as (select 'o' || o_orderkey as id from orders),
+        s as (select count(*) as n, count(*) // 7 as weak, count(*) // 5 as final_size from o),
+        pool as (select id, weak, (n - final_size) // weak as k, row_number() over (order by {sql.seeded('id')}, id) as r
+                 from (select *, row_number() over (order by id) - 1 as i from o), s where i < n - final_size)
+        select id, case when r <= k * weak then ((r - 1) // weak)::varchar else 'final' end as learner
+        from o left join pool using (id)""",
+)
+def c4_string(spark, d):
+    orders = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
+    n = orders.count()
+    return rowsets.allot_learners(orders, "id", n // 7, n // 5)
+
+
 @query(
     "c5_class_weight",
     """select doc_id, quality, case when quality = 1 then w else 1.0::double end as weight
