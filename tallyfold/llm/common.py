@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,23 @@ def hex64(col: str) -> Column:
     return F.lpad(F.lower(F.hex(F.col(col))), 16, "0")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m", rows: int = 2_000) -> Iterator[None]:
+    """Hand rows with whole texts to Python workers in small Arrow batches while a table is staged inside.
+
+    A batch stands several times in an executor's memory (writer, socket, worker), beside the heap.
+    """
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def worker_cached(key: str, make: Callable):
     """One object per Python worker and key: tasks that follow in the same worker find it again."""
     import __main__

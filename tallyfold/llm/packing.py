@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.bpe import WordTokenizer
-from tallyfold.llm.common import doc_batches, running_start, staged, text_of, worker_cached
+from tallyfold.llm.common import doc_batches, running_start, small_batches, staged, text_of, worker_cached
 
 CAPACITY = 2048
 #: At most about this many patterns are enumerated, whatever the capacity.
@@ -252,4 +252,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Tokenize whole texts and pack them; see :func:`token_pieces` and :func:`pack`.  Other columns are ignored."""
-    return pack(staged(token_pieces(docs, tokenizer, id_col, text_col, capacity, with_ids=with_ids), "pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        pieces = staged(token_pieces(docs, tokenizer, id_col, text_col, capacity, with_ids=with_ids), "pieces")
+    return pack(pieces, capacity)

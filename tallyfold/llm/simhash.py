@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import doc_batches, staged, text_of
+from tallyfold.llm.common import doc_batches, small_batches, staged, text_of
 from tallyfold.llm.components import connected_components
 
 SEED = 42
@@ -242,7 +242,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component has an id).  Repeated rows give repeated rows; an empty table gives an empty result; other columns of
     ``docs`` are ignored.
     """
-    fps = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    with small_batches(docs.sparkSession):
+        fps = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
     return _classes(fps, most).select("doc_id", "fp", "component_id")
 
 
@@ -251,7 +252,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A row without an id stays only if its class has no id at all.  Of rows repeated with id and text one stays.
     """
-    fps = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    with small_batches(docs.sparkSession):
+        fps = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
     ordered = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     heads = _classes(fps, most).groupBy("class_fp").agg(F.min(ordered).alias("head")).select("head.id", "head.hash")
     # the id as text, so that the join and the removal of repeats are dealt by the same two plain columns
