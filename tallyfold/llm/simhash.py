@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in doc_batches(frames, 4_000_000):
+        for frame in doc_batches(frames, 1_000_000):
             yield frame[["doc_id", "text_hash"]].assign(fp=fingerprints_of(frame["text"], words))
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("text_hash"))
@@ -103,7 +103,7 @@ class GrayIndex:
             shared = np.bitwise_and.reduceat(mask, at) & ~(both ^ some)
             self.levels.append((both & shared, shared, unit[at], np.append(at, len(bits))))
 
-    def pairs(self, most: int, step: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, most: int, step: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Every pair (i < j) of rows of one unit that differ in ``most`` bits or fewer, in slices of bounded size."""
         top = np.arange(len(self.levels[-1][0]))
         yield from self._below(len(self.levels) - 1, top, top, most, step)
