@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyfold.functions.hashing import md5_60
 from tallyfold.llm.common import running_start, staged, text_of
+from tallyfold.operators.ranking import BROADCAST_ROWS
 
 #: Weights are whole numbers up to this, so that budget times weight stays exact for any corpus.
 MAX_WEIGHT = 10_000
@@ -104,9 +105,26 @@ def mix_plan(
     count once.  Null ids and null names are values like others; an empty table gives an empty result.  No leaf meets in
     one task: positions are sums per hash range first, then within a range.
     """
+    return _plan(docs, levels, total, share, weights, max_epochs, seed, id_col, text_col, tokens)[1]
+
+
+def _plan(
+    docs: DataFrame,
+    levels: dict[str, Column],
+    total: int | None = None,
+    share: float = 1.0,
+    weights: dict[str, int] | None = None,
+    max_epochs: int = 1,
+    seed: int = 42,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tokens: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """All rows with tokens, repeated ones counted, and :func:`mix_plan` of them."""
     names = list(levels)
     rows = _rows(docs, levels, id_col, text_col, tokens).where("tokens > 0")
-    light = staged(rows.groupBy(*names, "doc_id", "_hash").agg(F.max("tokens").alias("tokens")), "lengths")
+    light = rows.groupBy(*names, "doc_id", "_hash").agg(F.max("tokens").alias("tokens"), F.count("*").alias("_copies"))
+    light = staged(light, "lengths")
     leaves = staged(light.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "leaves")
     there, most = leaves.agg(F.sum("tokens"), F.max("n")).first()
     wanted = int(share * (there or 0)) if total is None else int(total)
@@ -122,14 +140,19 @@ def mix_plan(
     buckets = max(16, int(most or 0) // 50_000)
     placed = running_start(placed, ["_leaf", "epoch"], ["doc_id", "_hash"], "tokens", "start", buckets).where("start < _room")
     taken = F.least(F.col("tokens"), F.col("_room") - F.col("start")).alias("taken")
-    return placed.select(*names, "doc_id", "_hash", "tokens", "epoch", "start", taken)
+    return light, placed.select(*names, "doc_id", "_hash", "tokens", "epoch", "start", taken)
 
 
 def mix_documents(docs: DataFrame, levels: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, **how) -> DataFrame:
     """The rows of ``docs`` that :func:`mix_plan` chooses, whole and with all their columns, once per epoch."""
-    plan = mix_plan(docs, levels, id_col=id_col, text_col=text_col, tokens=tokens, **how)
+    light, plan = _plan(docs, levels, id_col=id_col, text_col=text_col, tokens=tokens, **how)
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_id")
-    times = plan.select(known("doc_id"), "_hash").groupBy("_id", "_hash").agg(F.count("*").alias("_times"))
-    rows = _rows(docs, levels, id_col, text_col, tokens, F.struct("*").alias("_row")).select("_row", known("doc_id"), "_hash")
+    times = staged(plan.select(known("doc_id"), "_hash").groupBy("_id", "_hash").agg(F.count("*").alias("_times")), "chosen")
+    rows = _rows(docs, levels, id_col, text_col, tokens, F.struct("*").alias("_row")).select("_row", known("doc_id"), "_hash", "tokens")
+    left = light.select(known("doc_id"), "_hash").join(times, ["_id", "_hash"], "left_anti")
+    left = staged(left.distinct(), "left")
+    most, copies = times.agg(F.max("_times")).first()[0], light.agg(F.max("_copies")).first()[0]
+    if left.count() <= BROADCAST_ROWS and (most or 0) == (copies or 0) == 1:  # few rows go, none is repeated: no text moves
+        return rows.where("tokens > 0").join(F.broadcast(left), ["_id", "_hash"], "left_anti").select("_row.*")
     once = rows.join(times, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"])
     return once.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times"))).select("_row.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import doc_batches, small_batches, staged, text_of
 from tallyfold.llm.components import connected_components
+from tallyfold.operators.ranking import BROADCAST_ROWS
 
 SEED = 42
 BITS = 64
@@ -254,11 +255,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     with small_batches(docs.sparkSession):
         fps = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    classes = staged(_classes(fps, most).select("doc_id", "text_hash", "class_fp"), "classes")
     ordered = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    heads = _classes(fps, most).groupBy("class_fp").agg(F.min(ordered).alias("head")).select("head.id", "head.hash")
-    # the id as text, so that the join and the removal of repeats are dealt by the same two plain columns
-    heads = heads.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("_id"), F.col("hash").alias("_hash"))
+    heads = classes.groupBy("class_fp").agg(F.min(ordered).alias("head"))
+    marked = classes.join(heads, "class_fp").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("head.id")) & (F.col("text_hash") == F.col("head.hash")))
+    # the id as text, so that joins and the removal of repeats are dealt by the same two plain columns
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_hash").alias("_hash")]
+    marked = staged(marked.select(*key, "stays", "class_fp"), "marked")
+    staying, all_heads, going = marked.agg(F.count_if("stays"), F.count_distinct(F.when(F.col("stays"), F.col("class_fp"))), F.count_if(~F.col("stays"))).first()
     rows = docs.select(
         F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash")
     )
+    if going <= BROADCAST_ROWS and staying == all_heads:  # few rows go and none is repeated: no text moves
+        gone = marked.where(~F.col("stays")).select("_id", "_hash").distinct()
+        return rows.join(F.broadcast(gone), ["_id", "_hash"], "left_anti").select("_row.*")
+    heads = marked.where("stays").select("_id", "_hash").distinct()
     return rows.join(heads, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
