@@ -95,3 +95,13 @@ def test_documents_stay_whole(odd_docs, no_docs, table):
     twice = mix_documents(table("documents"), levels(), share=2.0, max_epochs=2)
     assert twice.count() == 2 * sum(bool((r["text"] or "").split()) for r in table("documents").collect())
     assert mix_documents(no_docs, levels()).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_both_ways_to_leave_rows_out(table, monkeypatch, few):
+    import tallyfold.llm.mixing as module
+
+    monkeypatch.setattr(module, "BROADCAST_ROWS", few)
+    docs = table("documents")
+    want = sorted(r["doc_id"] for r in mix_plan(docs, levels(), share=0.6).collect())
+    assert sorted(r["doc_id"] for r in mix_documents(docs, levels(), share=0.6).collect()) == want

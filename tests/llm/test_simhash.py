@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,7 +91,13 @@ def test_fingerprints_and_classes_equal_brute_force(table, odd_docs, no_docs):
     assert near_classes(no_docs).count() == 0
 
 
-def test_drop_keeps_the_smallest_id_of_each_class(odd_docs, no_docs):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_drop_keeps_the_smallest_id_of_each_class(table, odd_docs, no_docs, monkeypatch, few):
+    import tallyfold.llm.simhash as module
+
+    monkeypatch.setattr(module, "BROADCAST_ROWS", few)
+    docs = table("documents")
+    assert sorted(r["doc_id"] for r in drop_near_duplicates(docs).collect()) == sorted({r["component_id"] for r in near_classes(docs).collect()})
     kept = drop_near_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
     classes = {r["component_id"] for r in near_classes(odd_docs).collect()}
