@@ -248,14 +248,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _classes(fps, most).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:
-    """``docs`` with one row of each class of :func:`near_classes`, that with the smallest id; all columns as they are.
+def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class, that with the smallest id; all columns as they are.
 
-    A row without an id stays only if its class has no id at all.  Of rows repeated with id and text one stays.
+    ``classes`` is a stored table (doc_id, text_hash, class_fp) of all rows.  A row without an id stays only if its class
+    has no id at all.  Of rows repeated with id and text one stays.
     """
-    with small_batches(docs.sparkSession):
-        fps = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = staged(_classes(fps, most).select("doc_id", "text_hash", "class_fp"), "classes")
     ordered = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     heads = classes.groupBy("class_fp").agg(F.min(ordered).alias("head"))
     marked = classes.join(heads, "class_fp").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("head.id")) & (F.col("text_hash") == F.col("head.hash")))
@@ -271,3 +269,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return rows.join(F.broadcast(gone), ["_id", "_hash"], "left_anti").select("_row.*")
     heads = marked.where("stays").select("_id", "_hash").distinct()
     return rows.join(heads, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:
+    """``docs`` with one row of each class of :func:`near_classes`, as :func:`keep_first` picks it."""
+    with small_batches(docs.sparkSession):
+        fps = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    classes = staged(_classes(fps, most).select("doc_id", "text_hash", "class_fp"), "classes")
+    return keep_first(docs, classes, id_col, text_col)
