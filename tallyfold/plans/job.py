@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass
-from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +35,6 @@ from tallyfold.operators.rowsets import (
     select_training_rows,
     split_train_val,
     top_up_positives,
-    widen_scores,
 )
 from tallyfold.plans.params import ENSEMBLE, Columns, FeatureParams, JobParams
 from tallyfold.sources import tables
@@ -158,13 +156,11 @@ def _train_one(
     stored: DataFrame,
     vectors: Callable[[DataFrame], DataFrame],
     chosen: Selection,
-    test: DataFrame,
     params: JobParams,
     out_dir: str,
     input_name: str,
-    answer_name: str,
 ) -> tuple[BoostedModel, dict]:
-    """Train and validate on the stored rows of one model, then score the test table once, into ``test_scores``."""
+    """Train and validate on the stored rows of one model."""
     spark = stored.sparkSession
     tables.write_membership(stored, f"{out_dir}/membership", ID, [LABEL, "split"], mode="overwrite")
     weight = chosen.weight(params, stored.count())
@@ -178,11 +174,14 @@ def _train_one(
     metrics = metrics.first().asDict()
     table = spark.createDataFrame([metrics], ", ".join(f"{m} double" for m in METRICS))
     tables.write_csv(table, tables.metrics_path(out_dir, input_name), mode="overwrite")
+    return model, metrics
+
+
+def _submit(scores: DataFrame, out_dir: str, answer_name: str) -> None:
+    """Write one score per test row (``row_id, score``), in ``test_scores`` and sorted in ``submission.csv``."""
     # stored before it is sorted, as a sort reads its input twice
-    scores = _rewrite(model.score(test).select(ID, "score"), f"{out_dir}/test_scores")
-    answer = tables.submission(scores, ID, "score", answer_name, order=ID)
+    answer = tables.submission(_rewrite(scores, f"{out_dir}/test_scores"), ID, "score", answer_name, order=ID)
     tables.write_csv(answer, f"{out_dir}/submission.csv", mode="overwrite")
-    return model, metrics
 
 
 def run_job(
@@ -213,7 +212,6 @@ def run_job(
         grown = _rewrite(grow_dictionary(test, CATEGORY, ID, grown, grown.count()), f"{out_dir}/codes")
         dictionary = small_side(grown, grown.count())
 
-    names = (input_name, columns.label)
     base = params.weak if params.kind == ENSEMBLE else params
 
     def vectors(df: DataFrame) -> DataFrame:
@@ -227,7 +225,8 @@ def run_job(
         chosen = select_rows(whole, whole, params)
         made = build_features(chosen.rows, base.features, dictionary, [LABEL, "split"])
         stored = _all_readable(_rewrite(made, f"{out_dir}/features_train", partition_by=["split"]), base.features, "training")
-        model, metrics = _train_one(stored, vectors, chosen, test_rows, params, out_dir, *names)
+        model, metrics = _train_one(stored, vectors, chosen, params, out_dir, input_name)
+        _submit(model.score(test_rows).select(ID, "score"), out_dir, columns.label)
         return JobResult(model, [], metrics, out_dir)
 
     k = learner_count(whole.count(), params.train_size, params.weak.train_size)
@@ -241,7 +240,7 @@ def run_job(
         where = f"{out_dir}/weak_learner_{i}"
         chosen = select_rows(dealt.where(F.col("learner") == str(i)), dealt, params.weak)
         stored = _rewrite(chosen.rows, f"{where}/features_train", partition_by=["split"])
-        weak.append(_train_one(stored, vectors, chosen, test_rows, params.weak, where, *names)[0])
+        weak.append(_train_one(stored, vectors, chosen, params.weak, where, input_name)[0])
 
     def weak_score_vectors(df: DataFrame) -> DataFrame:
         return fp.assemble(df, [f"weak_{i}" for i in range(k)])
@@ -249,17 +248,17 @@ def run_job(
     chosen = select_rows(dealt.where(F.col("learner") == FINAL), dealt, params)
     scored = weak_scores(weak, vectors(chosen.rows)).drop("features")
     stored = _rewrite(scored, f"{out_dir}/weak_scores_train", partition_by=["split"])
-    # every weak learner has scored the test table already
-    long = [spark.read.parquet(f"{out_dir}/weak_learner_{i}/test_scores").withColumn("learner", F.lit(f"weak_{i}")) for i in range(k)]
-    wide = widen_scores(reduce(DataFrame.union, long), ID, "learner", "score", [f"weak_{i}" for i in range(k)])
-    scored_test = _rewrite(wide, f"{out_dir}/weak_scores_test")
+    # row by row, as test ids may be null and may repeat; each weak learner scores the test table once
+    scored = weak_scores(weak, test_rows).select(ID, *[f"weak_{i}" for i in range(k)])
+    scored_test = _rewrite(scored, f"{out_dir}/weak_scores_test")
+    for i in range(k):
+        _submit(scored_test.select(ID, F.col(f"weak_{i}").alias("score")), f"{out_dir}/weak_learner_{i}", columns.label)
     # class counts of the whole table, as the final model stands for all of it
     totals = class_counts(dealt, LABEL).first()
     if not chosen.topped_up:
         chosen.neg, chosen.pos = totals.neg, totals.pos
-    model, metrics = _train_one(
-        stored, weak_score_vectors, chosen, weak_score_vectors(scored_test), params, out_dir, *names
-    )
+    model, metrics = _train_one(stored, weak_score_vectors, chosen, params, out_dir, input_name)
+    _submit(model.score(weak_score_vectors(scored_test)).select(ID, "score"), out_dir, columns.label)
     return JobResult(model, weak, metrics, out_dir)
 
 

@@ -165,3 +165,20 @@ def test_job_stops_at_texts_it_cannot_read(spark, inputs, tmp_path):
     everything = {**SINGLE, "train": {"early_stopping_rounds": 2, "train_size": -1}}
     with pytest.raises(ValueError, match=f"{n} rows of the training table"):
         run_job(spark, broken, test, JobParams.from_dict(everything), COLUMNS, str(tmp_path / "bad"), CODES)
+
+
+def test_ensemble_keeps_test_rows_with_repeated_and_null_ids(spark, inputs, tmp_path):
+    train, test = inputs
+    # a third of the rows under one id, some without one, texts that differ under the same id
+    which = F.col("id") % 3
+    odd_id = F.when(which == 0, F.lit(7).cast("bigint")).when(F.col("id") % 10 == 1, F.lit(None).cast("bigint")).otherwise(F.col("id"))
+    notation = F.element_at(F.array(*[F.lit(f) for f in FRAGMENTS]), (F.col("id") % len(FRAGMENTS) + 1).cast("int"))
+    test = test.withColumn("notation", notation).withColumn("id", odd_id)
+    out = str(tmp_path / "out")
+    run_job(spark, train, test, JobParams.from_dict(STACKED), COLUMNS, out, CODES)
+    rows = lambda df: sorted(((r[0], round(float(r[1]), 9)) for r in df.collect()), key=str)
+    want = rows(load_run(spark, out).score(test))
+    assert len(want) == 100
+    assert rows(spark.read.parquet(f"{out}/test_scores")) == want
+    for where in (out, f"{out}/weak_learner_0", f"{out}/weak_learner_1"):
+        assert spark.read.option("header", True).csv(f"{where}/submission.csv").count() == 100
