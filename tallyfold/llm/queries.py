@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import embeddings, exact_dedup, langid, licenses, mixing, packing, pii, simhash, sql_twins, toxicity, urlfilter
-from tallyfold.llm.common import hex64, table
+from tallyfold.llm import embeddings, exact_dedup, fingerprint, langid, licenses, merkle, mixing, packing, pii, simhash, sql_twins, toxicity, urlfilter
+from tallyfold.llm.common import hex64, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,3 +183,42 @@ def op3(spark, d):
 @query("op4_pii_candidates")
 def op4(spark, d):
     return pii.pii_digest(pii.personal_spans(table(spark, d, "documents")))
+
+
+# --------------------------------------------------------------------------------------------- 11 fingerprints
+
+NEAR_BITS = 5
+
+
+@query("op11_document_fingerprints")
+def op11(spark, d):
+    """Documents whose id is divisible by 20 are searched for; ``n_near`` counts the other documents within 5 of 128 bits."""
+    made = staged(fingerprint.edited_fingerprints(table(spark, d, "documents")), "fingerprints")
+    copies = made.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"))
+    found = fingerprint.within_radius(made.where("doc_id % 20 = 0"), made, NEAR_BITS)
+    near = found.join(copies, ["hi", "lo"]).groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg((F.sum("n") - 1).alias("n_near"))
+    asked = made.where("doc_id % 20 = 0").join(near, ["hi", "lo"])
+    rest = made.where("not coalesce(doc_id % 20 = 0, false)").withColumn("n_near", F.lit(None).cast("bigint"))
+    alike = lambda hi, lo: fingerprint.likeness(F.col("hi"), F.col("lo"), F.col(hi), F.col(lo))
+    shown = lambda hi, lo: F.concat(hex64(hi), hex64(lo))
+    return asked.unionByName(rest).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        shown("hi", "lo").alias("fingerprint"),
+        shown("edited_hi", "edited_lo").alias("edited_fingerprint"),
+        alike("edited_hi", "edited_lo").alias("near_edited"),
+        alike("next_hi", "next_lo").alias("near_next"),
+        "n_near",
+    )
+
+
+# ------------------------------------------------------------------------------------------ 12 Merkle manifest
+
+MERKLE_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query("op12_merkle_manifest")
+def op12(spark, d):
+    claims = merkle.tampered_leaf("doc_id", MERKLE_COLUMNS, "text", 5)
+    return merkle.manifest(table(spark, d, "documents"), "doc_id", MERKLE_COLUMNS, "source", claims)
