@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import embeddings, exact_dedup, fingerprint, langid, licenses, merkle, mixing, packing, pii, simhash, sql_twins, toxicity, urlfilter
+from tallyfold.llm import embeddings, exact_dedup, fingerprint, langid, licenses, merkle, mixing, packing, pii, prefix_trie, simhash, sql_twins, toxicity, urlfilter
 from tallyfold.llm.common import hex64, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,3 +222,12 @@ MERKLE_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 def op12(spark, d):
     claims = merkle.tampered_leaf("doc_id", MERKLE_COLUMNS, "text", 5)
     return merkle.manifest(table(spark, d, "documents"), "doc_id", MERKLE_COLUMNS, "source", claims)
+
+
+# ------------------------------------------------------------------------------------- 13 conversation prefix trie
+
+
+@query("op13_conversation_trie")
+def op13(spark, d):
+    turns = staged(prefix_trie.ordered_turns(table(spark, d, "conversations")), "turns")
+    return prefix_trie.prefix_nodes(*prefix_trie.rebuilt_turns(turns))
