@@ -38,6 +38,11 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def id_key(col: Column) -> Column:
+    """An id of any type as text that is never null and tells a null id from every other."""
+    return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit("null"))
+
+
 def within(value: Column, make: Callable[[Column], Column]) -> Column:
     """``make(value)`` with the value computed once, however often it is used (it becomes a lambda variable)."""
     return F.transform(F.array(value), make)[0]
@@ -93,6 +98,8 @@ def running_start(df: DataFrame, by: list[str], order: list[str], value: str, ou
     """
     bucket = F.shiftrightunsigned("_key", 32) * F.lit(buckets)
     df = df.withColumn("_bucket", F.shiftrightunsigned(bucket, 32).cast("int"))
+    # dealt by bucket explicitly, as rows already dealt by the key alone would stay there; equal keys go by a second hash
+    df = df.repartition(*by, "_bucket")
     sums = df.groupBy(*by, "_bucket").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(*by, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))

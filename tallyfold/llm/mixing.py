@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyfold.functions.hashing import md5_60
-from tallyfold.llm.common import running_start, staged, text_of
-from tallyfold.operators.ranking import BROADCAST_ROWS
+from tallyfold.llm.common import id_key, running_start, staged, text_of
+from tallyfold.operators.ranking import BROADCAST_ROWS, small_side
 
 #: Weights are whole numbers up to this, so that budget times weight stays exact for any corpus.
 MAX_WEIGHT = 10_000
@@ -27,7 +27,7 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], total: int, weights: dict
     tokens below it.  At each node the budget is split among the children by weight; a child that cannot hold its share
     takes what it holds and the shortage goes to its siblings by weight, again until all fit.  Only what a whole subtree
     cannot hold reaches the siblings of its parent.  Shares are rounded down (less than a token per child is lost); a
-    child of weight 0 gets nothing.
+    child of weight 0 gets nothing, and what lies below it adds nothing to what its ancestors can hold.
 
     Null names are a name of their own.  The tree is one row per leaf and never leaves the cluster; a window holds the
     children of one node.
@@ -37,13 +37,18 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], total: int, weights: dict
         if not (isinstance(w, int) and 0 <= w <= MAX_WEIGHT):
             raise ValueError(f"weight of {path!r} must be a whole number from 0 to {MAX_WEIGHT}")
     named = spark.createDataFrame([(k, v) for k, v in (weights or {}).items()] or [("", 1)], "_path string, _w bigint")
-    tree = leaves.withColumn("_cap", (F.col("tokens") * max_epochs).cast("bigint")).withColumn("_got0", F.lit(int(total)).cast("bigint"))
+    named = named.dropDuplicates(["_path"])
+    path = lambda names: F.concat_ws("/", *[F.coalesce(F.col(n).cast("string"), F.lit("null")) for n in names])
+    tree = leaves.withColumn("_cap", (F.col("tokens") * max_epochs).cast("bigint"))
+    for depth in range(1, len(levels) + 1):
+        shut = named.where("_w = 0").select(F.col("_path").alias("_shut"))
+        tree = tree.join(F.broadcast(shut), path(levels[:depth]) == F.col("_shut"), "left")
+        tree = tree.withColumn("_cap", F.when(F.col("_shut").isNull(), F.col("_cap")).otherwise(F.lit(0).cast("bigint"))).drop("_shut")
     budgets = None
     for depth in range(1, len(levels) + 1):
         names, parent = levels[:depth], levels[: depth - 1]
         nodes = tree.groupBy(*names).agg(F.sum("_cap").alias("_c"))
-        path = F.concat_ws("/", *[F.coalesce(F.col(n).cast("string"), F.lit("null")) for n in names])
-        nodes = nodes.withColumn("_path", path).join(F.broadcast(named), "_path", "left").withColumn("_w", F.coalesce("_w", F.lit(1).cast("bigint"))).drop("_path")
+        nodes = nodes.withColumn("_path", path(names)).join(F.broadcast(named), "_path", "left").withColumn("_w", F.coalesce("_w", F.lit(1).cast("bigint"))).drop("_path")
         if budgets is None:
             nodes = nodes.withColumn("_b", F.lit(int(total)).cast("bigint"))
         else:
@@ -133,8 +138,9 @@ def _plan(
     epochs = budgets.withColumn("epoch", F.explode(F.expr("sequence(0L, (budget - 1) div tokens)")))
     room = F.least(F.col("tokens"), F.col("budget") - F.col("epoch") * F.col("tokens"))
     epochs = epochs.select(_leaf_key(names).alias("_leaf"), "epoch", room.alias("_room"))
-    placed = light.withColumn("_leaf", _leaf_key(names)).join(epochs, "_leaf")
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    epochs = staged(epochs, "epochs")
+    placed = light.withColumn("_leaf", _leaf_key(names)).join(small_side(epochs, epochs.count()), "_leaf")
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))  # steers the order only
     order = md5_60(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), id_text))
     placed = placed.withColumn("_key", F.shiftleft(order, 4))  # 60 bits, spread over 64
     buckets = max(16, int(most or 0) // 50_000)
@@ -146,7 +152,7 @@ def _plan(
 def mix_documents(docs: DataFrame, levels: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, **how) -> DataFrame:
     """The rows of ``docs`` that :func:`mix_plan` chooses, whole and with all their columns, once per epoch."""
     light, plan = _plan(docs, levels, id_col=id_col, text_col=text_col, tokens=tokens, **how)
-    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_id")
+    known = lambda c: id_key(F.col(c)).alias("_id")
     times = staged(plan.select(known("doc_id"), "_hash").groupBy("_id", "_hash").agg(F.count("*").alias("_times")), "chosen")
     rows = _rows(docs, levels, id_col, text_col, tokens, F.struct("*").alias("_row")).select("_row", known("doc_id"), "_hash", "tokens")
     left = light.select(known("doc_id"), "_hash").join(times, ["_id", "_hash"], "left_anti")

@@ -14,8 +14,16 @@ def levels():
 def plain_budgets(tree, total, weights, epochs):
     """tree: path tuple -> tokens; shares by repeated filling of children that cannot hold theirs."""
 
+    def weight(path):
+        return weights.get("/".join("null" if x is None else x for x in path), 1)
+
     def cap(path):
-        return sum(n * epochs for p, n in tree.items() if p[: len(path)] == path)
+        """What a node can hold, from its children up."""
+        if not weight(path):
+            return 0
+        if path in tree:
+            return tree[path] * epochs
+        return sum(cap(c) for c in {p[: len(path) + 1] for p in tree if p[: len(path)] == path})
 
     out = {}
 
@@ -50,7 +58,7 @@ def test_budgets_equal_brute_force(spark, seed):
     rng = random.Random(seed)
     tree = {(rng.choice("ab"), rng.choice([None, "x", "y"]), f"s{i}"): rng.choice([1, 5, 40, 1000]) for i in range(14)}
     names = {"/".join("null" if x is None else x for x in p[:d]) for p in tree for d in (1, 2, 3)}
-    weights = {n: rng.randint(0 if n.count("/") == 2 else 1, 5) for n in sorted(names) if rng.random() < 0.7}
+    weights = {n: rng.randint(0, 5) for n in sorted(names) if rng.random() < 0.7}
     total = rng.choice([10, 700, 3000, 10**6])
     df = spark.createDataFrame([(*p, n) for p, n in tree.items()], "d string, l string, s string, tokens long")
     got = {(r["d"], r["l"], r["s"]): r["budget"] for r in leaf_budgets(df, ["d", "l", "s"], total, weights, 2).collect()}
@@ -61,10 +69,25 @@ def test_shortage_goes_to_siblings_before_ancestors(spark):
     df = spark.createDataFrame([("a", "x", 10), ("a", "y", 1000), ("b", "z", 1000)], "d string, s string, tokens long")
     got = {r["s"]: r["budget"] for r in leaf_budgets(df, ["d", "s"], 400).collect()}
     assert got == {"x": 10, "y": 190, "z": 200}  # x lacks 90, which y takes, not z
+    got = {r["s"]: r["budget"] for r in leaf_budgets(df, ["d", "s"], 800, {"a/y": 0}).collect()}
+    assert got == {"x": 10, "y": 0, "z": 790}  # what lies below a weight of 0 holds nothing
     with pytest.raises(ValueError):
         leaf_budgets(df, ["d", "s"], 400, {"a": -1})
 
 
+def test_no_leaf_meets_in_one_task(spark, table):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mix_plan(table("documents"), levels(), share=0.6)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(_leaf" in line]
+    # rows are dealt by bucket; by leaf and epoch alone come only the sums of the buckets
+    assert any("_bucket" in line and "REPARTITION" in line for line in dealt)
+    assert all("_bucket" in line or "epoch" in line for line in dealt)
+
+
 def test_prefix_of_seeded_epochs(table):
     docs = table("documents")
     rows = mix_plan(docs, levels(), share=1.6, max_epochs=3, weights={"src0": 5}).collect()
