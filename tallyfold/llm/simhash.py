@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import doc_batches, small_batches, staged, text_of
+from tallyfold.llm.common import doc_batches, id_key, small_batches, staged, text_of
 from tallyfold.llm.components import connected_components
 from tallyfold.operators.ranking import BROADCAST_ROWS
 
@@ -258,11 +258,11 @@ def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text
     heads = classes.groupBy("class_fp").agg(F.min(ordered).alias("head"))
     marked = classes.join(heads, "class_fp").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("head.id")) & (F.col("text_hash") == F.col("head.hash")))
     # the id as text, so that joins and the removal of repeats are dealt by the same two plain columns
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_hash").alias("_hash")]
+    key = [id_key(F.col("doc_id")).alias("_id"), F.col("text_hash").alias("_hash")]
     marked = staged(marked.select(*key, "stays", "class_fp"), "marked")
     staying, all_heads, going = marked.agg(F.count_if("stays"), F.count_distinct(F.when(F.col("stays"), F.col("class_fp"))), F.count_if(~F.col("stays"))).first()
     rows = docs.select(
-        F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash")
+        F.struct("*").alias("_row"), id_key(F.col(id_col)).alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash")
     )
     if going <= BROADCAST_ROWS and staying == all_heads:  # few rows go and none is repeated: no text moves
         gone = marked.where(~F.col("stays")).select("_id", "_hash").distinct()

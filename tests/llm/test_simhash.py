@@ -114,3 +114,9 @@ def test_components_of_paths_stars_and_nothing(spark):
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert got == {**dict.fromkeys(path, 1), **dict.fromkeys(range(1000, 1300), 1000)}
     assert connected_components(df.where("src = -1")).count() == 0
+
+
+def test_an_id_that_reads_null_is_not_a_null_id(spark):
+    rows = [("null", "one two three"), (None, "one two three"), ("a", "four five six")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(2)
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == ["a", "null"]
