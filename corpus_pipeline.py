@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import exact_dedup, jaccard, mixing, packing, toxicity
+from tallyfold.llm import exact_dedup, mixing, packing, simhash, toxicity
 from tallyfold.llm.common import staged, table
 from tallyfold.llm.queries import MIX_SEED, MIX_WEIGHTS, mix_levels, tokenizer_file
 
@@ -26,8 +26,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 or more of their five-word shingles, that with the smallest id."""
-    return jaccard.drop_similar(docs)
+    """One document of each group of texts whose fingerprints link, that with the smallest id."""
+    return simhash.drop_near_duplicates(docs, words=3, most=3)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
