@@ -14,8 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.operators.boosting import BitTreeModel, Boosting, Growth, model_inputs
 from tallyfold.operators.fingerprints import assemble
-from tallyfold.operators.metrics import early_stop, round_curve
+from tallyfold.operators.metrics import METRICS, binary_metrics, early_stop, round_curve
 from tallyfold.operators.ranking import settled
 from tallyfold.session import shared_dir
 
@@ -30,6 +31,8 @@ class BoostParams:
     subsample: float = 0.6
     colsample_bytree: float = 0.6
     alpha: float = 0.0
+    reg_lambda: float = 1.0
+    min_child_weight: float = 1.0
     early_stopping_rounds: int | None = 5
     eval_metric: str = "average_precision"
     scale_pos_weight: float | None = None
@@ -74,7 +77,7 @@ def arrange(df: DataFrame, row_id: str, partitions: int | None = None) -> DataFr
 
 
 def fit_trees(df: DataFrame, label: str, params: BoostParams, row_id: str, weight: str | None = None) -> GBTClassificationModel:
-    """Fit on columns ``features`` and ``label`` with Spark's boosted trees."""
+    """Fit on columns ``features`` and ``label`` with the first-order boosted trees of Spark ML."""
     if params.alpha:
         warnings.warn("an L1 penalty (alpha) has no counterpart in Spark's boosted trees and is ignored", stacklevel=2)
     columns = [F.col(row_id), F.col("features"), F.col(label).cast("double").alias("label")]
@@ -130,6 +133,8 @@ def fit_external_trees(df: DataFrame, label: str, params: BoostParams, weight: s
         subsample=params.subsample,
         colsample_bytree=params.colsample_bytree,
         reg_alpha=params.alpha,
+        reg_lambda=params.reg_lambda,
+        min_child_weight=params.min_child_weight,
         random_state=params.seed,
         **watched,
         **params.others,
@@ -200,13 +205,19 @@ class BoostedModel:
     best_round: int | None = None
 
     def score(self, df: DataFrame, rounds: int | None = None, name: str = "score") -> DataFrame:
+        if isinstance(self.model, BitTreeModel):
+            return self.model.score(df, rounds or self.kept_rounds, name)
         return score_rows(self.model, df, rounds or self.kept_rounds, name)
 
     def save(self, path: str) -> None:
         """Model folder, with the round numbers beside it as one line of JSON."""
-        self.model.write().overwrite().save(f"{path}/model")
         spark = SparkSession.getActiveSession()
-        kind = "boosted_trees" if isinstance(self.model, GBTClassificationModel) else "external_boosted_trees"
+        if isinstance(self.model, BitTreeModel):
+            kind = "boosted_trees"
+            self.model.save(f"{path}/model")
+        else:
+            kind = "ml_boosted_trees" if isinstance(self.model, GBTClassificationModel) else "external_boosted_trees"
+            self.model.write().overwrite().save(f"{path}/model")
         notes = json.dumps({"kept_rounds": self.kept_rounds, "best_round": self.best_round, "kind": kind})
         spark.createDataFrame([(notes,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/rounds")
 
@@ -218,11 +229,96 @@ class BoostedModel:
             from xgboost.spark import SparkXGBClassifierModel
 
             model = SparkXGBClassifierModel.load(f"{path}/model")
-        else:
+        elif notes.get("kind") == "ml_boosted_trees":
             model = GBTClassificationModel.load(f"{path}/model")
+        else:
+            model = BitTreeModel.load(f"{path}/model")
         return cls(model, notes["kept_rounds"], notes["best_round"])
 
 
+CURVE = "round int, split string, roc_auc double, average_precision double, accuracy double, n_pos bigint, n_neg bigint"
+#: Scores are dealt to this many even ranges of probability for a round's metrics.
+SCORE_RANGES = 4096
+
+
+def train_rounds(
+    df: DataFrame,
+    label: str,
+    params: BoostParams,
+    row_id: str,
+    split: str = "split",
+    weight: str | None = None,
+    train_curve: bool = False,
+    snapshots: str | None = None,
+    resume: str | None = None,
+) -> tuple[BoostedModel, DataFrame]:
+    """Grow second-order trees round by round on the ``train`` rows and stop as soon as patience is used up.
+
+    After each round its ``eval_metric`` is measured on the ``val`` rows, from the stored margins of that round, and
+    compared with the best so far as :func:`early_stop` does; no round is grown beyond the one where training stops.
+    With ``snapshots`` each round's tree is stored in that folder before the next one is grown; such a folder is a model
+    of the rounds so far, and ``resume`` goes on from one: its rounds are scored again, not grown again.
+
+    ``df`` has the inputs of :func:`model_inputs`.  Returns the model and the curve: one row per round of the ``val`` rows,
+    with ``train_curve`` of both splits.
+    """
+    growth = Growth(params.max_depth, params.eta, params.alpha, params.reg_lambda, params.min_child_weight, params.subsample, params.colsample_bytree, params.seed)
+    begun = BitTreeModel.load(resume) if resume else None
+    run = Boosting(df, row_id, label, split, growth, weight, params.max_bins, model=begun)
+    if snapshots and snapshots != resume:
+        run.model.save(snapshots)
+    metric, patience = stopping_metric(params.eval_metric), params.early_stopping_rounds
+    watched = df if train_curve else df.where(F.col(split) == "val")
+    curve, best, best_value = [], None, None
+
+    def counts(rows: list) -> bool:
+        """Take in a round's metrics; whether training ends with it."""
+        nonlocal best, best_value
+        curve.extend(rows)
+        val = next((r for r in rows if r["split"] == "val"), None)
+        value, now = (val[metric] if val else None), rows[0]["round"] if rows else len(curve)
+        if value is not None and (best_value is None or value > best_value):
+            best, best_value = now, value
+        return patience is not None and now - (best or 0) >= patience
+
+    ended = False
+    if begun and begun.n_rounds:
+        earlier = curve_of_rounds(begun, watched, label, split).orderBy("round", "split").collect()
+        for i in range(begun.n_rounds):
+            ended = counts([r.asDict() for r in earlier if r["round"] == i])
+    while not ended and run.model.n_rounds < params.num_boost_round:
+        tree = run.step()
+        if snapshots:
+            run.model.add_saved(snapshots, tree)
+        rows = run.state if train_curve else run.state.where("split = 'val'")
+        rows = rows.select("split", "y", (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))).alias("score"))
+        found = binary_metrics(rows, "score", "y", by=["split"], bucket=F.floor(F.col("score") * SCORE_RANGES))
+        ended = counts([{"round": run.model.n_rounds - 1, **r.asDict()} for r in found.collect()])
+    run.close()
+    spark = df.sparkSession
+    names = ["round", "split", *METRICS, "n_pos", "n_neg"]
+    frame = spark.createDataFrame([tuple(r[c] for c in names) for r in curve], CURVE).withColumnRenamed("split", split)
+    return BoostedModel(run.model, run.model.n_rounds, best), frame
+
+
+def curve_of_rounds(model: BitTreeModel, df: DataFrame, label: str, split: str) -> DataFrame:
+    """Metrics after every round and split, as :func:`round_curve` has them.
+
+    Rows that reach the same leaf of every tree are one row with a count before rounds are unfolded, so the unfolded
+    table has at most as many rows as there are leaf patterns, times the rounds.
+    """
+    patterns = leaf_patterns(model, df, label, split)
+    each = patterns.select(split, label, "n", F.posexplode(model.pattern_margins("pattern")).alias("round", "_margin"))
+    scored = each.select("round", split, label, "n", (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_margin")))).alias("score"))
+    return binary_metrics(scored, "score", label, by=["round", split], times="n")
+
+
+def leaf_patterns(model: BitTreeModel, df: DataFrame, label: str, split: str) -> DataFrame:
+    """(split, label, pattern, n): labelled rows counted by the leaves they reach, a stored table."""
+    rows = df.where(F.col(label).isin(0, 1)).select(split, label, model.leaf_pattern().alias("pattern"))
+    return settled(rows.groupBy(split, label, "pattern").agg(F.count(F.lit(1)).alias("n")), "patterns")
+
+
 def train(
     df: DataFrame,
     label: str,
@@ -232,7 +328,7 @@ def train(
     weight: str | None = None,
     train_curve: bool = False,
 ) -> tuple[BoostedModel, DataFrame]:
-    """Fit on the ``train`` rows and pick the stopping round by ``eval_metric`` on the ``val`` rows.
+    """Fit Spark ML's trees on the ``train`` rows and pick the stopping round by ``eval_metric`` on the ``val`` rows.
 
     Returns the model and the metric curve of the ``val`` rows; with ``train_curve`` of both splits, which scores the
     training rows once per round as well.  All rounds are grown first: Spark's own validation stop has other rules (it
@@ -257,7 +353,12 @@ def train_external(
     return BoostedModel(fit_external_trees(df, label, params, weight, split), None), None
 
 
-TRAINERS: dict[str, Callable] = {"boosted_trees": train, "external_boosted_trees": train_external}
+TRAINERS: dict[str, Callable] = {"boosted_trees": train_rounds, "ml_boosted_trees": train, "external_boosted_trees": train_external}
+
+
+def takes_vectors(name: str) -> bool:
+    """Whether a trainer reads one ``features`` vector instead of bits and numbers."""
+    return name != "boosted_trees"
 
 
 def trainer(name: str) -> Callable:
@@ -270,13 +371,16 @@ def trainer(name: str) -> Callable:
 
 
 def weak_scores(models: Sequence[BoostedModel], df: DataFrame, prefix: str = "weak_") -> DataFrame:
-    """One score column per weak learner, all from the one feature column of the row."""
+    """One score column per weak learner, all from the inputs of the row."""
     for i, m in enumerate(models):
         df = m.score(df, name=f"{prefix}{i}")
     return df
 
 
 def stacked_features(models: Sequence[BoostedModel], df: DataFrame, prefix: str = "weak_") -> DataFrame:
-    """Replace ``features`` by the vector of weak-learner scores."""
-    scored = weak_scores(models, df, prefix).drop("features")
+    """Put the weak learners' scores in the place of the model's inputs: numbers, or one vector for vector models."""
+    scored = weak_scores(models, df, prefix)
+    if all(isinstance(m.model, BitTreeModel) for m in models):
+        return model_inputs(scored, None, [f"{prefix}{i}" for i in range(len(models))])
+    scored = scored.drop("features")
     return assemble(scored, [f"{prefix}{i}" for i in range(len(models))], "features")

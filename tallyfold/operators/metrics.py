@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,12 +19,15 @@ from tallyfold.operators.ranking import running_totals, settled
 METRICS = ["roc_auc", "average_precision", "accuracy"]
 
 
-def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score; rows without a 0/1 label or a score are left out."""
+def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = (), times: str | None = None) -> DataFrame:
+    """Positives and negatives per distinct score; rows without a 0/1 label or a score are left out.
+
+    ``times`` names a column of how many rows each row stands for.
+    """
     known = df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull())
-    return known.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    )
+    n = F.col(times).cast("bigint") if times else F.lit(1).cast("bigint")
+    of = lambda y: F.sum(F.when(F.col(label) == y, n).otherwise(F.lit(0).cast("bigint")))
+    return known.groupBy(*by, F.col(score).cast("double").alias("score")).agg(of(1).alias("pos"), of(0).alias("neg"))
 
 
 def accuracy(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:
@@ -34,15 +37,26 @@ def accuracy(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> D
 
 
 def binary_metrics(
-    df: DataFrame, score: str, label: str, by: Sequence[str] = (), threshold: float = 0.5, key_bits: int = 10
+    df: DataFrame,
+    score: str,
+    label: str,
+    by: Sequence[str] = (),
+    threshold: float = 0.5,
+    key_bits: int = 10,
+    times: str | None = None,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """``*by, roc_auc, average_precision, accuracy, n_pos, n_neg``.
 
-    Without labelled rows the metrics are null; AUC and AP are null when a class is missing.
+    Without labelled rows the metrics are null; AUC and AP are null when a class is missing.  ``times`` names a column of
+    how many rows each row stands for.  For a stored ``df``, ``bucket`` is a number that never falls as ``score`` rises and
+    that spreads the scores; it takes the place of sampled bounds, and nothing is written in between.
     """
     by = list(by)
-    # stored, so that rows are scored once although the counts are read more than once
-    counts = settled(score_counts(df, score, label, by), "scores")
+    counts = score_counts(df, score, label, by, times)
+    if bucket is None:
+        # stored, so that rows are scored once although the counts are read more than once
+        counts = settled(counts, "scores")
     curve = running_totals(
         counts,
         ["score"],
@@ -50,6 +64,7 @@ def binary_metrics(
         by=by,
         descending=True,
         key_bits=key_bits,
+        bucket=bucket,
     )
     big = "decimal(38,0)"
     pairs2 = F.col("neg").cast("decimal(20,0)") * (2 * F.col("tp") - F.col("pos")).cast("decimal(18,0)")

@@ -23,7 +23,8 @@ from tallyfold.operators.labels import (
     learner_count,
     with_class_weight,
 )
-from tallyfold.operators.learning import BoostedModel, trainer, weak_scores
+from tallyfold.operators.boosting import model_inputs
+from tallyfold.operators.learning import BoostedModel, takes_vectors, trainer, weak_scores
 from tallyfold.operators.metrics import METRICS, binary_metrics
 from tallyfold.operators.ranking import debug_subset, settled, small_side
 from tallyfold.operators.rowsets import (
@@ -37,6 +38,7 @@ from tallyfold.operators.rowsets import (
     top_up_positives,
 )
 from tallyfold.plans.params import ENSEMBLE, Columns, FeatureParams, JobParams
+from tallyfold.session import path_exists
 from tallyfold.sources import tables
 
 ID, TEXT, LABEL, CATEGORY = "row_id", "text", "label", "category"
@@ -118,8 +120,14 @@ def build_features(df: DataFrame, features: FeatureParams, dictionary: DataFrame
     return fp.with_category_code(made, CATEGORY, dictionary).select(ID, *keep, "bits", "code")
 
 
-def vectorise(df: DataFrame, n_bits: int, code_mode: str) -> DataFrame:
-    """Model-side ``features`` column out of bits and code."""
+def vectorise(df: DataFrame, n_bits: int, code_mode: str, vectors: bool = False) -> DataFrame:
+    """Model-side inputs out of bits and code: bits and numbers, or one ``features`` vector."""
+    if not vectors:
+        if "code" not in df.columns:
+            return model_inputs(df, "bits")
+        if code_mode == "add":
+            return model_inputs(df, None).withColumn("in_numbers", add_code(F.col("bits"), F.col("code"), n_bits))
+        return model_inputs(df, "bits", ["code"])
     if "code" not in df.columns:
         return fp.bits_to_vector(df, "bits", n_bits)
     if code_mode == "add":
@@ -127,6 +135,12 @@ def vectorise(df: DataFrame, n_bits: int, code_mode: str) -> DataFrame:
     return fp.assemble(fp.bits_to_vector(df, "bits", n_bits, "_bits"), ["_bits", "code"]).drop("_bits")
 
 
+def score_inputs(df: DataFrame, k: int, trainer_name: str) -> DataFrame:
+    """Inputs of the final model of an ensemble: the scores of its ``k`` weak learners."""
+    names = [f"weak_{i}" for i in range(k)]
+    return fp.assemble(df, names) if takes_vectors(trainer_name) else model_inputs(df, None, names)
+
+
 def bit_length(features: FeatureParams) -> int:
     return max(k.key for k in fp.NOTATION_KEYS) + 1 if features.name == "pattern_keys" else features.length
 
@@ -159,13 +173,16 @@ def _train_one(
     params: JobParams,
     out_dir: str,
     input_name: str,
+    resume: bool,
 ) -> tuple[BoostedModel, dict]:
-    """Train and validate on the stored rows of one model."""
+    """Train and validate on the stored rows of one model; ``resume`` goes on from the rounds of an ended run."""
     spark = stored.sparkSession
     tables.write_membership(stored, f"{out_dir}/membership", ID, [LABEL, "split"], mode="overwrite")
     weight = chosen.weight(params, stored.count())
     rows = with_class_weight(vectors(stored), LABEL, weight)
-    model, curve = trainer(params.trainer)(rows, LABEL, params.model, ID, "split", "weight")
+    rounds = f"{out_dir}/snapshots"
+    how = {} if takes_vectors(params.trainer) else {"snapshots": rounds, "resume": rounds if resume and path_exists(spark, rounds) else None}
+    model, curve = trainer(params.trainer)(rows, LABEL, params.model, ID, "split", "weight", **how)
     model.save(out_dir)
     if curve is not None:
         tables.write_csv(curve.orderBy("round", "split"), f"{out_dir}/rounds.csv", mode="overwrite")
@@ -193,11 +210,14 @@ def run_job(
     out_dir: str,
     codes: Mapping[str, int] | None = None,
     input_name: str = "train.parquet",
+    resume: bool = False,
 ) -> JobResult:
     """Run the whole pipeline.
 
-    Writes ``config``, ``membership``, ``model``, ``rounds.csv``, ``{input}_metrics.csv`` and
-    ``submission.csv`` under ``out_dir``, and the same under ``weak_learner_{i}`` for every weak learner.
+    Writes ``config``, ``membership``, ``snapshots`` (the trees, round by round), ``model``, ``rounds.csv``,
+    ``{input}_metrics.csv`` and ``submission.csv`` under ``out_dir``, and the same under ``weak_learner_{i}`` for every weak
+    learner.  With ``resume`` the models of an earlier run in ``out_dir``, with the same data and settings, go on from
+    their last stored round.
     """
     out_dir = out_dir.rstrip("/")
     notes = json.dumps(params.to_dict())
@@ -215,7 +235,7 @@ def run_job(
     base = params.weak if params.kind == ENSEMBLE else params
 
     def vectors(df: DataFrame) -> DataFrame:
-        return vectorise(df, bit_length(base.features), base.code_mode)
+        return vectorise(df, bit_length(base.features), base.code_mode, takes_vectors(base.trainer))
 
     # texts are read to make bits, once per table, and never again
     made = _rewrite(build_features(test, base.features, dictionary, []), f"{out_dir}/features_test")
@@ -225,7 +245,7 @@ def run_job(
         chosen = select_rows(whole, whole, params)
         made = build_features(chosen.rows, base.features, dictionary, [LABEL, "split"])
         stored = _all_readable(_rewrite(made, f"{out_dir}/features_train", partition_by=["split"]), base.features, "training")
-        model, metrics = _train_one(stored, vectors, chosen, params, out_dir, input_name)
+        model, metrics = _train_one(stored, vectors, chosen, params, out_dir, input_name, resume)
         _submit(model.score(test_rows).select(ID, "score"), out_dir, columns.label)
         return JobResult(model, [], metrics, out_dir)
 
@@ -240,13 +260,13 @@ def run_job(
         where = f"{out_dir}/weak_learner_{i}"
         chosen = select_rows(dealt.where(F.col("learner") == str(i)), dealt, params.weak)
         stored = _rewrite(chosen.rows, f"{where}/features_train", partition_by=["split"])
-        weak.append(_train_one(stored, vectors, chosen, params.weak, where, input_name)[0])
+        weak.append(_train_one(stored, vectors, chosen, params.weak, where, input_name, resume)[0])
 
     def weak_score_vectors(df: DataFrame) -> DataFrame:
-        return fp.assemble(df, [f"weak_{i}" for i in range(k)])
+        return score_inputs(df, k, params.trainer)
 
     chosen = select_rows(dealt.where(F.col("learner") == FINAL), dealt, params)
-    scored = weak_scores(weak, vectors(chosen.rows)).drop("features")
+    scored = weak_scores(weak, vectors(chosen.rows)).drop("features", "in_bits", "in_numbers")
     stored = _rewrite(scored, f"{out_dir}/weak_scores_train", partition_by=["split"])
     # row by row, as test ids may be null and may repeat; each weak learner scores the test table once
     scored = weak_scores(weak, test_rows).select(ID, *[f"weak_{i}" for i in range(k)])
@@ -257,7 +277,7 @@ def run_job(
     totals = class_counts(dealt, LABEL).first()
     if not chosen.topped_up:
         chosen.neg, chosen.pos = totals.neg, totals.pos
-    model, metrics = _train_one(stored, weak_score_vectors, chosen, params, out_dir, input_name)
+    model, metrics = _train_one(stored, weak_score_vectors, chosen, params, out_dir, input_name, resume)
     _submit(model.score(weak_score_vectors(scored_test)).select(ID, "score"), out_dir, columns.label)
     return JobResult(model, weak, metrics, out_dir)
 
@@ -278,10 +298,11 @@ class SavedRun:
         keep = [LABEL] if LABEL in rows.columns else []
         # stored, as the rows are counted for unreadable texts before they are scored
         made = settled(build_features(rows, base.features, self.dictionary, keep), "features")
-        rows = vectorise(_all_readable(made, base.features, "given"), bit_length(base.features), base.code_mode)
+        made = _all_readable(made, base.features, "given")
+        rows = vectorise(made, bit_length(base.features), base.code_mode, takes_vectors(base.trainer))
         if self.weak:
-            scored = weak_scores(self.weak, rows).drop("features")
-            rows = fp.assemble(scored, [f"weak_{i}" for i in range(len(self.weak))])
+            scored = weak_scores(self.weak, rows).drop("features", "in_bits", "in_numbers")
+            rows = score_inputs(scored, len(self.weak), self.params.trainer)
         return self.model.score(rows).select(ID, *keep, "score")
 
     def score(self, df: DataFrame, labelled: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ from tallyfold.functions.scalars import (
     shard_of,
 )
 from tallyfold.operators import fingerprints as fp
-from tallyfold.operators import graphs, labels, learning, metrics, ranking, rowsets
+from tallyfold.operators import boosting, graphs, labels, learning, metrics, ranking, rowsets
 from tallyfold.plans import oracle as sql
 from tallyfold.plans.job import load_run, run_job
 from tallyfold.plans.params import Columns, JobParams
@@ -56,7 +56,11 @@ def joined(bits: str | Column) -> Column:
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return rounded_to(df, 6, *names)
+
+
+def rounded_to(df: DataFrame, places: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, places) for n in names})
 
 
 def documents_with_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -873,16 +877,16 @@ def document_features(spark, d) -> DataFrame:
     split = rowsets.split_train_val(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     split = labels.with_class_weight(split, "quality")
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    bits = fp.token_chain_bits(docs, "text", 1, 64, hash="xx").select("doc_id", "bits")
+    bits = fp.token_chain_bits(docs, "text", 1, 1024, hash="xx").select("doc_id", "bits")
     bits.join(split, "doc_id", "left").write.parquet(path)
-    return fp.bits_to_vector(spark.read.parquet(path), "bits", 64).drop("bits")
+    return boosting.model_inputs(spark.read.parquet(path), "bits").drop("bits")
 
 
 def fitted(spark, d) -> tuple[learning.BoostedModel, DataFrame, DataFrame]:
     """Model on the labelled documents; their rows with a split; and the rows without a label."""
     rows = document_features(spark, d)
     known = rows.where(F.col("quality").isNotNull())
-    model, _ = learning.train(known, "quality", SMALL, "doc_id", "split", "weight")
+    model, _ = learning.train_rounds(known, "quality", SMALL, "doc_id", "split", "weight")
     return model, known, rows.where(F.col("quality").isNull())
 
 
@@ -896,10 +900,16 @@ LABELLED_SPLIT = f"""
       from documents join labels using (doc_id))"""
 
 
-@query("l1_l2_l4_train_and_score", f"select doc_id, split, true as in_unit from ({LABELLED_SPLIT})")
+@query("l1_l2_l4_train_and_score", f"select doc_id, split, true as same from ({LABELLED_SPLIT})")
 def l4(spark, d):
-    model, known, _ = fitted(spark, d)
-    return model.score(known).select("doc_id", "split", in_unit("score").alias("in_unit"))
+    """Scores of the one-pass scorer beside those that the training left in its margin table, row by row."""
+    known = document_features(spark, d).where(F.col("quality").isNotNull())
+    run = boosting.Boosting(known, "doc_id", "quality", "split", boosting.Growth(max_depth=3), "weight")
+    for _ in range(2):
+        run.step()
+    grown = run.state.select(F.col("row_id").alias("doc_id"), (1 / (1 + F.exp(-F.col("margin")))).alias("grown"))
+    both = run.model.score(known).join(grown, "doc_id")
+    return both.select("doc_id", "split", (F.abs(F.col("score") - F.col("grown")) < 1e-12).alias("same"))
 
 
 @query(
@@ -951,6 +961,69 @@ def l3(spark, d):
     return metrics.early_stop(curve.where(F.col("split") == "val"), "round", "average_precision", 3)
 
 
+WATCHED = learning.BoostParams(
+    max_depth=2, num_boost_round=30, eta=0.5, subsample=1.0, colsample_bytree=1.0, early_stopping_rounds=2, eval_metric="auc"
+)
+
+
+@query(
+    "l3_a11_stops_while_growing",
+    "select true as stopped_early, true as stopped_by_the_rule, 0::bigint as n_different",
+)
+def l3_growing(spark, d):
+    """Training ends where patience runs out; the curve it kept equals that of the finished model's staged scores."""
+    known = document_features(spark, d).where(F.col("quality").isNotNull())
+    model, curve = learning.train_rounds(known, "quality", WATCHED, "doc_id", "split", "weight", train_curve=True)
+    staged = learning.curve_of_rounds(model.model, known, "quality", "split")
+    apart = F.abs(F.col("c.roc_auc") - F.col("s.roc_auc")) + F.abs(F.col("c.average_precision") - F.col("s.average_precision"))
+    both = curve.alias("c").join(staged.alias("s"), ["round", "split"], "full").agg(F.count_if(~F.coalesce(apart < 1e-9, F.lit(False))).alias("n_different"))
+    rule = metrics.early_stop(curve.where("split = 'val'"), "round", "roc_auc", WATCHED.early_stopping_rounds)
+    rule = rule.select((F.col("stop_round") == model.model.n_rounds - 1).alias("stopped_by_the_rule"))
+    return both.crossJoin(F.broadcast(rule)).select(F.lit(model.model.n_rounds < 30).alias("stopped_early"), "stopped_by_the_rule", "n_different")
+
+
+STUMP_ALPHA, STUMP_ETA = 2.0, 0.3
+
+
+def _stump_sql(n: int) -> str:
+    """Best bit, leaf steps and margins of one round of stumps, from the margins of the round before."""
+    prev = f"m{n - 1}"
+    soft = lambda g: f"(greatest(abs({g}) - {STUMP_ALPHA}, 0) * sign({g}))"
+    score = lambda g, h: f"({soft(g)} * {soft(g)} / ({h} + 1))"
+    return f"""
+    g{n} as (select *, round((p - y) * 16777216) / 16777216 as g, round(p * (1 - p) * 16777216) / 16777216 as h
+             from (select *, 1 / (1 + exp(-margin)) as p from {prev}) where split = 'train'),
+    t{n} as (select sum(g) as ag, sum(h) as ah from g{n}),
+    s{n} as (select bit, sum(g) as rg, sum(h) as rh from (select unnest(on_bits) as bit, g, h from g{n}) group by bit),
+    b{n} as (select *, ag - rg as lg, ah - rh as lh from s{n}, t{n}),
+    c{n} as (select *, {score("lg", "lh")} + {score("rg", "rh")} - {score("ag", "ah")} as gain from b{n} where lh >= 1 and rh >= 1),
+    d{n} as (select * from c{n} where gain > 1e-6 order by gain desc, bit limit 1),
+    m{n} as (select m.* replace (margin - {STUMP_ETA} * case when list_contains(on_bits, bit) then {soft("rg")} / (rh + 1) else {soft("lg")} / (lh + 1) end as margin)
+             from {prev} m, d{n})"""
+
+
+@query(
+    "l2_boosted_stump_scores",
+    f"""with bits as ({sql.pattern_key_sql("documents", "doc_id", "text", fp.PROSE_KEYS)}),
+    m0 as (select doc_id, split, quality::double as y, 0.0::double as margin,
+                  case when bits = '' then []::int[] else list_transform(string_split(bits, ','), lambda x: x::int) end as on_bits
+           from ({LABELLED_SPLIT}) join bits using (doc_id) join labels using (doc_id)),
+    {", ".join(_stump_sql(n) for n in (1, 2, 3))}
+    select doc_id, split, round(1 / (1 + exp(-margin)), 9) as score from m3""",
+)
+def l2_stumps(spark, d):
+    """Three second-order rounds with an L1 penalty, recomputed in SQL down to the scores of all labelled rows."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    split = rowsets.split_train_val(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    rows = fp.pattern_key_bits(docs, "text", fp.PROSE_KEYS).select("doc_id", "bits").join(split, "doc_id")
+    rows = ranking.settled(boosting.model_inputs(rows, "bits"), "stumps")
+    growth = boosting.Growth(max_depth=1, eta=STUMP_ETA, alpha=STUMP_ALPHA)
+    run = boosting.Boosting(rows, "doc_id", "quality", "split", growth)
+    for _ in range(3):
+        run.step()
+    return rounded_to(run.model.score(rows).select("doc_id", "split", "score"), 9, "score")
+
+
 @query(
     "l6_score_with_earlier_round",
     "select count(*) as n_rows, 0::bigint as n_different from documents",
@@ -958,14 +1031,14 @@ def l3(spark, d):
 def l6(spark, d):
     """Scores of the first k trees, taken from the staged margins and from the short model, agree for every k."""
     model, known, rest = fitted(spark, d)
-    rows = known.select("doc_id", "features").unionByName(rest.select("doc_id", "features"))
-    n = model.model.getNumTrees
-    staged = learning.staged_margins(model.model, rows, n)
+    rows = known.select("doc_id", "in_bits", "in_numbers").unionByName(rest.select("doc_id", "in_bits", "in_numbers"))
+    n = model.model.n_rounds
+    staged = rows.withColumn("margins", model.model.margins())
     for k in range(1, n + 1):
-        staged = learning.score_rows(model.model, staged, k, f"s{k}")
+        staged = model.score(staged, k, f"s{k}")
     differ = F.lit(False)
     for k in range(1, n + 1):
-        differ = differ | (F.abs(F.col(f"s{k}") - learning.probability(F.get("margins", F.lit(k - 1)))) > 1e-12)
+        differ = differ | (F.abs(F.col(f"s{k}") - 1 / (1 + F.exp(-F.get("margins", F.lit(k - 1))))) > 1e-12)
     return staged.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(differ).alias("n_different"))
 
 
@@ -1037,13 +1110,17 @@ def f5_bad(spark, d):
 
 @query(
     "l8_s12_submission",
-    "select doc_id as id, true as in_unit from documents where doc_id not in (select doc_id from labels)",
+    "select doc_id as id, true as same, true as some_differ from documents where doc_id not in (select doc_id from labels)",
 )
 def l8(spark, d):
+    """The written submission holds, for each test row, the score that the trees give when walked one by one."""
     model, _, rest = fitted(spark, d)
     path = scratch_path(spark, "submission")
     tables.write_csv(tables.submission(model.score(rest), "doc_id", "score", "quality", order="doc_id"), path)
-    return tables.read_csv(spark, path, "id bigint, quality double").select("id", in_unit("quality").alias("in_unit"))
+    sent = tables.read_csv(spark, path, "id bigint, quality double")
+    apart = ranking.settled(rest.select("doc_id", boosting.walked(model.model, "in_bits").alias("own")), "walked")
+    differ = sent.agg((F.count_distinct("quality") > 2).alias("d")).scalar()
+    return sent.join(apart, sent.id == apart.doc_id).select("id", (F.abs(F.col("quality") - F.col("own")) < 1e-9).alias("same"), differ.alias("some_differ"))
 
 
 @query("l9_score_distribution", sql.histogram_of(f"select {sql.pseudo_score('doc_id::varchar')} as v from documents"))
@@ -1057,7 +1134,7 @@ def l9(spark, d):
         pool as (select doc_id, weak, (n - final_size) // weak as k,
                         row_number() over (order by {sql.seeded('doc_id')}, doc_id) as r
                  from (select doc_id, row_number() over (order by doc_id) - 1 as i from labels), s where i < n - final_size)
-        select doc_id, 2 as n_weak, true as in_unit
+        select count(*) as n_rows, 2 as n_weak, true as beats_chance, true as many_scores
         from labels left join pool using (doc_id) where r is null or r > k * weak""",
 )
 def l5(spark, d):
@@ -1077,11 +1154,14 @@ def l5(spark, d):
 
     weak = []
     for i in range(labels.learner_count(n, n // 4, n // 3)):
-        weak.append(learning.train(with_split(str(i)), "quality", SMALL, "doc_id", "split", "weight")[0])
-    final = learning.stacked_features(weak, with_split(rowsets.FINAL))
-    model, _ = learning.train(final, "quality", SMALL, "doc_id", "split", "weight")
-    size = F.size(vector_to_array("features"))
-    return model.score(final).select("doc_id", size.alias("n_weak"), in_unit("score").alias("in_unit"))
+        weak.append(learning.train_rounds(with_split(str(i)), "quality", SMALL, "doc_id", "split", "weight")[0])
+    # each weak learner scores the final rows once
+    final = ranking.settled(learning.stacked_features(weak, with_split(rowsets.FINAL)), "stacked")
+    model, _ = learning.train_rounds(final, "quality", SMALL, "doc_id", "split", "weight")
+    scored = ranking.settled(model.score(final).select("quality", "score", F.size("in_numbers").alias("n_weak")), "scored")
+    told = scored.agg(F.max("n_weak").alias("n_weak"), (F.count_distinct("score") > 4).alias("many_scores"))
+    found = metrics.binary_metrics(scored, "score", "quality")
+    return found.crossJoin(F.broadcast(told)).select((F.col("n_pos") + F.col("n_neg")).alias("n_rows"), "n_weak", (F.col("roc_auc") > 0.6).alias("beats_chance"), "many_scores")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,10 +50,20 @@ def _scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def drop_path(spark: SparkSession, path: str) -> bool:
+    """Delete a table that this application has written and that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_scratch(spark: SparkSession) -> bool:
     """Delete what this application has written to its scratch folder, once no result that reads it is needed."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
-    return root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    return drop_path(spark, _scratch_root(spark))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -80,6 +80,7 @@ def test_alpha_warns_and_unknown_trainer_fails(data):
         ln.fit_trees(data, "y", ln.BoostParams(max_depth=1, num_boost_round=1, alpha=0.1, partitions=2), "id")
     with pytest.raises(ValueError):
         ln.trainer("forest")
+    assert ln.takes_vectors("ml_boosted_trees") and not ln.takes_vectors("boosted_trees")
 
 
 @pytest.mark.parametrize("name, column", [("auc", "roc_auc"), ("error", "accuracy")])
