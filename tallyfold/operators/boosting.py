@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.session import drop_path, scratch_path
+from tallyfold.session import drop_path, scratch_path, spread
 
 #: Gradients are rounded to multiples of 1 / FIXED; sums of up to 5 * 10^11 rows of weight 1 fit a bigint.
 FIXED = 1 << 24
@@ -166,7 +166,7 @@ class BitTreeModel:
         return spark.createDataFrame(rows, TREES)
 
     def save(self, path: str) -> None:
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.active()
         notes = json.dumps({"n_bits": self.n_bits, "n_numbers": self.n_numbers})
         spark.createDataFrame([(notes,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/shape")
         self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
@@ -174,11 +174,11 @@ class BitTreeModel:
     def add_saved(self, path: str, tree: Tree) -> None:
         """Add the newest tree to a saved model."""
         row = (self.n_rounds - 1, tree.feature, tree.bin, tree.threshold, tree.value)
-        SparkSession.getActiveSession().createDataFrame([row], TREES).coalesce(1).write.mode("append").parquet(f"{path}/trees")
+        SparkSession.active().createDataFrame([row], TREES).coalesce(1).write.mode("append").parquet(f"{path}/trees")
 
     @classmethod
     def load(cls, path: str) -> BitTreeModel:
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.active()
         shape = json.loads(spark.read.text(f"{path}/shape").first().value)
         rows = spark.read.schema(TREES).parquet(f"{path}/trees").orderBy("round").collect()
         return cls(**shape, trees=[Tree(list(r.feature), list(r.bin), list(r.threshold), list(r.value)) for r in rows])
@@ -327,7 +327,7 @@ class Boosting:
     def __init__(self, df: DataFrame, row_id: str, label: str, split: str, growth: Growth, weight: str | None = None, max_bins: int = 32, n_bits: int | None = None, model: BitTreeModel | None = None):
         if not 2 <= max_bins < BIN_SLOTS:
             raise ValueError(f"max_bins must be from 2 to {BIN_SLOTS - 1}")
-        self.spark, self.growth = df.sparkSession, growth
+        self.spark, self.growth, self._next = df.sparkSession, growth, None
         known = df.where(F.col(label).isin(0, 1))
         train = known.where(F.col(split) == "train")
         seen = known.agg(F.max(F.array_max("in_bits")).alias("bit"), F.max(F.size("in_numbers")).alias("numbers")).first()
@@ -342,7 +342,7 @@ class Boosting:
         if self.model.trees:
             start = F.get(self.model.margins(), F.lit(self.model.n_rounds - 1))
         rows = known.select(F.col(row_id).alias("row_id"), F.col(split).alias("split"), F.col(label).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), "in_bits", "in_numbers", start.alias("margin"))
-        self._store(binned(rows, n_bits, self.cuts).drop("in_bits", "in_numbers"))
+        self._store(binned(spread(rows), n_bits, self.cuts).drop("in_bits", "in_numbers"))
 
     def _store(self, rows: DataFrame) -> None:
         path, before = scratch_path(self.spark, "boosting"), getattr(self, "path", None)
@@ -351,9 +351,16 @@ class Boosting:
         if before:
             drop_path(self.spark, before)
 
+    def look_ahead(self) -> Tree:
+        """The next round's tree, kept for :meth:`step`; the model and the margins stay as they are."""
+        if self._next is None:
+            self._next = grow_tree(self.state, self.growth, self.model.n_rounds, self.model.n_bits, self.cuts)
+        return self._next
+
     def step(self) -> Tree:
         """Grow one more round and store the margins after it."""
-        tree = grow_tree(self.state, self.growth, self.model.n_rounds, self.model.n_bits, self.cuts)
+        tree = self.look_ahead()
+        self._next = None
         moved = _with_node(self.state, tree, self.growth.max_depth, self.model.n_bits)
         moved = moved.withColumn("margin", F.expr(f"margin + get({_constant(tree.value, 'double')}, _n)")).drop("_n")
         self._store(moved)

@@ -7,6 +7,7 @@ import json
 import math
 import warnings
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -211,7 +212,7 @@ class BoostedModel:
 
     def save(self, path: str) -> None:
         """Model folder, with the round numbers beside it as one line of JSON."""
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.active()
         if isinstance(self.model, BitTreeModel):
             kind = "boosted_trees"
             self.model.save(f"{path}/model")
@@ -223,7 +224,7 @@ class BoostedModel:
 
     @classmethod
     def load(cls, path: str) -> BoostedModel:
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.active()
         notes = json.loads(spark.read.text(f"{path}/rounds").first().value)
         if notes.get("kind") == "external_boosted_trees":
             from xgboost.spark import SparkXGBClassifierModel
@@ -281,19 +282,27 @@ def train_rounds(
             best, best_value = now, value
         return patience is not None and now - (best or 0) >= patience
 
+    def measured(state: DataFrame, round_no: int) -> list[dict]:
+        rows = state if train_curve else state.where("split = 'val'")
+        rows = rows.select("split", "y", (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))).alias("score"))
+        found = binary_metrics(rows, "score", "y", by=["split"], bucket=F.floor(F.col("score") * SCORE_RANGES))
+        return [{"round": round_no, **r.asDict()} for r in found.collect()]
+
     ended = False
     if begun and begun.n_rounds:
         earlier = curve_of_rounds(begun, watched, label, split).orderBy("round", "split").collect()
         for i in range(begun.n_rounds):
             ended = counts([r.asDict() for r in earlier if r["round"] == i])
-    while not ended and run.model.n_rounds < params.num_boost_round:
-        tree = run.step()
-        if snapshots:
-            run.model.add_saved(snapshots, tree)
-        rows = run.state if train_curve else run.state.where("split = 'val'")
-        rows = rows.select("split", "y", (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))).alias("score"))
-        found = binary_metrics(rows, "score", "y", by=["split"], bucket=F.floor(F.col("score") * SCORE_RANGES))
-        ended = counts([{"round": run.model.n_rounds - 1, **r.asDict()} for r in found.collect()])
+    with ThreadPoolExecutor(1) as aside:
+        while not ended and run.model.n_rounds < params.num_boost_round:
+            tree = run.step()
+            if snapshots:
+                run.model.add_saved(snapshots, tree)
+            # the next tree's nodes are searched while this round is measured; it joins the model only if training goes on
+            waiting = aside.submit(measured, run.state, run.model.n_rounds - 1)
+            if run.model.n_rounds < params.num_boost_round:
+                run.look_ahead()
+            ended = counts(waiting.result())
     run.close()
     spark = df.sparkSession
     names = ["round", "split", *METRICS, "n_pos", "n_neg"]

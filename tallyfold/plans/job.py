@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.ml.functions import array_to_vector
@@ -41,6 +42,7 @@ from tallyfold.plans.params import ENSEMBLE, Columns, FeatureParams, JobParams
 from tallyfold.session import path_exists
 from tallyfold.sources import tables
 
+LEARNERS_AT_ONCE = 4
 ID, TEXT, LABEL, CATEGORY = "row_id", "text", "label", "category"
 
 
@@ -255,12 +257,15 @@ def run_job(
     # one folder per learner; rebalancing keeps files few for small learners and splits the large final set
     dealt = _rewrite(made.hint("rebalance", "learner"), f"{out_dir}/features_train", partition_by=["learner"])
     dealt = _all_readable(dealt, base.features, "training").withColumn("learner", F.col("learner").cast("string"))
-    weak: list[BoostedModel] = []
-    for i in range(k):
+    def train_weak(i: int) -> BoostedModel:
         where = f"{out_dir}/weak_learner_{i}"
         chosen = select_rows(dealt.where(F.col("learner") == str(i)), dealt, params.weak)
         stored = _rewrite(chosen.rows, f"{where}/features_train", partition_by=["split"])
-        weak.append(_train_one(stored, vectors, chosen, params.weak, where, input_name, resume)[0])
+        return _train_one(stored, vectors, chosen, params.weak, where, input_name, resume)[0]
+
+    # learners have rows of their own; a few are trained side by side, as one seldom fills a cluster
+    with ThreadPoolExecutor(LEARNERS_AT_ONCE) as pool:
+        weak = list(pool.map(train_weak, range(k)))
 
     def weak_score_vectors(df: DataFrame) -> DataFrame:
         return score_inputs(df, k, params.trainer)

@@ -153,3 +153,72 @@ def pattern_key_sql(table: str, row_id: str, text: str, keys) -> str:
         for k in sorted(keys, key=lambda k: k.key)
     )
     return f"select {row_id}, array_to_string(list_filter([{hits}], lambda x: x is not null), ',') as bits from {table}"
+
+
+def structure_sql() -> str:
+    """CTEs ``bond`` (src, dst, label, in_ring) and ``perceived`` (element, aromatic, charge, hydrogens, in_ring) of the notation strings.
+
+    A bond is in a ring if its ends stay connected without it.  The strings write every aromatic ring in lower case.
+    """
+    from tallyfold.operators.structure import ELEMENT, VALENCES
+
+    valences = "case el " + " ".join(f"when '{e}' then {v}" for e, v in VALENCES.items()) + " else []::int[] end"
+    return rf"""
+    {GRAPH},
+    e as (select *, row_number() over (partition by graph_id order by src, dst) as k from edges),
+    both_ways as (select graph_id, k, src, dst from e union all select graph_id, k, dst, src from e),
+    reach as (
+        select graph_id, k as without, dst as here from e
+        union
+        select r.graph_id, r.without, b.dst from reach r join both_ways b on b.graph_id = r.graph_id and b.src = r.here and b.k <> r.without),
+    bond as (
+        select e.graph_id, e.k, e.src, e.dst, case when e.label = ':' and r.here is null then '-' else e.label end as label, r.here is not null as in_ring
+        from e left join reach r on r.graph_id = e.graph_id and r.without = e.k and r.here = e.src),
+    sides as (select graph_id, src as node_id, label, in_ring from bond union all select graph_id, dst, label, in_ring from bond),
+    held as (
+        select n.graph_id, n.node_id, any_value(n.label) as symbol, coalesce(bool_or(s.in_ring), false) as in_ring,
+               coalesce(sum(case s.label when '=' then 2 when '#' then 3 when '$' then 4 when '-' then 1 when ':' then 1 end), 0)::int as total
+        from nodes n left join sides s using (graph_id, node_id) group by 1, 2),
+    named as (
+        select *, regexp_extract(symbol, '{ELEMENT}', 1) as raw, upper(raw[1]) || raw[2:] as el, raw = lower(raw) as aromatic,
+               regexp_extract(symbol, '([+-]+)[0-9]*\]$', 1) as signs
+        from held),
+    perceived as (
+        select graph_id, node_id, el as element, aromatic, in_ring, case when signs like '-%' then -len(signs) else len(signs) end as charge,
+               case when symbol[1] = '[' then case when symbol like '%H%' then coalesce(try_cast(regexp_extract(symbol, 'H([0-9]+)', 1) as int), 1) else 0 end
+                    when aromatic then greatest(coalesce(({valences})[1], 0) - total - 1, 0)
+                    else coalesce(list_filter({valences}, lambda v: v >= total)[1] - total, 0) end as hydrogens
+        from named)"""
+
+
+def structure_counts_sql() -> str:
+    return f"""with recursive {structure_sql()}
+    select s.g as p_partkey, (select count(*) from perceived where graph_id = s.g) as n_atoms, (select count(*) from bond where graph_id = s.g) as n_bonds,
+           (select count(*) from bond where graph_id = s.g and in_ring) as n_ring_bonds,
+           (select coalesce(sum(hydrogens), 0)::bigint from perceived where graph_id = s.g) as n_hydrogens
+    from strings s"""
+
+
+def structure_keys_sql(keys) -> str:
+    """Bits by one join per pattern and further atom, hits counted as distinct sets of atoms."""
+    from tallyfold.operators.structure import _bond_fits, _fits
+
+    patterns = list(dict.fromkeys(k.pattern for k in keys))
+    ctes, counts = [], []
+    for i, p in enumerate(patterns):
+        tables, tests = ["perceived a0"], [_fits(p.atoms[0], "a0.")]
+        for k in range(1, len(p.atoms)):
+            tables.append(f"perceived a{k}")
+            tests += [f"a{k}.graph_id = a0.graph_id", _fits(p.atoms[k], f"a{k}."), *[f"a{k}.node_id <> a{j}.node_id" for j in range(k)]]
+        for j, (x, y, labels) in enumerate(p.bonds):
+            tables.append(f"sym b{j}")
+            tests += [f"b{j}.graph_id = a0.graph_id", f"b{j}.src = a{x}.node_id", f"b{j}.dst = a{y}.node_id", _bond_fits(p, labels, f"b{j}.")]
+        hit = "[" + ", ".join(f"a{k}.node_id" for k in range(len(p.atoms))) + "]"
+        ctes.append(f"p{i} as (select a0.graph_id, count(distinct list_sort({hit})) as n from {', '.join(tables)} where {' and '.join(tests)} group by 1)")
+    for k in keys:
+        counts.append(f"select graph_id, {k.key} as bit from p{patterns.index(k.pattern)} where n >= {k.min_count}")
+    return f"""with recursive {structure_sql()},
+    sym as (select graph_id, src, dst, label, in_ring from bond union all select graph_id, dst, src, label, in_ring from bond),
+    {", ".join(ctes)},
+    hits as ({" union all ".join(counts)})
+    select s.g as p_partkey, coalesce(string_agg(bit::varchar, ',' order by bit), '') as bits from strings s left join hits on graph_id = s.g group by 1"""

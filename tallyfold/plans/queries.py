@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from tallyfold.functions.scalars import (
     shard_of,
 )
 from tallyfold.operators import fingerprints as fp
-from tallyfold.operators import boosting, graphs, labels, learning, metrics, ranking, rowsets
+from tallyfold.operators import boosting, graphs, labels, learning, metrics, ranking, rowsets, structure
 from tallyfold.plans import oracle as sql
 from tallyfold.plans.job import load_run, run_job
 from tallyfold.plans.params import Columns, JobParams
@@ -793,6 +794,22 @@ def f6_rows(spark, d):
     return bits.select("p_partkey", joined("bits").alias("bits"))
 
 
+@query("f5_structure_counts", sql.structure_counts_sql())
+def f5_structure(spark, d):
+    """Atoms, bonds, bonds in rings and hydrogens of every string."""
+    seen = structure.perceive(spread(notation(spark, d)), "s", "x")
+    ringed = F.size(F.filter("x.bonds", lambda b: b["in_ring"])).cast("bigint")
+    hydrogens = F.aggregate("x.atoms", F.lit(0).cast("bigint"), lambda n, a: n + a["hydrogens"])
+    sizes = [F.size(f"x.{c}").cast("bigint").alias(f"n_{c}") for c in ("atoms", "bonds")]
+    return seen.select("p_partkey", *sizes, ringed.alias("n_ring_bonds"), hydrogens.alias("n_hydrogens"))
+
+
+@query("f4_structure_key_fingerprint", sql.structure_keys_sql(structure.STRUCTURE_KEYS))
+def f4_structure(spark, d):
+    bits = structure.structure_key_bits(spread(notation(spark, d)), "s")
+    return bits.select("p_partkey", joined("bits").alias("bits"))
+
+
 GROWN_CODES = f"(select 'en' as value, 0 as code union all select 'fr', 1 union all select value, code::int from ({GROWN}))"
 
 
@@ -1152,9 +1169,9 @@ def l5(spark, d):
         tables.write_table(ids, where)
         return labels.with_class_weight(rows.join(spark.read.parquet(where), "doc_id"), "quality")
 
-    weak = []
-    for i in range(labels.learner_count(n, n // 4, n // 3)):
-        weak.append(learning.train_rounds(with_split(str(i)), "quality", SMALL, "doc_id", "split", "weight")[0])
+    k = labels.learner_count(n, n // 4, n // 3)
+    with ThreadPoolExecutor(k) as pool:  # learners have rows of their own and are trained side by side
+        weak = list(pool.map(lambda i: learning.train_rounds(with_split(str(i)), "quality", SMALL, "doc_id", "split", "weight")[0], range(k)))
     # each weak learner scores the final rows once
     final = ranking.settled(learning.stacked_features(weak, with_split(rowsets.FINAL)), "stacked")
     model, _ = learning.train_rounds(final, "quality", SMALL, "doc_id", "split", "weight")
