@@ -205,7 +205,14 @@ def _graph_circular(df: DataFrame, text: str, radius: int = 2, length: int = 204
     return notation_bits(df, text, radius, length, hash=hash, bad="null")
 
 
+def _structure_keys(df: DataFrame, text: str, **_) -> DataFrame:
+    from tallyfold.operators.structure import structure_key_bits
+
+    return structure_key_bits(df, text)
+
+
 FEATURIZERS: dict[str, Featurizer] = {
+    "structure_keys": _structure_keys,
     "token_chain": _circular,
     "graph_circular": _graph_circular,
     "pattern_keys": _pattern_keys,

@@ -38,11 +38,14 @@ from tallyfold.operators.rowsets import (
     split_train_val,
     top_up_positives,
 )
+from tallyfold.operators.structure import STRUCTURE_KEYS
 from tallyfold.plans.params import ENSEMBLE, Columns, FeatureParams, JobParams
 from tallyfold.session import path_exists
 from tallyfold.sources import tables
 
 LEARNERS_AT_ONCE = 4
+#: Fingerprints of texts that must be line notation.
+READ_AS_NOTATION = ("graph_circular", "structure_keys")
 ID, TEXT, LABEL, CATEGORY = "row_id", "text", "label", "category"
 
 
@@ -144,6 +147,8 @@ def score_inputs(df: DataFrame, k: int, trainer_name: str) -> DataFrame:
 
 
 def bit_length(features: FeatureParams) -> int:
+    if features.name == "structure_keys":
+        return len(STRUCTURE_KEYS)
     return max(k.key for k in fp.NOTATION_KEYS) + 1 if features.name == "pattern_keys" else features.length
 
 
@@ -162,7 +167,7 @@ def _rewrite(df: DataFrame, path: str, **options) -> DataFrame:
 
 def _all_readable(made: DataFrame, features: FeatureParams, what: str) -> DataFrame:
     """A fingerprint that is null stands for a text that cannot be read; the job stops rather than lose it."""
-    bad = made.where(F.col("bits").isNull()).count() if features.name == "graph_circular" else 0
+    bad = made.where(F.col("bits").isNull()).count() if features.name in READ_AS_NOTATION else 0
     if bad:
         raise ValueError(f"{bad} rows of the {what} table are not line notation")
     return made

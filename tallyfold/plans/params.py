@@ -18,7 +18,8 @@ FEATURIZER_NAMES = {
     "graph_circular": "graph_circular",
     "pattern_keys": "pattern_keys",
     "circular_fingerprint": "graph_circular",
-    "maccs_fingerprint": "pattern_keys",
+    "structure_keys": "structure_keys",
+    "maccs_fingerprint": "structure_keys",
     "ensemble_predictions": "weak_scores",
     "weak_scores": "weak_scores",
 }
@@ -93,7 +94,7 @@ class JobParams:
         if feats["name"] not in FEATURIZER_NAMES and feats["name"] not in FEATURIZERS:
             raise ValueError(f"featurizer {feats['name']!r} is not supported")
         if feats["name"] == "maccs_fingerprint":
-            warnings.warn("maccs_fingerprint selects this library's own pattern keys, not the public key set", stacklevel=2)
+            warnings.warn("maccs_fingerprint selects this library's own structure keys, not the public key set", stacklevel=2)
         feats["name"] = FEATURIZER_NAMES.get(feats["name"], feats["name"])
         weak = model.pop("weak_learner_config", None)
         model.pop("num_weak_learners", None)
