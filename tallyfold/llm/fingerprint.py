@@ -19,8 +19,8 @@ BITS = 64
 LANES, SHIFTS = 4, 16
 #: Every sixteenth bit, one in each 16-bit lane of a long.
 SPREAD = 0x0001_0001_0001_0001
-#: Terms whose votes one packed counter takes; weights are 3 at most, so a lane stays below 2^16.
-CHUNK = 16_384
+#: Terms whose votes one packed counter takes; weights are 3 at most, so a lane stays below 2^15 and the sum within a long.
+CHUNK = 8_192
 #: A word with more characters than this counts as one that carries meaning.
 SHORT_WORD = 3
 GAP = r"[\x09-\x0D ]+"
