@@ -21,8 +21,10 @@ from pyspark.sql.window import Window
 from tallyfold.llm.common import small_batches, staged
 from tallyfold.operators.ranking import small_side
 
-#: A task builds the trie of about this many paths at a time, and of one group at least.
-LEAST_LIMIT = 2_000
+#: A node that fewer paths run through is never an upper node.
+LEAST_LIMIT = 250
+#: A task builds the trie of about this many paths at a time, of one group at least.
+PATHS_AT_ONCE = 2_000
 #: Upper nodes on one depth are fewer than this.
 UPPER_NODES = 8_000
 #: Conversation ids that are joined to one piece of text before they are hashed.
@@ -174,16 +176,16 @@ def shard_nodes(frame: pd.DataFrame) -> pd.DataFrame:
     return _frame(out)
 
 
-def _shards(limit: int):
+def _shards(at_once: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows are sorted by shard key; whole groups are gathered until there are ``limit`` paths."""
+        """Rows are sorted by shard key; whole groups are gathered until there are ``at_once`` paths."""
         held, size = [], 0
         for frame in frames:
             if not len(frame):
                 continue
             held.append(frame)
             size += len(frame)
-            if size < limit:
+            if size < at_once:
                 continue
             whole = pd.concat(held, ignore_index=True)
             done = whole["shard"] != whole["shard"].iloc[-1]
@@ -262,7 +264,7 @@ def prefix_nodes(turns: DataFrame, conv_ids: DataFrame, least: int = LEAST_LIMIT
     dealt = whole.select(shard.alias("shard"), "conv_id", "n", F.col("cut.depth").alias("cut"), *columns)
     dealt = dealt.repartition("shard").sortWithinPartitions("shard")
     with small_batches(turns.sparkSession, rows=1_000):
-        nodes = staged(dealt.mapInPandas(_shards(limit), NODES), "trie-nodes")
+        nodes = staged(dealt.mapInPandas(_shards(max(limit, PATHS_AT_ONCE)), NODES), "trie-nodes")
         chunk = F.floor(F.col("conv_id") / ID_RANGE).alias("range")
         pieces = last.groupBy("x1", "x2", chunk).agg(F.array_join(F.array_sort(F.collect_list("conv_id")).cast("array<string>"), ",").alias("ids"), F.min("conv_id").alias("low"))
         pieces = pieces.repartition("x1", "x2").sortWithinPartitions("x1", "x2", "range")
