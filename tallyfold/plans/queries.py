@@ -94,9 +94,22 @@ def s3(spark, d):
     return both.groupBy(file_stem(F.col("file")).alias("file")).agg(F.sum("n_rows").alias("n_rows"))
 
 
-@query("s3_row_group_profile", "select count(*) as n_rows from lineitem")
+@query(
+    "s3_row_group_profile",
+    """select 'lineitem' as file, 0::bigint as first_row, count(*) as n_rows, 0::bigint as n_lost from lineitem
+       union all select 'orders', 0, count(*), 0 from orders union all select 'events', 0, count(*), 0 from events""",
+)
 def s3_groups(spark, d):
-    return tables.row_group_profile(spark, f"{d}/lineitem.parquet").agg(F.sum("n_rows").alias("n_rows"))
+    """Rows per file from the runs of row numbers in its splits; ``n_lost`` counts gaps within and between the splits."""
+    splits = None
+    for name in ("lineitem", "orders", "events"):
+        found = tables.split_profile(table(spark, d, name))
+        splits = found if splits is None else splits.union(found)
+    inside = F.sum(F.col("last_row") - F.col("first_row") + 1 - F.col("n_rows"))
+    between = F.max("last_row") - F.min("first_row") + 1 - F.sum(F.col("last_row") - F.col("first_row") + 1)
+    found = splits.groupBy("file").agg(F.min("first_row").alias("first_row"), F.sum("n_rows").alias("n_rows"), (inside + between).alias("n_lost"))
+    # one row per table file; check tables have many files of one name
+    return found.groupBy(file_stem(F.regexp_replace("file", r"\.parquet/.*$", ".parquet")).alias("file")).agg(F.min("first_row").alias("first_row"), F.sum("n_rows").alias("n_rows"), F.sum("n_lost").alias("n_lost"))
 
 
 @query("s4_row_index", "select o_orderkey, row_number() over () - 1 as row_index from orders")

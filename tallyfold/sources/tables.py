@@ -67,6 +67,17 @@ def storage_profile(df: DataFrame) -> DataFrame:
     return df.select(*where).groupBy("file", "split_start").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def split_profile(df: DataFrame) -> DataFrame:
+    """Which rows each split of each file holds: ``file, split_start, first_row, last_row, n_rows``.
+
+    A split holds whole row groups, so its rows follow each other: ``n_rows`` is their distance.  ``df`` must be a plain
+    Parquet scan; no column is read, and counts are added up map-side.
+    """
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_start"), F.col("_metadata.row_index").alias("_i")]
+    rows = df.select(*where).groupBy("file", "split_start")
+    return rows.agg(F.min("_i").alias("first_row"), F.max("_i").alias("last_row"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def row_group_profile(spark: SparkSession, path: str) -> DataFrame:
     """Rows per Parquet row group, from the footers alone; executors read one footer per file."""
     schema = "file string, row_group int, n_rows bigint, n_bytes bigint"

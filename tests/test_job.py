@@ -25,6 +25,13 @@ STACKED = {
     "train": {"early_stopping_rounds": 2, "train_size": 600},
     "featurizer": {"name": "ensemble_predictions"},
 }
+# the same with shorter trees, for what does not depend on them
+SHORT = {**MODEL, "max_depth": 1, "num_boost_round": 2}
+QUICK = {**SINGLE, "model": SHORT}
+QUICK_STACKED = {
+    **STACKED,
+    "model": {**SHORT, "name": "xgboost_ensemble", "weak_learner_config": {**QUICK, "train": {"early_stopping_rounds": 2, "train_size": 700}}},
+}
 COLUMNS = Columns(text="notation", label="active", category="site", test_id="id")
 
 
@@ -82,7 +89,7 @@ def test_end_to_end(spark, inputs, tmp_path, config):
 
 
 def test_top_up_brings_the_ratio_down(spark, inputs, tmp_path):
-    config = {**SINGLE, "train": {"early_stopping_rounds": 2, "train_size": 1000, "target_scale_pos_weight": 1.5}}
+    config = {**QUICK, "train": {"early_stopping_rounds": 2, "train_size": 1000, "target_scale_pos_weight": 1.5}}
     run_job(spark, *inputs, JobParams.from_dict(config), COLUMNS, str(tmp_path / "o"), CODES)
     members = spark.read.parquet(str(tmp_path / "o/membership"))
     # 1500 / 1.5 - 789 = 211 positives are drawn; those already among the 1000 rows are not added twice
@@ -95,7 +102,7 @@ def test_own_fingerprint_in_a_job(spark, inputs, tmp_path):
         return user_kernel_bits(df, text, lambda t: [min(len(t), length - 1)])
 
     register_featurizer("length", length_bits)
-    config = {**SINGLE, "featurizer": {"name": "length", "length": 64}}
+    config = {**QUICK, "featurizer": {"name": "length", "length": 64}}
     result = run_job(spark, *inputs, JobParams.from_dict(config), COLUMNS, str(tmp_path / "o"), CODES)
     assert result.model.model.n_bits <= 64 and result.model.model.n_numbers == 1
 
@@ -139,7 +146,7 @@ def test_run_available_reads_each_file_once(spark, tmp_path):
     assert got.where("id = 2").first().bits == batch
 
 
-@pytest.mark.parametrize("config", [SINGLE, STACKED], ids=["single", "stacked"])
+@pytest.mark.parametrize("config", [QUICK, QUICK_STACKED], ids=["single", "stacked"])
 def test_saved_run_with_string_ids_scores_and_evaluates_again(spark, inputs, tmp_path, config):
     out = str(tmp_path / "out")
     train, test = inputs
@@ -162,7 +169,7 @@ def test_job_stops_at_texts_it_cannot_read(spark, inputs, tmp_path):
     train, test = inputs
     broken = train.withColumn("notation", F.when(F.rand(1) < 0.01, "CC??O").otherwise(F.col("notation")))
     n = broken.where("notation = 'CC??O'").count()
-    everything = {**SINGLE, "train": {"early_stopping_rounds": 2, "train_size": -1}}
+    everything = {**QUICK, "train": {"early_stopping_rounds": 2, "train_size": -1}}
     with pytest.raises(ValueError, match=f"{n} rows of the training table"):
         run_job(spark, broken, test, JobParams.from_dict(everything), COLUMNS, str(tmp_path / "bad"), CODES)
 
@@ -175,10 +182,20 @@ def test_ensemble_keeps_test_rows_with_repeated_and_null_ids(spark, inputs, tmp_
     notation = F.element_at(F.array(*[F.lit(f) for f in FRAGMENTS]), (F.col("id") % len(FRAGMENTS) + 1).cast("int"))
     test = test.withColumn("notation", notation).withColumn("id", odd_id)
     out = str(tmp_path / "out")
-    run_job(spark, train, test, JobParams.from_dict(STACKED), COLUMNS, out, CODES)
+    run_job(spark, train, test, JobParams.from_dict(QUICK_STACKED), COLUMNS, out, CODES)
     rows = lambda df: sorted(((r[0], round(float(r[1]), 9)) for r in df.collect()), key=str)
     want = rows(load_run(spark, out).score(test))
     assert len(want) == 100
     assert rows(spark.read.parquet(f"{out}/test_scores")) == want
     for where in (out, f"{out}/weak_learner_0", f"{out}/weak_learner_1"):
         assert spark.read.option("header", True).csv(f"{where}/submission.csv").count() == 100
+
+
+def test_job_goes_on_from_its_snapshots(spark, inputs, tmp_path):
+    whole, cut = str(tmp_path / "whole"), str(tmp_path / "cut")
+    config = lambda rounds: JobParams.from_dict({**QUICK, "model": {**SHORT, "num_boost_round": rounds}})
+    want = run_job(spark, *inputs, config(3), COLUMNS, whole, CODES)
+    run_job(spark, *inputs, config(1), COLUMNS, cut, CODES)  # as if it had ended after one round
+    got = run_job(spark, *inputs, config(3), COLUMNS, cut, CODES, resume=True)
+    assert got.model.model.trees == want.model.model.trees and got.metrics == want.metrics
+    assert spark.read.option("header", True).csv(f"{cut}/rounds.csv").count() == 3

@@ -95,3 +95,23 @@ def test_scratch_is_dropped_on_request(rows):
     rows([(1,)], "i int").write.parquet(path)
     assert f"scratch-{spark.sparkContext.applicationId}/x-" in path
     assert spark.read.parquet(path).count() == 1 and callable(drop_scratch)
+
+
+def test_split_profile_covers_every_row_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(20_000).select("id", F.repeat(F.lit("x"), 50).alias("s")).repartition(2).write.option("parquet.block.row.count.limit", 1000).parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found = tables.split_profile(spark.read.parquet(path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    by_file = {}
+    for r in found:
+        assert r.n_rows == r.last_row - r.first_row + 1
+        by_file.setdefault(r.file, []).append((r.first_row, r.last_row))
+    assert len(by_file) == 2 and len(found) > 4
+    for runs in by_file.values():
+        runs.sort()
+        assert runs[0][0] == 0 and all(a[1] + 1 == b[0] for a, b in zip(runs, runs[1:]))
+    assert sum(r.n_rows for r in found) == 20_000
