@@ -126,6 +126,17 @@ def s5(spark, d):
     return tables.read_shards(table(spark, d, "orders"), list(range(14)), 1000).select("o_orderkey", "row_index")
 
 
+@query(
+    "s5_shards_by_zone_map",
+    """select o_orderkey, row_index from (select o_orderkey, row_number() over () - 1 as row_index from orders)
+       where row_index // 1000 in (2, 3, 11)""",
+)
+def s5_zones(spark, d):
+    path = scratch_path(spark, "sharded")
+    tables.write_sharded(table(spark, d, "orders"), path, 1000, files=16)
+    return tables.read_sharded(spark, path, [2, 3, 11]).select("o_orderkey", "row_index")
+
+
 @query("s6_parquet_sink", "select o_orderkey, o_totalprice from orders")
 def s6(spark, d):
     path = scratch_path(spark, "parquet")

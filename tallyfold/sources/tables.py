@@ -61,6 +61,33 @@ def read_shards(df: DataFrame, shards: Sequence[int], shard_size: int) -> DataFr
     return indexed.where(shard_of(F.col("row_index"), shard_size).isin(list(shards)))
 
 
+ZONES = "_zones"
+
+
+def write_sharded(df: DataFrame, path: str, shard_size: int, files: int | None = None) -> None:
+    """Write a plain Parquet scan so that single shards can be read alone.
+
+    Rows are laid out in ranges of their position (column ``row_index``), one range a file, and a zone map beside them
+    tells the first and last shard of each file: one row per file.
+    """
+    indexed = with_row_index(df).withColumn("_shard", shard_of(F.col("row_index"), shard_size))
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    indexed.repartitionByRange(n, "row_index").sortWithinPartitions("row_index").write.parquet(path)
+    at = df.sparkSession.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), "_shard")
+    at.groupBy("file").agg(F.min("_shard").alias("first"), F.max("_shard").alias("last")).coalesce(1).write.parquet(f"{path}/{ZONES}")
+
+
+def read_sharded(spark: SparkSession, path: str, shards: Sequence[int]) -> DataFrame:
+    """The chosen shards of :func:`write_sharded`, from the files that hold some of their rows and no others."""
+    zones = spark.read.parquet(f"{path}/{ZONES}")
+    wanted = F.array(*[F.lit(s).cast("bigint") for s in shards]) if shards else F.array().cast("array<bigint>")
+    hit = F.exists(wanted, lambda s: s.between(F.col("first"), F.col("last")))
+    files = [r.file for r in zones.where(hit).select("file").collect()]  # a part of the listing the driver holds anyway
+    whole = spark.read.parquet(path)
+    rows = spark.read.schema(whole.schema).parquet(*files) if files else whole.where(F.lit(False))
+    return rows.where(F.array_contains(wanted, F.col("_shard").cast("bigint"))).drop("_shard")
+
+
 def storage_profile(df: DataFrame) -> DataFrame:
     """Rows per file split of a plain Parquet scan, as Spark reads it."""
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_start")]

@@ -115,3 +115,16 @@ def test_split_profile_covers_every_row_once(spark, tmp_path):
         runs.sort()
         assert runs[0][0] == 0 and all(a[1] + 1 == b[0] for a, b in zip(runs, runs[1:]))
     assert sum(r.n_rows for r in found) == 20_000
+
+
+def test_only_files_that_hold_the_shards_are_read(spark, tmp_path):
+    src, path = str(tmp_path / "src"), str(tmp_path / "sharded")
+    spark.range(0, 40_000, numPartitions=3).withColumn("s", F.repeat(F.lit("x"), 20)).write.parquet(src)
+    tables.write_sharded(spark.read.parquet(src), path, 500, files=20)
+    whole = len(spark.read.parquet(path).inputFiles())
+    for shards in ([3], [0, 79], [5, 6, 7], [900], []):
+        got = tables.read_sharded(spark, path, shards)
+        want = tables.read_shards(spark.read.parquet(src), shards, 500) if shards else got
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert whole == 20 and len(got.inputFiles()) <= (3 * len(shards) if shards not in ([900], []) else 20)
+    assert len(tables.read_sharded(spark, path, [3]).inputFiles()) <= 2
