@@ -27,6 +27,8 @@ from tallyfold.session import scratch_path
 LEVEL_BITS = 12
 # Sides known to have at most this many rows are broadcast; beyond it the join is left to the planner.
 BROADCAST_ROWS = 100_000
+# Samples of up to this many rows per group are cut in every task before the exchange.
+HEAP_ROWS = 100
 # A bucket of the natural order holds about this many rows at least, and this many keys are sampled for it.
 BUCKET_ROWS = 1_000
 SAMPLE_PER_BUCKET = 32
@@ -278,11 +280,19 @@ def per_group_sample(
 ) -> DataFrame:
     """Exactly ``min(n, rows)`` rows of every group, in the seeded order; ids may repeat.
 
-    Each group's cutoff row is found by counting, as for one sample, so neither a hot group nor a large ``n``
-    brings a group together.  Rows with one id are told apart by their content; equal rows by nothing.
+    A small ``n`` keeps the first n rows of each group within every task, before anything is exchanged, so at most n rows
+    per group and task move, whatever the number of groups.  For a larger ``n`` each group's cutoff row is found by
+    counting, as for one sample, so neither a hot group nor a large ``n`` brings a group together.  Rows with one id are
+    told apart by their content; equal rows by nothing.
     """
     if n <= 0:
         return _no_rows(df)
+    if n <= HEAP_ROWS:
+        h = F.coalesce(row_hash(row_id, seed, hash), F.lit(0).cast("bigint"))
+        # names that no column of the table has, and keys made before the ranking, so that the limit reaches below the exchange
+        marked = df.select(F.struct(*df.columns).alias("_row"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], h.alias("_h"), F.col(row_id).alias("_id"), F.xxhash64(*df.columns).alias("_r"))
+        nth = F.row_number().over(Window.partitionBy(*[f"_g{i}" for i in range(len(group_cols))]).orderBy("_h", "_id", "_r"))
+        return marked.withColumn("_nth", nth).where(F.col("_nth") <= n).select("_row.*")
     keyed = df.withColumn("_g", F.to_json(F.struct(*group_cols)))  # never null, so no group is lost in the join
     rows = _hashed(keyed, row_id, seed, hash, ["_g", F.xxhash64(*df.columns).alias("_r")])
     cuts = rank_cutoffs(rows, ["_h", "_id", "_r"], lambda total: F.array(F.least(F.lit(n), total).cast("bigint")), by=["_g"])

@@ -60,7 +60,7 @@ def test_fingerprints_are_projections(table):
         assert "Exchange" not in plan_of(df)
 
 
-@pytest.mark.parametrize("n", [2, 500])
+@pytest.mark.parametrize("n", [101, 500])
 def test_group_samples_and_allotments_do_not_move_rows(table, n):
     dealt = (ranking.per_group_sample(table("events"), "event_id", ["event_type"], n), rowsets.allot_learners(table("documents"), "doc_id", 20, 50))
     for df, payload in zip(dealt, ("props#", "text#")):
@@ -89,3 +89,18 @@ def test_only_small_sides_are_broadcast(rows, monkeypatch):
 def test_no_python_in_row_selection(table, name):
     df = getattr(rowsets, name)(table("orders"), "o_orderkey", *([100] if name == "allot_learners" else []))
     assert "Python" not in plan_of(df) and "Pandas" not in plan_of(df)
+
+
+def test_small_group_samples_are_cut_before_the_exchange(spark, table):
+    groups = spark.range(400_000).select("id", (F.col("id") % 200_000).alias("g"))
+    found = ranking.per_group_sample(groups, "id", ["g"], 1)
+    assert found.count() == found.select("g").distinct().count() == 200_000
+    plan = ranking.per_group_sample(table("events"), "event_id", ["event_type"], 2)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    limits = [i for i, line in enumerate(lines) if "WindowGroupLimit" in line]
+    exchange = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
+    assert any(i > exchange for i in limits)  # below the exchange: in the tasks that read the rows
+    # what leaves the tasks is at most n rows per group and task
+    hot = spark.range(0, 60_000, numPartitions=6).select("id", (F.col("id") % 3).alias("g"))
+    sent = ranking.per_group_sample(hot, "id", ["g"], 5)
+    assert sent.count() == 15
