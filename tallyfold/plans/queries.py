@@ -1039,8 +1039,9 @@ def _stump_sql(n: int) -> str:
     b{n} as (select *, ag - rg as lg, ah - rh as lh from s{n}, t{n}),
     c{n} as (select *, {score("lg", "lh")} + {score("rg", "rh")} - {score("ag", "ah")} as gain from b{n} where lh >= 1 and rh >= 1),
     d{n} as (select * from c{n} where gain > 1e-6 order by gain desc, bit limit 1),
-    m{n} as (select m.* replace (margin - {STUMP_ETA} * case when list_contains(on_bits, bit) then {soft("rg")} / (rh + 1) else {soft("lg")} / (lh + 1) end as margin)
-             from {prev} m, d{n})"""
+    m{n} as (select m.* replace (margin - {STUMP_ETA} * case when d.bit is null then {soft("t.ag")} / (t.ah + 1)
+               when list_contains(on_bits, d.bit) then {soft("d.rg")} / (d.rh + 1) else {soft("d.lg")} / (d.lh + 1) end as margin)
+             from {prev} m cross join t{n} t left join d{n} d on true)"""
 
 
 @query(
