@@ -8,9 +8,10 @@ the few rows left.  A sample or split is then the plain filter "at or before the
 data rows themselves are never shuffled or sorted.
 
 ``running_totals`` is a distributed prefix sum: bucket totals are summed in bucket order, and each
-bucket is then summed on its own.  Buckets come from a bounded sample of the keys, taken once and passed
-on as constants, so they are even whatever the distribution; the sample only steers balance, never the
-result.
+bucket is then summed on its own.  Buckets come from a sample of the keys, so they are even whatever the
+distribution; the sample only steers balance, never the result.  Their number grows with the rows: a bounded
+sample cuts the order once, and where the pieces would still be large a second one, taken and ranked by the
+executors, cuts each piece again.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ HEAP_ROWS = 100
 # A bucket of the natural order holds about this many rows at least, and this many keys are sampled for it.
 BUCKET_ROWS = 1_000
 SAMPLE_PER_BUCKET = 32
+# A bucket of a running total that would hold more rows is cut again.
+SPLIT_ROWS = 1_000_000
 
 
 def small_side(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -53,12 +56,12 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def order_bounds(df: DataFrame, order: Sequence[str], bits: int) -> list[Row]:
+def order_bounds(df: DataFrame, order: Sequence[str], bits: int, rows: int | None = None) -> list[Row]:
     """Ascending bounds that cut ``df`` into up to ``2 ** bits`` buckets of about even size along ``order``.
 
     They are taken from a sample of a fixed number of keys per bucket, of any type that Spark can order.
     """
-    n = df.count()
+    n = df.count() if rows is None else rows
     buckets = min(2**bits, n // BUCKET_ROWS)
     if buckets < 2:
         return []
@@ -79,12 +82,49 @@ def with_order_bucket(df: DataFrame, order: Sequence[str], name: str, bounds: Se
         return df.withColumn(name, F.lit(0))
     place = F.struct(*[F.col(c) for c in order])
     table = df.sparkSession.createDataFrame([tuple(r) for r in bounds], df.select(*order).schema)
-    df = df.withColumn("_q", table.agg(F.array_sort(F.collect_list(place))).scalar()).withColumn("_s", F.lit(0))
+    df = df.withColumn("_q", table.agg(F.array_sort(F.collect_list(place))).scalar())
+    return _bounds_before(df, order, len(bounds)).withColumn(name, F.col("_s")).drop("_q", "_s")
+
+
+def _bounds_before(df: DataFrame, order: Sequence[str], longest: int) -> DataFrame:
+    """Add ``_s``: how many of the sorted bounds in ``_q`` (at most ``longest``; null for none) lie before the row."""
+    place = F.struct(*[F.col(c) for c in order])
+    df = df.withColumn("_s", F.lit(0))
     # each step refers to the last one twice, so the optimizer keeps the steps apart instead of nesting them
-    for half in (2**i for i in reversed(range(len(bounds).bit_length()))):
+    for half in (2**i for i in reversed(range(longest.bit_length()))):
         past = F.coalesce(F.get("_q", F.col("_s") + (half - 1)) < place, F.lit(False))
         df = df.withColumn("_s", F.col("_s") + F.when(past, F.lit(half)).otherwise(F.lit(0)))
-    return df.withColumn(name, F.col("_s")).drop("_q", "_s")
+    return df
+
+
+def with_growing_buckets(df: DataFrame, order: Sequence[str], name: str, bits: int = 10) -> tuple[DataFrame, int]:
+    """Add a monotone bucket number, nulls first; also return a bound on the number of buckets.
+
+    Up to ``2 ** bits`` buckets come from constant bounds.  Where they would hold more than ``SPLIT_ROWS`` rows each is
+    cut again: executors sample ``SAMPLE_PER_BUCKET`` keys per wanted piece, rank them inside their bucket and hand every
+    bucket its list of bounds.  There are at most ``BROADCAST_ROWS`` buckets, as the bounds are broadcast; beyond
+    ``SPLIT_ROWS * BROADCAST_ROWS`` rows (10^11) buckets grow again.
+    """
+    order = list(order)
+    n = df.count()
+    bounds = order_bounds(df, order, bits, n)
+    tagged, buckets = with_order_bucket(df, order, name, bounds), len(bounds) + 1
+    pieces = min(-(-n // (buckets * SPLIT_ROWS)), BROADCAST_ROWS // buckets)
+    if pieces < 2:
+        return tagged, buckets
+    keys = tagged.select(name, *order)
+    share = SAMPLE_PER_BUCKET * buckets * pieces / n
+    keys = keys.sample(share, seed=18) if share < 1 else keys
+    inside = Window.partitionBy(name)
+    keys = keys.withColumns({"_r": F.row_number().over(inside.orderBy(*order)), "_m": F.count(F.lit(1)).over(inside)})
+    # the last sampled key of every piece but the last one
+    piece = lambda r: F.floor(r * F.lit(pieces) / F.col("_m"))
+    ends = keys.where((piece(F.col("_r")) > piece(F.col("_r") - 1)) & (F.col("_r") < F.col("_m")))
+    finer = ends.groupBy(name).agg(F.array_sort(F.collect_set(F.struct(*order))).alias("_q"))
+    finer = settled(finer.withColumnRenamed(name, "_at"), "bounds")
+    cut = tagged.join(F.broadcast(finer), F.col(name) == F.col("_at"), "left").drop("_at")
+    cut = _bounds_before(cut, order, pieces - 1).withColumn(name, F.col(name) * F.lit(pieces) + F.col("_s"))
+    return cut.drop("_q", "_s"), buckets * pieces
 
 
 def constant(df: DataFrame, order: Sequence[str], row: Row) -> Column:
@@ -345,9 +385,9 @@ def running_totals(
     """
     by = list(by)
     if bucket is None:
-        tagged = with_order_bucket(df, order, "_b", order_bounds(df, order, key_bits))
+        tagged, n_buckets = with_growing_buckets(df, order, "_b", key_bits)
     else:
-        tagged = df.withColumn("_b", bucket)
+        tagged, n_buckets = df.withColumn("_b", bucket), 2**LEVEL_BITS
     if descending:
         tagged = tagged.withColumn("_b", -F.col("_b"))
     for name, value in sums.items():
@@ -360,7 +400,6 @@ def running_totals(
         F.col("_b").alias("_g_b"),
         *[F.coalesce(F.sum(f"_t_{name}").over(ahead), F.lit(0)).alias(f"_o_{name}") for name in sums],
     )
-    n_buckets = 2**key_bits if bucket is None else 2**LEVEL_BITS
     same = F.col("_b") == F.col("_g_b")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))

@@ -152,3 +152,28 @@ def test_first_n_of_repeated_string_and_null_ids(rows, n):
     got = ranking.first_n(rows(data, "id string, v int"), "id", n).collect()
     want = sorted((r[0] for r in data), key=lambda k: (k is not None, k or ""))[:n]
     assert sorted((r.id for r in got), key=lambda k: (k is not None, k or "")) == want
+
+
+@pytest.mark.parametrize("n", [20_000, 60_000])
+def test_buckets_of_a_running_total_grow_in_number_and_not_in_size(spark, monkeypatch, n):
+    monkeypatch.setattr(ranking, "SPLIT_ROWS", 200)
+    # a third of the rows share one first key, some have none
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.md5(F.col("id").cast("string")))
+    rows = spark.range(0, n, 1, 6).withColumn("k", key)
+    path = ranking.settled(rows, "rows")
+    tagged, bound = ranking.with_growing_buckets(path, ["k", "id"], "b", bits=3)
+    sizes = [r["count"] for r in tagged.groupBy("b").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 3 * 200 and n / 400 < len(sizes) <= bound
+    got = ranking.global_ordinal(path, ["k", "id"], key_bits=3).collect()
+    want = sorted(((r.k is not None, r.k or "", r.id) for r in path.collect()))
+    place = {w[2]: i for i, w in enumerate(want)}
+    assert len(got) == n and all(r.ordinal == place[r.id] for r in got)
+
+
+def test_growing_buckets_with_groups_and_descending_order(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SPLIT_ROWS", 50)
+    rows = ranking.settled(spark.range(0, 6000, 1, 5).select((F.col("id") * 7919 % 6000).alias("s"), (F.col("id") % 3).alias("g")), "rows")
+    got = ranking.running_totals(rows, ["s"], {"t": F.lit(1).cast("bigint")}, by=["g"], descending=True, key_bits=2).collect()
+    for g in range(3):
+        mine = sorted((r.s for r in got if r.g == g), reverse=True)
+        assert {r.s: r.t for r in got if r.g == g} == {s: i + 1 for i, s in enumerate(mine)}
