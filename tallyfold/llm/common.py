@@ -43,6 +43,24 @@ def id_key(col: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit("null"))
 
 
+#: A key with more than one row in this many counts as hot, so there are at most this many hot keys.
+HOT_KEYS = 10_000
+
+
+def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` with the columns of ``per_key`` (one row per key, no null keys), rows without a partner left out.
+
+    ``count`` says how many rows of ``rows`` a key has.  Hot keys are at most ``HOT_KEYS`` by their definition: they are
+    broadcast, and their rows stay where they are.  Each other key has one row in ``HOT_KEYS`` at most, so no task
+    meets many of them for one key.  Both sides should be stored, as they are read twice.
+    """
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * F.lit(HOT_KEYS) > F.lit(total)
+    few = F.broadcast(per_key.where(hot))
+    names = F.broadcast(per_key.where(hot).select(*keys))
+    return rows.join(few, keys).unionByName(rows.join(names, keys, "left_anti").join(per_key.where(~hot), keys))
+
+
 def within(value: Column, make: Callable[[Column], Column]) -> Column:
     """``make(value)`` with the value computed once, however often it is used (it becomes a lambda variable)."""
     return F.transform(F.array(value), make)[0]

@@ -147,7 +147,7 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 @query("op2_redirect_equivalence", sql_twins.URLS)
 def op2(spark, d):
-    return urlfilter.judge_urls(table(spark, d, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return urlfilter.judge_urls(table(spark, d, "pages"), urlfilter.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
 # --------------------------------------------------------------------------------------------------- 7 language id

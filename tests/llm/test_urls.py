@@ -1,9 +1,10 @@
-import itertools
+import random
 
 import pytest
 
 from tallyfold.llm.queries import URL_RULES
-from tallyfold.llm.urlfilter import canonical, judge_urls, page_links, rule_of
+from tallyfold.llm import common, urlfilter
+from tallyfold.llm.urlfilter import canonical, judge_urls, page_links, rule_table, rules_of
 
 
 def plain_parts(url):
@@ -36,7 +37,7 @@ def test_own_rules_equal_brute_force(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(list(enumerate(URLS)), "page_id int, url string").withColumn("html", F.lit(None).cast("string"))
-    got = {r.page_id: r for r in judge_urls(df, URL_RULES).collect()}
+    got = {r.page_id: r for r in judge_urls(df, rule_table(spark, URL_RULES)).collect()}
     for i, url in enumerate(URLS):
         rule, verdict = plain_rule(url)
         assert (got[i].host, got[i].path, got[i].rule) == (*plain_parts(url), rule)
@@ -88,17 +89,40 @@ def test_decisions_reach_aliases_and_allow_goes_first(spark):
         page(6, "https://www.n1.net/a/#top"),
     ] + [page(100 + i, f"http://hub.net/{i}", "http://evil.com/de/hub") for i in range(50)]
     df = spark.createDataFrame(rows, "page_id int, url string, html string, spelling string, src string").repartition(4)
-    got = sorted((r.page_id, r.verdict) for r in judge_urls(df, URL_RULES).collect())
+    got = sorted((r.page_id, r.verdict) for r in judge_urls(df, rule_table(spark, URL_RULES)).collect())
     want = {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "block", 8: "allow"}
     assert got[:9] == sorted([*want.items(), (6, "block")])
     assert {v for i, v in got[9:]} == {"block"} and len(got) == 59
-    assert judge_urls(df.where("page_id = -1"), URL_RULES).count() == 0
+    assert judge_urls(df.where("page_id = -1"), rule_table(spark, URL_RULES)).count() == 0
     given = spark.createDataFrame([("http://n5.net/a", "http://evil.com/de/5"), (None, None)], "src string, dst string")
-    assert {r.page_id: r.verdict for r in judge_urls(df, URL_RULES, given).collect()}[5] == "block"
-
-
-def test_too_many_rules(spark):
-    from pyspark.sql import functions as F
-
-    with pytest.raises(ValueError):
-        rule_of(F.lit("a"), F.lit("b"), list(itertools.repeat(("allow", "a/"), 501)))
+    assert {r.page_id: r.verdict for r in judge_urls(df, rule_table(spark, URL_RULES), given).collect()}[5] == "block"
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_many_rules_equal_brute_force(spark, monkeypatch, small):
+    if not small:  # the way of rule lists that are too long to broadcast, and of hot urls
+        monkeypatch.setattr(urlfilter, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "HOT_KEYS", 5)
+    rng = random.Random(4)
+    labels = ["a", "b", "ab", "x-y", "\u00e4", ""]
+    host = lambda n: ".".join(rng.choice(labels) for _ in range(rng.randint(1, n)))
+    path = lambda: rng.choice(["", "/", "/a", "/a/", "/a/b", "/ab", "/b/\u00e4"])
+    rules = list({(rng.choice(["allow", "block"]), host(3) + path()) for _ in range(1200)})
+    plain = [(k, t if "/" in t else t + "/") for k, t in rules]
+    urls = [f"http://{host(5)}{path()}{rng.choice(['', '?q', '#f'])}" for _ in range(800)] + ["http://b.a.b/a/b"] * 400 + [None, "a.b/a", "http://" + "a." * 3000 + "b/a"]
+    seen = spark.createDataFrame([(*plain_parts(u), "x") for u in urls], "host string, path string, rule string").repartition(5)
+    given = rule_table(spark, rules).union(spark.createDataFrame([("allow", None), (None, "a/"), ("other", "a/")], "kind string, rule string"))
+    got = {(r.host, r.path): r for r in rules_of(seen, given.union(given)).collect()}
+    assert sum(r.times for r in got.values()) == len(urls) and len(got) == len({plain_parts(u) for u in urls})
+    for u in urls:
+        h, p = plain_parts(u)
+        fits = [(len(t), k, t) for (k, t), (_, w) in zip(rules, plain) for rh, _, rp in [w.partition("/")] if (h == rh or h.endswith("." + rh)) and p.startswith("/" + rp)]
+        want = max(fits) if fits else (0, None, None)
+        assert (got[h, p].own, got[h, p].rule) == want[1:], (u, got[h, p], want)
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id int, url string, html string").repartition(5)
+    judged = {r.page_id: r for r in judge_urls(pages, given).collect()}
+    assert len(judged) == len(urls)
+    for i, u in enumerate(urls):
+        r = got[plain_parts(u)]
+        assert judged[i].rule == r.rule and judged[i].verdict == (r.own or judged[i].verdict)
+    assert rules_of(seen, given.where("false")).where("own is not null or rule is not null").count() == 0
