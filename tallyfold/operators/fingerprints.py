@@ -168,9 +168,9 @@ def user_kernel_bits(
 # ------------------------------------------------------------------------------------- to features
 
 
-def with_category_code(df: DataFrame, category: str, dictionary: DataFrame, name: str = "code") -> DataFrame:
-    """Integer code of a category from a (grown) dictionary."""
-    return encode_category(df, category, dictionary, name)
+def with_category_code(df: DataFrame, category: str, dictionary: DataFrame, name: str = "code", n_codes: int | None = None) -> DataFrame:
+    """Integer code of a category from a (grown) dictionary of ``n_codes`` values, if that is known."""
+    return encode_category(df, category, dictionary, name, n_codes)
 
 
 def bits_to_vector(df: DataFrame, bits: str, n_bits: int, name: str = "features") -> DataFrame:

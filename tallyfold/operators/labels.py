@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.functions.scalars import shard_of
-from tallyfold.operators.ranking import global_ordinal, running_totals, settled, small_side
+from tallyfold.operators.ranking import BROADCAST_ROWS, global_ordinal, running_totals, settled, small_side
+
+# A value that more than one row in this many has is hot; so there are fewer hot values than this.
+HOT_VALUES = 10_000
 
 
 def _label_counts(label: str) -> list[Column]:
@@ -140,10 +143,38 @@ def dictionary_frame(spark: SparkSession, codes: Mapping[str, int]) -> DataFrame
     return small_side(spark.createDataFrame(list(codes.items()), schema), len(codes))
 
 
-def encode_category(df: DataFrame, column: str, dictionary: DataFrame, name: str = "code") -> DataFrame:
-    """Left lookup of a category's code; unknown categories get null."""
+def encode_category(df: DataFrame, column: str, dictionary: DataFrame, name: str = "code", n_codes: int | None = None) -> DataFrame:
+    """Left lookup of a category's code; unknown and null categories get null.
+
+    ``n_codes`` says how many values the dictionary has.  Up to ``BROADCAST_ROWS`` it is broadcast; a larger one is
+    looked up by :func:`split_lookup`; without the number the choice is the planner's.
+    """
     codes = dictionary.select(F.col("value").alias("_value"), F.col("code").alias(name))
-    return df.join(codes, F.col(column) == F.col("_value"), "left").drop("_value")
+    if n_codes is not None and n_codes > BROADCAST_ROWS:
+        return split_lookup(df, column, codes, "_value")
+    return df.join(small_side(codes, n_codes), F.col(column) == F.col("_value"), "left").drop("_value")
+
+
+def split_lookup(df: DataFrame, column: str, table: DataFrame, key: str) -> DataFrame:
+    """``df`` left-joined with a ``table`` that is too large to broadcast and has one row per ``key``; ``key`` goes.
+
+    Values are counted first (map-side).  Hot ones, each more than one row in ``HOT_VALUES`` and so fewer than that, are
+    broadcast with what the table holds of them, and their rows stay where they are; so do rows with a null.  All others
+    meet by shuffle, and no task gets more than one row in ``HOT_VALUES`` for one value.  ``df`` is read three times, so
+    it should be stored.
+    """
+    value = df.select(F.col(column).alias("_hot"))
+    counts = settled(value.where("_hot is not null").groupBy("_hot").agg(F.count(F.lit(1)).alias("_n")), "values")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = settled(counts.where(F.col("_n") * F.lit(HOT_VALUES) > F.lit(total)).select("_hot"), "hot")
+    known = table.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "right").drop(key)
+    at_once = df.join(F.broadcast(known), F.col(column) == F.col("_hot")).drop("_hot")
+    rest = df.join(F.broadcast(hot), F.col(column) == F.col("_hot"), "left_anti")
+    # a join would send all nulls to one task
+    given, none = rest.where(F.col(column).isNotNull()), rest.where(F.col(column).isNull())
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.drop(key).schema.fields]
+    met = given.join(table, F.col(column) == F.col(key), "left").drop(key)
+    return at_once.unionByName(met).unionByName(none.select("*", *empty))
 
 
 def grow_dictionary(df: DataFrame, column: str, row_id: str, dictionary: DataFrame, n_known: int) -> DataFrame:

@@ -27,7 +27,7 @@ from tallyfold.operators.labels import (
 from tallyfold.operators.boosting import model_inputs
 from tallyfold.operators.learning import BoostedModel, takes_vectors, trainer, weak_scores
 from tallyfold.operators.metrics import METRICS, binary_metrics
-from tallyfold.operators.ranking import debug_subset, settled, small_side
+from tallyfold.operators.ranking import debug_subset, settled
 from tallyfold.operators.rowsets import (
     FINAL,
     allot_learners,
@@ -119,10 +119,12 @@ def select_rows(rows: DataFrame, whole: DataFrame, params: JobParams) -> Selecti
 
 def build_features(df: DataFrame, features: FeatureParams, dictionary: DataFrame | None, keep: list[str]) -> DataFrame:
     """``row_id, …, bits[, code]``."""
+    code = [] if dictionary is None else ["code"]
+    if dictionary is not None:
+        # looked up first, so that a lookup in parts computes no row's bits twice
+        df = fp.with_category_code(df, CATEGORY, dictionary, *code, n_codes=dictionary.count())
     made = fp.featurizer(features.name)(df, TEXT, radius=features.radius, length=features.length, hash=features.hash)
-    if dictionary is None:
-        return made.select(ID, *keep, "bits")
-    return fp.with_category_code(made, CATEGORY, dictionary).select(ID, *keep, "bits", "code")
+    return made.select(ID, *keep, "bits", *code)
 
 
 def vectorise(df: DataFrame, n_bits: int, code_mode: str, vectors: bool = False) -> DataFrame:
@@ -237,7 +239,7 @@ def run_job(
         known = dictionary_frame(spark, codes or {})
         grown = _rewrite(grow_dictionary(whole, CATEGORY, ID, known, len(codes or {})), f"{out_dir}/codes_train")
         grown = _rewrite(grow_dictionary(test, CATEGORY, ID, grown, grown.count()), f"{out_dir}/codes")
-        dictionary = small_side(grown, grown.count())
+        dictionary = grown
 
     base = params.weak if params.kind == ENSEMBLE else params
 
@@ -333,7 +335,7 @@ def load_run(spark: SparkSession, out_dir: str) -> SavedRun:
     dictionary = None
     if columns.category:
         codes = spark.read.parquet(f"{out_dir}/codes")
-        dictionary = small_side(codes, codes.count())
+        dictionary = codes
     weak = []
     if params.kind == ENSEMBLE:
         size = len(spark.read.parquet(f"{out_dir}/weak_scores_test").columns) - 1

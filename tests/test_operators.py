@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions import scalars
 from tallyfold.operators import fingerprints as fp
 from tallyfold.operators import labels, metrics, rowsets
+from tallyfold.operators.ranking import settled
 
 
 def brute_metrics(pairs):
@@ -331,3 +332,23 @@ def test_shards_are_exact_in_64_bits(rows):
     for size in (1, 3, 1000):
         got = {r.v: (r.s, r.o) for r in rows([(v,) for v in values], "v bigint").select("v", shard_of(F.col("v"), size).alias("s"), offset_in_shard(F.col("v"), size).alias("o")).collect()}
         assert got == {v: (v // size, v % size) for v in values}
+
+
+def test_lookup_in_a_dictionary_too_large_to_broadcast(spark):
+    n = 240_000
+    value = F.when(F.col("id") % 3 == 0, F.lit("v7")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("v"), F.col("id")))
+    path = settled(spark.range(0, n, 1, 6).withColumn("c", value), "rows")
+    codes = settled(spark.range(0, 200_000, 1, 6).select(F.concat(F.lit("v"), F.col("id")).alias("value"), F.col("id").cast("int").alias("code")), "codes")
+    got = labels.encode_category(path, "c", codes, "code", n_codes=200_000)
+    assert got.columns == ["id", "c", "code"] and "_hot" not in got.columns
+    bad = F.when(F.col("c").isNull(), F.col("code").isNotNull()).otherwise(
+        ~F.col("code").eqNullSafe(F.when(F.substring("c", 2, 9).cast("int") < 200_000, F.substring("c", 2, 9).cast("int")))
+    )
+    row = got.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(bad).alias("bad")).first()
+    assert (row.n, row.ids, row.bad) == (n, n, 0)
+    # the value that a third of the rows have is met in every task that reads them, and in none alone
+    held = [r["count"] for r in got.where("c = 'v7'").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 1 and max(held) < n / 6
+    # a hot value that the dictionary does not have
+    assert labels.encode_category(path, "c", codes.where("value <> 'v7'"), "code", n_codes=200_000).where("c = 'v7' and code is null").count() == n / 3 + 1
+    assert labels.encode_category(path.where("id < 0"), "c", codes, "code", n_codes=200_000).count() == 0
