@@ -116,6 +116,8 @@ def features() -> dict[str, Column]:
         "brackets": one(F.contains("found", F.lit("("))),
         "at_sign": one(F.col("found").rlike(r"@|[(\[{]at[)\]}]")),
         "ending": F.length(F.regexp_extract("found", r"([A-Za-z]*)$", 1)).cast("double"),
+        "spaces": (F.length("found") - F.length(F.replace(F.col("found"), F.lit(" ")))).cast("double"),
+        "spaced_dot": one(F.col("found").rlike(r"[A-Za-z0-9]\. ")),
         "glued_before": one(F.col("before").rlike(r"[\p{L}\p{N}_#=/.-]$")),
         "glued_after": one(F.col("after").rlike(r"^[\p{L}\p{N}_=/-]")),
     }
@@ -127,10 +129,69 @@ def features() -> dict[str, Column]:
 
 @dataclass
 class CandidateModel:
-    """Boosted trees and, per kind, the score from which on a candidate is accepted (absent: never)."""
+    """Boosted trees and, per kind, the score from which on a candidate is accepted (absent: never).
+
+    ``held_out`` has per kind the precision and recall over planted spellings of values that neither the trees nor the
+    thresholds saw, and how many of these spellings are right ones (precision is None where nothing is accepted).
+    """
 
     trees: object | None = None
     thresholds: dict[str, float] = field(default_factory=dict)
+    held_out: dict[str, tuple[float | None, float, int]] = field(default_factory=dict)
+
+
+#: Ways to respell a value: fixed values.
+AT = [" [at] ", "[at]", " (at) ", "(at)", "{at}", " (@) "]
+DOT = [".", " [dot] ", "[dot]", "(dot)", ".", " (dot) "]
+IP_DOT = ["[.]", "(.)", "[dot]", " . "]
+CARD_GAP = [".", "/", "_", " - ", "--"]
+
+
+def respelled(values: DataFrame) -> DataFrame:
+    """Wide spellings with known outcome, planted into the context of base matches: kind, found, before, after, hit, value.
+
+    ``values`` are base matches (kind, found, before, after, fits).  Right ones: addresses with the at and the dots in
+    words or brackets, octets apart, card digits in other groups, phone numbers with 00 or without their country code.
+    Wrong ones: values that fail their check in the same spellings, a card with its last digit changed, an octet too
+    large, "(at)" within prose, addresses and digits in groups of three taken for phone numbers.  Only spellings that the
+    kind's wide generator finds whole are returned.
+    """
+    found, digits = F.col("found"), _digits()
+    local, domain = F.substring_index("found", "@", 1), F.substring_index("found", "@", -1)
+    word = lambda text, pattern: F.regexp_extract(text, pattern, 1)
+    last, first = word(F.col("before"), r"([A-Za-z]{2,20})[^A-Za-z]*$"), word(F.col("after"), r"^[^A-Za-z]*([A-Za-z]{2,20})")
+    second = word(F.col("after"), r"^[^A-Za-z]*[A-Za-z]+[^A-Za-z]+([A-Za-z]{2,20})")
+    groups = lambda sep, size: F.regexp_replace(digits, f"([0-9]{{{size}}})(?=[0-9])", f"$1{sep}")
+    wrong = F.concat(F.left(digits, F.length(digits) - 1), ((F.right(digits, F.lit(1)).try_cast("int") + 1) % 10).cast("string"))
+    # a changed digit mends one failing value in ten
+    mended = F.length(wrong).between(12, 19) & luhn(F.left(wrong, F.lit(32)))
+    regrouped = lambda text, sep: F.regexp_replace(text, "([0-9]{4})(?=[0-9])", f"$1{sep}")
+    national = F.regexp_extract("found", r"^\+[0-9]+[ .-]*(.*)$", 1)
+    large = F.concat(F.substring_index("found", ".", 3), F.lit("."), F.pmod(F.xxhash64("found"), F.lit(700)) + 300)
+    as_it_is, never = F.col("fits"), F.lit(False)
+
+    def each(made: list[tuple[str, Column, Column]]) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("kind"), text.alias("found"), hit.alias("hit")) for k, text, hit in made])
+
+    threes = F.left(digits, F.lit(9))
+    three = [("phone", F.regexp_replace(threes, "([0-9]{3})(?=[0-9])", f"$1{sep}"), never) for sep in (".", " ", "-")]
+    ways = {
+        "email": [("email", F.concat(local, F.lit(a), F.replace(domain, F.lit("."), F.lit(d))), F.lit(True)) for a, d in zip(AT, DOT)]
+        # digits tell neither an address nor prose
+        + [("email", F.regexp_replace(F.concat(local, F.lit(a), F.replace(domain, F.lit("."), F.lit(d))), "[0-9]", ""), F.lit(True)) for a, d in zip(AT, DOT)]
+        + [("email", F.concat(last, F.lit(a), mid, F.lit(". "), second), never) for a in (" (at) ", " [at] ") for mid in (first, F.lit("10"))],
+        "ip": [("ip", F.replace(text, F.lit("."), F.lit(d)), hit) for d in IP_DOT for text, hit in ((found, as_it_is), (large, never))] + [("phone", found, never)],
+        "card": [("card", text, hit) for sep in CARD_GAP for text, hit in ((groups(sep, 4), as_it_is), (regrouped(wrong, sep), mended))] + three,
+        "phone": [("phone", text, as_it_is) for text in (F.concat(F.lit("00"), F.substr("found", F.lit(2))), national, F.regexp_replace(national, "[()]", ""), F.regexp_replace(F.regexp_replace(national, "[()]", ""), "[ -]", "."))],
+    }
+    made = F.array().cast("array<struct<kind:string,found:string,hit:boolean>>")
+    for kind, list_ in ways.items():
+        made = F.when(F.col("kind") == kind, each(list_)).otherwise(made)
+    rows = values.select(F.xxhash64("found").alias("value"), "before", "after", F.explode(made).alias("_m")).select("value", "before", "after", "_m.*")
+    whole = F.lit(False)
+    for kind in KINDS:
+        whole = F.when(F.col("kind") == kind, F.regexp_extract("found", rf"^(?:{WIDE[kind]})$", 0) != "").otherwise(whole)
+    return rows.where(whole)
 
 
 def _calibrated(scores: list[tuple[float, float]], precision: float) -> float | None:
@@ -151,28 +212,47 @@ def _calibrated(scores: list[tuple[float, float]], precision: float) -> float |
 
 
 def fit_candidates(found: DataFrame, max_candidates: int = MAX_CANDIDATES, precision: float = PRECISION, rounds: int = 12, depth: int = 4, seed: int = 5) -> CandidateModel:
-    """Fit on matches of the base patterns: those that pass their check are hits, the others are not.
+    """Fit on planted wide spellings of base matches (see :func:`respelled`), and on the base matches themselves.
 
-    Candidates that look alike count once; at most ``max_candidates`` of them, picked by a hash, are used.  Half of them
-    grow the trees, half set each kind's threshold.  Without both outcomes there is nothing to learn and the model
-    accepts no candidate.
+    Per kind and outcome ``max_candidates // 64`` base matches, picked by a hash, are respelled; as many base matches as
+    that are used as they are.  A value's spellings stay together: half of the values grow the
+    trees, a quarter sets each kind's threshold, and the last quarter measures precision and recall, which the model
+    carries.  A kind without a right spelling in the second part is never accepted.  Without both outcomes there is
+    nothing to learn and the model accepts no candidate.
     """
     made = features()
-    known = found.where("kind is not null and not wide").select("kind", base_fits().cast("double").alias("hit"), *[c.alias(n) for n, c in made.items()])
-    # per look, whatever its outcome: a look with both outcomes gives two rows
-    sample = known.distinct().withColumn("_h", F.xxhash64(*known.columns)).orderBy("_h").limit(max_candidates)
-    sample = staged(VectorAssembler(inputCols=list(made), outputCol="features").transform(sample).select("kind", "hit", "features", "_h"), "sample")
-    grow, rest = sample.where(F.pmod("_h", F.lit(2)) == 0), sample.where(F.pmod("_h", F.lit(2)) == 1)
+    known = found.where("kind is not null and not wide").select("kind", "found", "before", "after", base_fits().alias("fits"))
+    # equal matches in equal places count once
+    first = F.row_number().over(Window.partitionBy("kind", "fits").orderBy(F.xxhash64("kind", "found", "before", "after"), "found", "before", "after"))
+    values = staged(known.distinct().withColumn("_nth", first).where(F.col("_nth") <= max(1, max_candidates // 64)).drop("_nth"), "values")
+    planted = respelled(values).select("value", "kind", "found", "before", "after", F.col("hit").cast("double").alias("hit"), F.lit(True).alias("planted"))
+    plain = values.select(F.xxhash64("found").alias("value"), "kind", "found", "before", "after", F.col("fits").cast("double").alias("hit"), F.lit(False).alias("planted"))
+    sample = planted.unionByName(plain).select("value", "kind", "hit", "planted", *[c.alias(n) for n, c in made.items()])
+    sample = VectorAssembler(inputCols=list(made), outputCol="features").transform(sample)
+    sample = staged(sample.select("kind", "hit", "planted", "features", F.pmod(F.xxhash64("value"), F.lit(4)).alias("part")), "sample")
+    grow, rest = sample.where("part < 2"), sample.where("part >= 2 and planted")
     if grow.select("hit").distinct().count() < 2:
         return CandidateModel()
     trees = GBTClassifier(labelCol="hit", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed, checkpointInterval=-1).fit(grow.coalesce(2))
-    scored = trees.transform(rest).select("kind", "hit", vector_to_array("probability")[1].alias("p")).collect()  # at most half of max_candidates
-    every = [(r["kind"], r["p"], r["hit"]) for r in scored]
+    # bounded like the sample
+    scored = trees.transform(rest).select("kind", "hit", "part", vector_to_array("probability")[1].alias("p")).collect()
+    every = [(r["kind"], r["p"], r["hit"]) for r in scored if r["part"] == 2]
     # a kind that never misses says nothing about where misses begin: there all kinds together do
-    missed = {kind for kind, _, hit in every if not hit}
-    limits = {kind: _calibrated([(p, hit) for k, p, hit in every if k == kind or kind not in missed], precision) for kind in KINDS}
-    # below an even chance nothing is accepted, however few misses the other half has there
-    return CandidateModel(trees, {k: max(v, 0.5) for k, v in limits.items() if v is not None})
+    missed, right = ({kind for kind, _, hit in every if hit == wanted} for wanted in (0.0, 1.0))
+    thresholds = {}
+    for kind in right:
+        scores = [(p, hit) for k, p, hit in every if k == kind or kind not in missed]
+        least = _calibrated(scores, precision)
+        if least is not None:
+            # halfway down to the next score, which falls short; below an even chance nothing is accepted
+            thresholds[kind] = max(0.5, (least + max((p for p, _ in scores if p < least), default=0.0)) / 2)
+    held_out = {}
+    for kind in KINDS:
+        tried = [(r["p"] >= thresholds[kind] if kind in thresholds else False, r["hit"]) for r in scored if r["part"] == 3 and r["kind"] == kind]
+        hits, taken = [ok for ok, hit in tried if hit], [hit for ok, hit in tried if ok]
+        if hits:
+            held_out[kind] = (sum(taken) / len(taken) if taken else None, sum(hits) / len(hits), len(hits))
+    return CandidateModel(trees, thresholds, held_out)
 
 
 def personal_spans(docs: DataFrame, model: CandidateModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
