@@ -1,8 +1,8 @@
-import os
-
 import numpy as np
+import pandas as pd
 import pytest
 
+import tallyfold.llm.embeddings as module
 from tallyfold.llm.embeddings import embedding_classes, plan_tables
 
 
@@ -32,8 +32,6 @@ def frame(spark, rows):
 
 @pytest.mark.parametrize("block", [2048, 8])
 def test_equals_brute_force(spark, monkeypatch, block):
-    import tallyfold.llm.embeddings as module
-
     monkeypatch.setattr(module, "BLOCK", block)
     rng = np.random.default_rng(2)
     rows = []
@@ -51,17 +49,52 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert all(got[i].kept == (comp[i] == i) for i in range(len(rows)))
 
 
-@pytest.mark.skipif(not os.path.exists("/root/testdata/check_s"), reason="needs the larger tables")
-def test_recall_over_the_given_table(spark):
-    table = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 4000")
-    rows = table.toPandas()
-    x = np.stack(rows["embedding"]).astype(float)
+@pytest.mark.parametrize("n", [3_000, 16_000])
+def test_recall_over_whole_tables(spark, tmp_path, n):
+    """The query's own plan over all vectors; ids divisible by 20 against all rows by brute force, cosines around 0.9."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    close = x @ x.T >= 0.9
-    np.fill_diagonal(close, False)
-    got = embedding_classes(table).toPandas().set_index("vec_id").loc[rows["vec_id"]]
-    assert got["n_links"].sum() >= 0.9 * close.sum() > 0
-    assert (got["n_links"].to_numpy() <= close.sum(1)).all()  # none below the threshold
+    for i in range(0, n, 10):  # a second vector at a planned cosine, and a third close to the first
+        away = rng.standard_normal(32)
+        away -= (away @ x[i]) * x[i]
+        cosine = rng.uniform(0.88, 0.95)
+        x[i + 1] = cosine * x[i] + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away)
+        x[i + 2] = x[i] + 0.02 * rng.standard_normal(32)
+    x = x.astype(np.float32)
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}).to_parquet(tmp_path / "embeddings.parquet")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.array([(unit @ unit[i] >= 0.9).sum() - 1 for i in range(0, n, 20)])
+    got = embedding_classes(spark.read.parquet(str(tmp_path / "embeddings.parquet"))).toPandas().set_index("vec_id")["n_links"]
+    found = got.loc[np.arange(0, n, 20)].to_numpy()
+    assert (found <= want).all()  # none below the threshold
+    assert want.sum() > n / 20 and found.sum() >= 0.95 * want.sum()
+
+
+def test_few_vectors_move(spark, monkeypatch):
+    """Vectors without a near partner go to no bucket: of these rows only 60 do."""
+    moved = []
+    units = module._units
+    monkeypatch.setattr(module, "_units", lambda placed, large, *held: moved.append((held, placed)) or units(placed, large, *held))
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3_000, 64))
+    x[:30] = x[30:60] + 0.01 * rng.standard_normal((30, 64))
+    got = embedding_classes(frame(spark, list(enumerate(x.tolist()))))
+    assert got.where("n_links > 0").count() == 60
+    ids = {r.id for held, placed in moved if "v" in held for r in placed.select("id").collect()}
+    assert len(moved) == 2 and 60 <= len(ids) < 300
+
+
+def test_the_sketch_keeps_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((20_000, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    away = rng.standard_normal(a.shape)
+    away -= (away * a).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(0.19) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    planes = rng.standard_normal((48, module.SKETCH))
+    differ = ((a @ planes > 0) != (b @ planes > 0)).sum(1)
+    assert (differ > module.sketch_limit(0.9)).sum() <= 2 and module.sketch_limit(0.9) < 65
 
 
 def test_repeated_ids_nulls_and_nothing(spark):
