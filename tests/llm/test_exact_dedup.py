@@ -2,8 +2,10 @@ from collections import defaultdict
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallyfold.llm.exact_dedup import drop_exact_duplicates, exact_classes
+import tallyfold.llm.exact_dedup as module
+from tallyfold.llm.exact_dedup import drop_exact_duplicates, exact_classes, split_by_filter
 
 
 def brute(rows):
@@ -50,8 +52,25 @@ def test_drop_keeps_all_columns_and_one_row_a_group(odd_docs, no_docs):
 
 
 def test_only_possible_repeats_shuffle(spark):
-    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('text ', id) as text")
-    out = exact_classes(docs)
-    assert out.where("kept and group_size = 1").count() == 20_000
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Union" in plan
+    """One row of hashes per task and range is exchanged in the first pass, whatever the number of rows; then only repeats."""
+    for n in (5_000, 50_000):
+        docs = spark.range(0, n, 1, 4).selectExpr("id as doc_id", "concat('text ', if(id % 10 = 0, id div 20, id + 1000000)) as text")
+        hashes = docs.select(F.xxhash64("text").alias("_h"))
+        assert hashes.mapInPandas(module._dealt(1), "range bigint, hashes binary").count() == 4
+        found = {r["_h"] for r in module.possible_repeats(hashes, n).collect()}
+        twice = {r["_h"] for r in hashes.groupBy("_h").count().where("count > 1").collect()}
+        assert twice <= found and len(found - twice) < 0.01 * n
+        alone, repeats = split_by_filter(docs.selectExpr("doc_id", "text as _t"))
+        assert repeats.count() < 0.11 * n and alone.count() + repeats.count() == n
+        assert "Exchange hashpartitioning" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(module, "RANGE", 1_000)
+    hashes = spark.range(0, 20_000, 1, 3).select(F.xxhash64(F.expr("if(id < 7000, 5, id div 2)")).alias("_h"))
+    packs = hashes.mapInPandas(module._dealt(20), "range bigint, hashes binary").cache()
+    sizes = packs.groupBy("range").agg(F.sum(F.length("hashes") / 8).alias("n")).toPandas()
+    assert len(sizes) == 20 and sizes["n"].max() < 1_500
+    twice = {r["_h"] for r in hashes.groupBy("_h").count().where("count > 1").collect()}
+    assert twice <= {r["_h"] for r in module.possible_repeats(hashes, 20_000).collect()}
+    packs.unpersist()
