@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyfold.llm.common import ascii_lower, text_of, within
+from tallyfold.llm.common import ascii_lower, staged, text_of, within
+from tallyfold.operators.labels import split_lookup
+from tallyfold.operators.ranking import BROADCAST_ROWS
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases count wherever their words stand consecutively.
@@ -31,12 +33,20 @@ NOTICES = {
     "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+    "boost": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+    "epl": "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which accompanies this distribution",
+    "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
 }
 #: Words of a gram for phrases and for notices.
 PHRASE_GRAM, NOTICE_GRAM = 2, 3
-#: Diagonals this close belong to one span; a span is verified if its votes cover this share of the notice's grams and
-#: it is not longer than the notice by more than the slack.
-NEAR, LEAST_COVER, SLACK = 3, 0.7, 1.25
+#: What a quoted notice may differ by, for a notice of W words and G grams.  A diagonal counts from max(2, G / WEAK) votes
+#: on; diagonals up to max(NEAR, W / NEAR) apart belong to one span (so many words may be put in at one place); of the
+#: grams max(MISSING, LOST of them) may be missing (a changed word costs three), yet LEAST_COVER must be there; the span may
+#: be max(NEAR, W / 4) words longer than the notice.
+NEAR, WEAK, MISSING, LOST, LEAST_COVER = 10, 50, 3, 0.3, 0.6
+#: Bits per template gram, and the most of all, in the set that rolling grams are first tried against.
+SET_BITS, MAX_SET_BITS = 256, 1 << 24
 
 
 def templates(
@@ -49,14 +59,59 @@ def templates(
     return [(i, label, base, k, text.split()) for i, (label, base, k, text) in enumerate(made)]
 
 
-def template_grams(spark: SparkSession, known: list[tuple[int, str, bool, int, list[str]]]) -> DataFrame:
-    """(template, label, base, k, grams, tpos, gram, h): one row per place of a gram; as many rows as the templates have words."""
-    rows = [
-        F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(base).alias("base"), F.lit(k).alias("k"), F.lit(len(words) - k + 1).alias("grams"), F.lit(at).alias("tpos"), F.lit(" ".join(words[at : at + k])).alias("gram"))
-        for i, label, base, k, words in known
-        for at in range(len(words) - k + 1)
-    ]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("g")).select("g.*").withColumn("h", F.xxhash64("gram"))
+def template_table(spark: SparkSession, known: list[tuple[int, str, bool, int, list[str]]] | None = None) -> DataFrame:
+    """The templates as a table (template, label, base, k, words), the form in which catalogues of any size are taken."""
+    return spark.createDataFrame(templates() if known is None else known, "template int, label string, base boolean, k int, words array<string>")
+
+
+def license_texts(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
+    """Templates out of a folder of whole licence texts; a file's name without its ending is the label."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value"))
+    number = F.row_number().over(Window.orderBy("name")) + F.lit(first - 1)  # one row per licence
+    label = F.lower(F.regexp_replace("name", r"\.(txt|md)$", ""))
+    return texts.select(number.alias("template"), label.alias("label"), F.lit(False).alias("base"), F.lit(NOTICE_GRAM).alias("k"), words_of(F.col("value")).alias("words"))
+
+
+def template_grams(known: DataFrame) -> DataFrame:
+    """(gram, places): one row per different gram of the templates, with all its places in them; a stored table.
+
+    Words hold no spaces, so a gram's text tells its number of words.  Templates shorter than a gram have none.
+    """
+    k = F.col("k")
+    starts = F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k)).otherwise(F.array().cast("array<int>"))
+    grams = known.withColumn("tpos", F.explode(starts)).withColumn("gram", F.concat_ws(" ", F.slice("words", F.col("tpos") + 1, k)))
+    place = F.struct("template", "label", "base", "k", (F.size("words") - k + 1).alias("grams"), "tpos")
+    return staged(grams.groupBy("gram").agg(F.collect_list(place).alias("places")), "grams")
+
+
+def gram_set(grams: DataFrame, n: int) -> dict[int, Column]:
+    """Per number of words a test of a gram's hash that every template gram passes, and of others about one in ``SET_BITS``.
+
+    The set is a constant of at most ``MAX_SET_BITS`` bits (2 MB); beyond the size it is made for more grams pass, and
+    the join with the templates sorts them out.
+    """
+    bits = 64
+    while bits < MAX_SET_BITS and bits < SET_BITS * n:
+        bits *= 2
+    place = F.pmod(F.xxhash64("gram"), F.lit(bits))
+    word = F.shiftright(place, 6).cast("int").alias("word")
+    # a shift by the whole place acts modulo 64
+    found = grams.select(F.explode(F.array_distinct("places.k")).alias("k"), word, place.cast("int").alias("at"))
+    found = found.groupBy("k", "word").agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits")).collect()  # at most bits / 64 each
+    words = {k: [0] * (bits // 64) for k in {r["k"] for r in found}}
+    for r in found:
+        words[r["k"]][r["word"]] = r["bits"]
+
+    def test(held: list[int]):
+        constant = F.expr(f"cast(split('{','.join(map(str, held))}', ',') as array<bigint>)")
+
+        def has(h: Column) -> Column:
+            at = F.pmod(h, F.lit(bits))
+            return F.getbit(F.get(constant, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+        return lambda gram: F.exists(F.array(F.xxhash64(gram)), has)
+
+    return {k: test(held) for k, held in words.items()}
 
 
 def words_of(text: Column) -> Column:
@@ -67,65 +122,79 @@ def _gram(words: Column, at: Column, k: int) -> Column:
     return F.concat_ws(" ", *[F.get(words, at + j) for j in range(k)])
 
 
-def license_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list | None = None) -> DataFrame:
+def license_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list | DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs`` and diagonal with a vote (one without a template for rows without votes):
-    row, doc_id, n_words, template, label, base, k, grams, diagonal, votes, first_pos, last_pos.
+    row, doc_id, n_words, template, label, base, k, grams, diagonal, votes, tset, first_pos, last_pos.
 
-    All rolling grams of a text are looked up by hash; those that a template has are joined to its positions and compared
-    as text.  A diagonal is the offset between text and template.
+    All rolling grams of a text are tried against a set of the templates' gram hashes; those that pass are joined, as
+    text, to the places the gram has in the templates.  A diagonal is the offset between text and template, and ``tset``
+    the places of the template that vote for it.  ``known`` is a list as :func:`templates` has it, or a table as
+    :func:`template_table` makes it, of any size: up to ``BROADCAST_ROWS`` different grams are broadcast, more are looked
+    up by shuffle, but for the hot ones.
     """
-    known = templates() if known is None else known
-    grams = template_grams(docs.sparkSession, known)
-    hashes: dict[int, list[int]] = {}
-    for k, h in grams.select("k", "h").distinct().collect():  # as long as the templates
-        hashes.setdefault(k, []).append(h)
+    known = known if isinstance(known, DataFrame) else template_table(docs.sparkSession, known)
+    grams = template_grams(known)
+    n = grams.count()
+    tests = gram_set(grams, n)
 
-    def found(words: Column, k: int, wanted: list[int]) -> Column:
+    def found(words: Column, k: int) -> Column:
         places = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
-        here = F.filter(places, lambda at: F.xxhash64(_gram(words, at, k)).isin(wanted))
-        return F.transform(here, lambda at: F.struct(at.alias("pos"), F.lit(k).alias("k"), _gram(words, at, k).alias("gram")))
+        here = F.filter(places, lambda at: tests[k](_gram(words, at, k)))
+        return F.transform(here, lambda at: F.struct(at.alias("pos"), _gram(words, at, k).alias("gram")))
 
     def hits(words: Column) -> Column:
-        """Places of grams that some template has, with the gram."""
-        all_found = F.concat(*[found(words, k, wanted) for k, wanted in sorted(hashes.items())])
-        return F.struct(F.size(words).cast("bigint").alias("n_words"), all_found.alias("hits"))
+        """Places of grams that some template may have, with the gram."""
+        none = F.array().cast("array<struct<pos:int,gram:string>>")
+        return F.struct(F.size(words).cast("bigint").alias("n_words"), F.concat(none, *[found(words, k) for k in sorted(tests)]).alias("hits"))
 
-    # the row's own number keeps rows apart that repeat an id; it lives within this job only
+    # the row's own number keeps rows apart that repeat an id; it lives within this job, or in the stored table
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), within(words_of(text_of(text_col)), hits).alias("s"))
-    rows = rows.select("row", "doc_id", "s.n_words", F.explode_outer("s.hits").alias("hit")).select("row", "doc_id", "n_words", "hit.*", F.xxhash64("hit.gram").alias("h"))
-    voted = rows.join(F.broadcast(grams.withColumnsRenamed({"k": "tk", "h": "th", "gram": "tgram"})), (F.col("h") == F.col("th")) & (F.col("k") == F.col("tk")) & (F.col("gram") == F.col("tgram")), "left")
-    voted = voted.select("row", "doc_id", "n_words", "template", "label", "base", "k", "grams", (F.col("pos") - F.col("tpos")).alias("diagonal"), "pos")
+    rows = rows.select("row", "doc_id", "s.n_words", F.explode_outer("s.hits").alias("hit")).select("row", "doc_id", "n_words", "hit.*")
+    named = grams.withColumnRenamed("gram", "tgram")
+    if n <= BROADCAST_ROWS:
+        met = rows.join(F.broadcast(named), F.col("gram") == F.col("tgram"), "left")
+    else:
+        met = split_lookup(staged(rows, "hits"), "gram", named, "tgram")
+    voted = met.select("row", "doc_id", "n_words", "pos", F.explode_outer("places").alias("at")).select("row", "doc_id", "n_words", "pos", "at.*")
+    voted = voted.withColumn("diagonal", F.col("pos") - F.col("tpos"))
     # one exchange, by row: what follows is all within a row
     return voted.repartition(F.col("row")).groupBy("row", "doc_id", "n_words", "template", "label", "base", "k", "grams", "diagonal").agg(
-        F.count("*").alias("votes"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
+        F.count("*").alias("votes"), F.collect_list("tpos").alias("tset"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
     )
 
 
-def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list | None = None) -> DataFrame:
+def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list | DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, n_words, spans (label, base, first, last, cover; places in words).
 
-    A phrase is verified on a diagonal that all its grams vote for.  Of a notice, diagonals up to NEAR apart merge into one
-    span (words were put in or left out there), verified if the votes cover LEAST_COVER of its grams and the span is no
-    longer than the notice with some slack.  Null and empty texts have no words and no spans; texts shorter than a gram
-    have no spans; repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
+    A phrase is verified on a diagonal that all its grams vote for.  Of a notice, neighbouring diagonals merge into one
+    span (words were put in or left out there), verified if enough different grams of the notice are there and the span is
+    not much longer than it; what that means grows with the notice, see ``NEAR``.  Null and empty texts have no words and
+    no spans; texts shorter than a gram have no spans; repeated rows give repeated rows; an empty table gives an empty
+    result, and so do no templates; other columns are ignored.
     """
     votes = license_votes(docs, id_col, text_col, known)
-    by_template = Window.partitionBy("row", "template").orderBy("diagonal")
     phrase = F.col("k") == PHRASE_GRAM
-    apart = F.col("diagonal") - F.lag("diagonal").over(by_template) > NEAR
+    strong = phrase | (F.col("votes") >= F.greatest(F.lit(2), F.expr(f"grams div {WEAK}")))
+    # weak diagonals stay as rows without a template, so that no row of docs is lost
+    votes = votes.withColumn("template", F.when(strong, F.col("template")))
+    size = F.expr("grams + k - 1")
+    by_template = Window.partitionBy("row", "template").orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(by_template) > F.greatest(F.lit(NEAR), F.expr(f"(grams + k - 1) div {NEAR}"))
     merged = votes.withColumn("new", (phrase | F.coalesce(apart, F.lit(True))).cast("int"))
     merged = merged.withColumn("span", F.sum("new").over(by_template.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     spans = merged.groupBy("row", "doc_id", "n_words", "template", "label", "base", "k", "grams", "span").agg(
-        F.sum("votes").alias("votes"), F.min("first_pos").alias("first"), (F.max("last_pos") + F.max("k") - 1).alias("last")
+        F.size(F.array_distinct(F.flatten(F.collect_list("tset")))).alias("there"), F.min("first_pos").alias("first"), (F.max("last_pos") + F.max("k") - 1).alias("last")
     )
-    cover = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
+    cover = F.col("there") / F.col("grams")
+    missing = F.col("grams") - F.col("there")
     length = F.col("last") - F.col("first") + 1
-    good = F.when(phrase, F.col("votes") == F.col("grams")).otherwise((cover >= LEAST_COVER) & (length <= (F.col("grams") + F.col("k") - 1) * SLACK))
+    notice = (missing <= F.greatest(F.lit(float(MISSING)), F.col("grams") * LOST)) & (cover >= LEAST_COVER) & (length <= size + F.greatest(F.lit(NEAR), F.expr("(grams + k - 1) div 4")))
+    good = F.col("template").isNotNull() & F.when(phrase, missing == 0).otherwise(notice)
     span = F.when(good, F.struct("label", "base", "first", "last", cover.alias("cover")))
     return spans.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list | None = None) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list | DataFrame | None = None) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for every row of ``docs``; see
     :func:`license_spans`.  score is the best cover of a verified span, 0 without one."""
     rows = license_spans(docs, id_col, text_col, known)

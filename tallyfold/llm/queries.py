@@ -172,7 +172,7 @@ def op9(spark, d):
 # -------------------------------------------------------------------------------------------------- 3 license scans
 
 
-@query("op3_license_diagonals", sql_twins.licenses(licenses.templates(), licenses.NEAR, licenses.LEAST_COVER, licenses.SLACK))
+@query("op3_license_diagonals", sql_twins.licenses(licenses.templates(), licenses.NEAR, licenses.WEAK, licenses.MISSING, licenses.LOST, licenses.LEAST_COVER))
 def op3(spark, d):
     return licenses.license_scan(table(spark, d, "documents")).drop("spans")
 

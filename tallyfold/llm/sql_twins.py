@@ -57,7 +57,7 @@ select o.page_id, o.host, o.path, o.rule, coalesce(o.kind, case when p.allowed t
 from own o left join classes c using (spelling) left join per p on p.class = coalesce(c.class, o.spelling)"""
 
 
-def licenses(templates: list, near: int, least_cover: float, slack: float) -> str:
+def licenses(templates: list, near: int, weak: int, missing: int, lost: float, least_cover: float) -> str:
     """Diagonal voting over the same templates; documents must have distinct ids."""
     rows = ", ".join(
         f"({i}, '{label}', {str(base).lower()}, {k}, {len(words) - k + 1}, {at}, '{' '.join(words[at : at + k])}')"
@@ -73,16 +73,20 @@ grams as (
   select doc_id, pos, 2 as k, w[pos + 1] || ' ' || w[pos + 2] as gram from places where pos + 2 <= len(w)
   union all select doc_id, pos, 3, w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] from places where pos + 3 <= len(w)),
 votes as (
-  select doc_id, template, label, base, k, grams, pos - tpos as diagonal, count(*) as votes, min(pos) as a, max(pos) as z
-  from grams join templates using (k, gram) group by all),
+  select doc_id, template, label, base, k, grams, pos - tpos as diagonal, list(tpos) as tset, min(pos) as a, max(pos) as z
+  from grams join templates using (k, gram) group by all
+  having k = 2 or count(*) >= greatest(2, grams // {weak})),
 marked as (
-  select *, case when k = 2 or coalesce(diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) > {near}, true) then 1 else 0 end as new from votes),
+  select *, case when k = 2 or coalesce(diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) > greatest({near}, (grams + k - 1) // {near}), true)
+    then 1 else 0 end as new from votes),
 merged as (select *, sum(new) over (partition by doc_id, template order by diagonal rows unbounded preceding) as span from marked),
 spans as (
-  select doc_id, template, label, base, k, grams, span, sum(votes) as votes, min(a) as first, max(z) + max(k) - 1 as last from merged group by doc_id, template, label, base, k, grams, span),
+  select doc_id, template, label, base, k, grams, span, len(list_distinct(flatten(list(tset)))) as there, min(a) as first, max(z) + max(k) - 1 as last
+  from merged group by doc_id, template, label, base, k, grams, span),
 good as (
-  select *, least(1.0::double, votes::double / grams) as cover from spans
-  where case when k = 2 then votes = grams else least(1.0::double, votes::double / grams) >= {least_cover} and last - first + 1 <= (grams + k - 1) * {slack} end),
+  select *, there::double / grams as cover from spans
+  where case when k = 2 then there = grams else grams - there <= greatest({missing}::double, grams * {lost}::double) and there::double / grams >= {least_cover}::double
+    and last - first + 1 <= grams + k - 1 + greatest({near}, (grams + k - 1) // 4) end),
 per as (
   select doc_id, count(*) filter (base) as n_base, min(first) filter (base) as first_word, max(first) filter (base) as last_word,
     string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(cover) as score
