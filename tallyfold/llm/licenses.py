@@ -45,7 +45,9 @@ PHRASE_GRAM, NOTICE_GRAM = 2, 3
 #: grams max(MISSING, LOST of them) may be missing (a changed word costs three), yet LEAST_COVER must be there; the span may
 #: be max(NEAR, W / 4) words longer than the notice.
 NEAR, WEAK, MISSING, LOST, LEAST_COVER = 10, 50, 3, 0.3, 0.6
-#: Bits per template gram, and the most of all, in the set that rolling grams are first tried against.
+#: Up to so many different grams rolling grams are tried against a list of hashes; more are tried against a set of bits.
+FEW_GRAMS = 10_000
+#: Bits per template gram, and the most of all, in that set.
 SET_BITS, MAX_SET_BITS = 256, 1 << 24
 
 
@@ -87,9 +89,15 @@ def template_grams(known: DataFrame) -> DataFrame:
 def gram_set(grams: DataFrame, n: int) -> dict[int, Column]:
     """Per number of words a test of a gram's hash that every template gram passes, and of others about one in ``SET_BITS``.
 
-    The set is a constant of at most ``MAX_SET_BITS`` bits (2 MB); beyond the size it is made for more grams pass, and
+    Of few grams the hashes themselves are constants, which is faster to test.  Otherwise the set is a constant of at most ``MAX_SET_BITS`` bits (2 MB); beyond the size it is made for more grams pass, and
     the join with the templates sorts them out.
     """
+    if n <= FEW_GRAMS:
+        hashes: dict[int, list[int]] = {}
+        for k, h in grams.select(F.explode(F.array_distinct("places.k")), F.xxhash64("gram")).collect():  # few
+            hashes.setdefault(k, []).append(h)
+        among = lambda wanted: lambda gram: F.xxhash64(gram).isin(wanted)
+        return {k: among(wanted) for k, wanted in hashes.items()}
     bits = 64
     while bits < MAX_SET_BITS and bits < SET_BITS * n:
         bits *= 2

@@ -96,6 +96,7 @@ def test_a_gram_counts_once(spark):
 def test_whole_texts_as_templates(spark, tmp_path, monkeypatch, broadcast):
     """A catalogue of files, looked up by broadcast and by shuffle; paragraphs put in and words changed."""
     monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(module, "FEW_GRAMS", broadcast)
     texts = {f"lic-{n}": [f"w{(i * i * (n + 3) + i) % 701}" for i in range(1500 + 400 * n)] for n in range(4)}
     for name, words in texts.items():
         (tmp_path / f"{name}.txt").write_text(" ".join(words).capitalize() + ".\n")
