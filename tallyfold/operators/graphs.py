@@ -33,23 +33,39 @@ def _bond_label(first: Column, second: Column, left: Column, right: Column) -> C
     return F.coalesce(written, F.when(left.rlike(LOWER_ATOM) & right.rlike(LOWER_ATOM), ":").otherwise("-"))
 
 
-def _step(s: Column, t: Column) -> Column:
-    """State after one symbol: current atom, branch stack, pending bond, open rings, atoms and edges so far."""
+# Kinds of symbols, told once per symbol before the fold.
+_IS_ATOM, _IS_RING, _IS_BOND, _IS_OTHER = range(4)
+
+
+def _with_kind(t: Column) -> Column:
+    kind = F.when(t.rlike(ATOM), F.lit(_IS_ATOM)).when(t.rlike(RING), F.lit(_IS_RING)).when(t.rlike(BOND), F.lit(_IS_BOND)).otherwise(F.lit(_IS_OTHER))
+    return F.struct(t.alias("t"), kind.alias("kind"))
+
+
+def _step(s: Column, x: Column) -> Column:
+    """State after one symbol: current atom, branch stack, pending bond, open rings, atoms and edges so far.
+
+    Its types are those of the start, so that no step copies the lists so far by a cast.
+    """
+    t = x["t"]
     n = F.size(s["atoms"])
-    is_atom = t.rlike(ATOM)
-    is_ring = t.rlike(RING)
-    is_bond = t.rlike(BOND)
+    is_atom = x["kind"] == _IS_ATOM
+    is_ring = x["kind"] == _IS_RING
+    is_bond = x["kind"] == _IS_BOND
     match = F.get(F.filter(s["open"], lambda o: o["ring"] == t), F.lit(0))
     closes = is_ring & match.isNotNull()
     here = F.get(s["atoms"], s["cur"])
     edge_type = "struct<src:int,dst:int,bond:string>"
     chain = F.struct(s["cur"].alias("src"), n.alias("dst"), _bond_label(s["bond"], F.lit(""), here, t).alias("bond"))
-    ring = F.struct(
-        match["node"].alias("src"),
-        s["cur"].alias("dst"),
-        _bond_label(match["bond"], s["bond"], F.get(s["atoms"], match["node"]), here).alias("bond"),
-    )
     opened = F.struct(t.alias("ring"), s["cur"].alias("node"), s["bond"].alias("bond"))
+
+    def ring(m: Column) -> Column:
+        return F.struct(
+            m["node"].alias("src"),
+            s["cur"].alias("dst"),
+            _bond_label(m["bond"], s["bond"], F.get(s["atoms"], m["node"]), here).alias("bond"),
+        ).cast(edge_type)
+
     return F.struct(
         F.when(is_atom, n)
         .when(t == ")", F.get(s["stack"], F.size(s["stack"]) - 1))
@@ -67,11 +83,11 @@ def _step(s: Column, t: Column) -> Column:
         .alias("open"),
         F.when(is_atom, F.array_append(s["atoms"], t)).otherwise(s["atoms"]).alias("atoms"),
         F.when(is_atom & (s["cur"] >= 0), F.array_append(s["edges"], chain.cast(edge_type)))
-        .when(closes, F.array_append(s["edges"], ring.cast(edge_type)))
+        .when(closes, F.array_append(s["edges"], let(match, ring)))
         .otherwise(s["edges"])
         .alias("edges"),
         (s["bad"] | ((t == ")") & (F.size(s["stack"]) == 0)) | (is_ring & (s["cur"] < 0))).alias("bad"),
-    ).cast(_STATE)
+    )
 
 
 _GRAPH = "struct<atoms:array<string>,edges:array<struct<src:int,dst:int,bond:string>>,parse_ok:boolean>"
@@ -104,7 +120,7 @@ def parse_notation(df: DataFrame, text: str, name: str = "graph") -> DataFrame:
         return F.struct(end["atoms"].alias("atoms"), end["edges"].alias("edges"), ok.alias("parse_ok"))
 
     symbols = F.regexp_extract_all(source, F.lit(SYMBOL), F.lit(1))
-    return df.withColumn(name, let(symbols, lambda s: let(F.aggregate(s, start, _step), lambda end: finish(s, end))))
+    return df.withColumn(name, let(symbols, lambda s: let(F.aggregate(F.transform(s, _with_kind), start, _step), lambda end: finish(s, end))))
 
 
 BAD = ("error", "null")

@@ -38,18 +38,23 @@ def _pick(values: dict, key: Column, default) -> Column:
 
 def atom_parts(symbol: Column) -> Column:
     """Element, lower case (aromatic), charge, bracket and written hydrogens of an atom symbol."""
-    name = F.regexp_extract(symbol, ELEMENT, 1)
-    hs = F.regexp_extract(symbol, HYDROGENS, 1)
-    sign = F.regexp_extract(symbol, CHARGE, 1)
-    size = F.when(F.length(F.regexp_replace(sign, "[^0-9]", "")) > 0, F.expr("0")).otherwise(F.length(sign))
-    number = F.coalesce(F.regexp_replace(sign, "[^0-9]", "").try_cast("int"), F.lit(0)) + size
-    return F.struct(
-        F.initcap(name).alias("element"),
-        (name == F.lower(name)).alias("aromatic"),
-        F.when(sign.startswith("-"), -number).otherwise(number).cast("int").alias("charge"),
-        symbol.startswith("[").alias("bracket"),
-        F.when(hs == "", 0).otherwise(F.coalesce(F.substring(hs, 2, 3).try_cast("int"), F.lit(1))).alias("written"),
-    ).cast(_ATOM)
+
+    def found(x: Column) -> Column:
+        name, hs, sign = x["name"], x["hs"], x["sign"]
+        digits = F.regexp_replace(sign, "[^0-9]", "")
+        size = F.when(F.length(digits) > 0, F.expr("0")).otherwise(F.length(sign))
+        number = F.coalesce(digits.try_cast("int"), F.lit(0)) + size
+        return F.struct(
+            F.initcap(name).alias("element"),
+            (name == F.lower(name)).alias("aromatic"),
+            F.when(sign == "", 0).when(sign.startswith("-"), -number).otherwise(number).cast("int").alias("charge"),
+            symbol.startswith("[").alias("bracket"),
+            F.when(hs == "", 0).otherwise(F.coalesce(F.substring(hs, 2, 3).try_cast("int"), F.lit(1))).alias("written"),
+        ).cast(_ATOM)
+
+    # each part is cut out once per atom
+    name, hs, sign = F.regexp_extract(symbol, ELEMENT, 1), F.regexp_extract(symbol, HYDROGENS, 1), F.regexp_extract(symbol, CHARGE, 1)
+    return let(F.struct(name.alias("name"), hs.alias("hs"), sign.alias("sign")), found)
 
 
 def hydrogens(atom: Column, bonds: Column) -> Column:
@@ -68,7 +73,7 @@ def hydrogens(atom: Column, bonds: Column) -> Column:
 def _parents(atoms: Column, edges: Column) -> Column:
     """Index of the first bond that leads to each atom from an earlier one, null at the start of a part."""
     positions = F.transform(edges, lambda e, i: F.struct(e["dst"].alias("dst"), e["src"].alias("src"), i.alias("at")))
-    return F.transform(atoms, lambda a, i: F.get(F.filter(positions, lambda e: (e["dst"] == i) & (e["src"] < i)), F.lit(0)))
+    return let(positions, lambda ps: F.transform(atoms, lambda a, i: F.get(F.filter(ps, lambda e: (e["dst"] == i) & (e["src"] < i)), F.lit(0))))
 
 
 def _ring_walk(parents: Column, n: Column, edge: Column) -> Column:
@@ -119,7 +124,8 @@ def perceive(df: DataFrame, text: str, name: str = "structure") -> DataFrame:
 
     def with_parents(atoms: Column, edges: Column, parents: Column) -> Column:
         tree = F.transform(F.filter(parents, lambda p: p.isNotNull()), lambda p: p["at"])
-        closing = F.filter(F.transform(edges, lambda e, i: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), i.alias("at"))), lambda e: ~F.array_contains(tree, e["at"]))
+        numbered = F.transform(edges, lambda e, i: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), i.alias("at")))
+        closing = let(tree, lambda ts: F.filter(numbered, lambda e: ~F.array_contains(ts, e["at"])))
 
         def ring(e: Column) -> Column:
             bonds = F.transform(_ring_walk(parents, F.size(atoms), e), lambda v: F.get(parents, v)["at"])
@@ -131,12 +137,12 @@ def perceive(df: DataFrame, text: str, name: str = "structure") -> DataFrame:
     def finish(atoms: Column, edges: Column, walks: Column, rings: Column) -> Column:
         ringed = F.array_distinct(F.flatten(walks))
 
-        def bond(e: Column, i: Column) -> Column:
-            held = F.array_contains(ringed, i)
+        def bond(e: Column, i: Column, on: Column) -> Column:
+            held = F.array_contains(on, i)
             label = F.when((e["bond"] == ":") & ~held, "-").otherwise(e["bond"])  # between two rings
             return F.struct(e["src"].alias("src"), e["dst"].alias("dst"), label.alias("label"), held.alias("in_ring"))
 
-        bonds = F.transform(edges, bond)
+        bonds = let(ringed, lambda on: F.transform(edges, lambda e, i: bond(e, i, on)))
 
         def described(a: Column, i: Column, bs: Column) -> Column:
             mine = F.filter(bs, lambda b: (b["src"] == i) | (b["dst"] == i))
@@ -188,11 +194,12 @@ def perceive(df: DataFrame, text: str, name: str = "structure") -> DataFrame:
 
             ends = F.flatten(F.transform(on, lambda i: F.array(F.get(bonds, i)["src"], F.get(bonds, i)["dst"])))
 
-            def atom(a: Column, i: Column) -> Column:
+            def atom(a: Column, i: Column, held: Column) -> Column:
                 fields = ["charge", "hydrogens", "degree", "in_ring"]
-                return F.struct(a["element"].alias("element"), (a["aromatic"] | F.array_contains(ends, i)).alias("aromatic"), *[a[c].alias(c) for c in fields])
+                return F.struct(a["element"].alias("element"), (a["aromatic"] | F.array_contains(held, i)).alias("aromatic"), *[a[c].alias(c) for c in fields])
 
-            return F.struct(F.transform(atoms, atom).alias("atoms"), F.transform(bonds, bond).alias("bonds"), rings.alias("rings"))
+            marked = let(ends, lambda held: F.transform(atoms, lambda a, i: atom(a, i, held)))
+            return F.struct(marked.alias("atoms"), F.transform(bonds, bond).alias("bonds"), rings.alias("rings"))
 
         return let(F.array_distinct(F.flatten(F.filter(rings, is_aromatic))), mark)
 
@@ -306,20 +313,35 @@ def _new_bonds(pattern: Pattern, k: int) -> list[tuple[int, str]]:
     return [(a if b == k else b, labels) for a, b, labels in pattern.bonds if max(a, b) == k]
 
 
+NUMBERED = "transform({}, (a, i) -> struct(a, i))"
+# the bonds are worked out before they are dealt to the atoms, not once more for each
+NEAR = "get(transform(array({1}), ls -> transform({0}, (a, i) -> filter(ls, e -> e.src = i))), 0)"
+
+
 def count_pattern(pattern: Pattern, atoms: str, links: str) -> Column:
-    """How many different sets of atoms hold the pattern; ``links`` names every bond in both directions with its far atom.
+    """How many different sets of atoms hold the pattern; ``links`` names every bond in both directions with its far atom."""
+    numbered, near = NUMBERED.format(atoms), NEAR.format(atoms, links)
+    return F.expr(f"get(transform(array({near}), near -> {_count_near(pattern, numbered, 'near')}), 0)")
+
+
+def _count_near(pattern: Pattern, numbered: str, near: str) -> str:
+    """The count from numbered atoms and the bonds that leave each of them.
 
-    Placings grow by one atom at a time along the pattern's bonds, so only what fits so far is carried on; bonds back to
-    atoms already placed are tested on the way.  Placings on the same atoms are one hit.
+    Placings grow by one atom at a time along the pattern's bonds, so only what fits so far is carried on, and a step
+    reads the bonds of one atom, not those of the whole graph; bonds back to atoms already placed are tested on the way.
+    Placings on the same atoms are one hit.
     """
-    numbered = f"transform({atoms}, (a, i) -> struct(a, i))"
-    placed = f"transform(filter({numbered}, x -> {_fits(pattern.atoms[0], 'x.a.')}), x -> array(x.i))"
+    first = f"filter({numbered}, x -> {_fits(pattern.atoms[0], 'x.a.')})"
+    if len(pattern.atoms) == 1:
+        return f"size({first})"
+    placed = f"transform({first}, x -> array(x.i))"
     for k in range(1, len(pattern.atoms)):
         (at, labels), *others = _new_bonds(pattern, k)
-        tests = [f"e.src = m[{at}]", _bond_fits(pattern, labels, "e."), _fits(pattern.atoms[k], "e.far."), "not array_contains(m, e.dst)"]
-        tests += [f"exists({links}, o -> o.src = m[{j}] and o.dst = e.dst and {_bond_fits(pattern, also, 'o.')})" for j, also in others]
-        placed = f"flatten(transform({placed}, m -> transform(filter({links}, e -> {' and '.join(tests)}), e -> array_append(m, e.dst))))"
-    return F.expr(f"size(array_distinct(transform({placed}, m -> array_sort(m))))")
+        tests = [_bond_fits(pattern, labels, "e."), _fits(pattern.atoms[k], "e.far."), "not array_contains(m, e.dst)"]
+        tests += [f"exists(get({near}, m[{j}]), o -> o.dst = e.dst and {_bond_fits(pattern, also, 'o.')})" for j, also in others]
+        tests = [t for t in tests if t != "true"]
+        placed = f"flatten(transform({placed}, m -> transform(filter(get({near}, m[{at}]), e -> {' and '.join(tests)}), e -> array_append(m, e.dst))))"
+    return f"size(array_distinct(transform({placed}, m -> array_sort(m))))"
 
 
 def structure_key_bits(df: DataFrame, text: str, keys: Sequence[StructureKey] = STRUCTURE_KEYS, name: str = "bits") -> DataFrame:
@@ -332,13 +354,14 @@ def structure_key_bits(df: DataFrame, text: str, keys: Sequence[StructureKey] =
         way = lambda src, dst: F.struct(src.alias("src"), dst.alias("dst"), b["label"].alias("label"), b["in_ring"].alias("in_ring"), F.get(s["atoms"], dst).alias("far"))
         return F.array(way(b["src"], b["dst"]), way(b["dst"], b["src"]))
 
-    # links once per row; then one count per pattern, whatever the number of keys
+    # numbered atoms and the bonds of each once per row; then one count per pattern, whatever the number of keys
     seen = seen.withColumn("_links", F.flatten(F.transform(s["bonds"], both_ways)))
-    counts = F.array(*[count_pattern(p, "_s.atoms", "_links") for p in patterns])
+    seen = seen.withColumns({"_near": F.expr(NEAR.format("_s.atoms", "_links")), "_atoms": F.expr(NUMBERED.format("_s.atoms"))})
+    counts = F.expr(f"array({', '.join(_count_near(p, '_atoms', '_near') for p in patterns)})")
     seen = seen.withColumn("_counts", F.when(s["parse_ok"], counts))
     hits = [F.when(F.get("_counts", F.lit(patterns.index(k.pattern))) >= k.min_count, F.lit(k.key)) for k in sorted(keys, key=lambda k: k.key)]
     bits = F.when(F.col("_counts").isNotNull(), F.array_compact(F.array(*hits)).cast("array<int>"))
-    return seen.withColumn(name, bits).drop("_s", "_links", "_counts")
+    return seen.withColumn(name, bits).drop("_s", "_links", "_near", "_atoms", "_counts")
 
 
 def match_in_tables(nodes: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
