@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
+from tallyfold.functions.hashing import fold_distinct, md5_60
+from tallyfold.operators import fingerprints as fp
 from tallyfold.operators import structure as st
 
 
@@ -40,3 +42,18 @@ def test_a_placing_reads_the_bonds_of_one_atom():
         text = st._count_near(p, "atoms", "near")
         assert "e.src" not in text and "o.src" not in text
         assert text.count("get(near, m[") >= len(p.bonds)
+
+
+@pytest.mark.parametrize("n_bits", [2, 64, 100, 256, 1 << 30])
+def test_positions_from_the_last_digits_are_those_of_the_whole_hash(spark, n_bits):
+    texts = [f"{i}:w{i % 40} x" for i in range(200)] + [""]
+    df = spark.createDataFrame([(texts,), ([],)], "t array<string>")
+    want = F.array_sort(F.array_distinct(F.transform("t", lambda t: F.pmod(md5_60(t), F.lit(n_bits)).cast("int"))))
+    got = df.select(fold_distinct(F.col("t"), n_bits, "md5").alias("got"), want.alias("want")).collect()
+    assert all(r.got == r.want for r in got) and got[1].got == []
+
+
+def test_numbers_are_read_after_repeats_are_gone(spark):
+    df = fp.token_chain_bits(spark.createDataFrame([("a b a b",)], "t string"), "t", 2, 256)
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("conv(") == 1  # not once in every round
