@@ -17,8 +17,10 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # Unicode White_Space, as the pre-tokenizer's \s: fixed values
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 MULTIPLIER = 0x9E3779B97F4A7C15
-#: Names kept per worker: at most this many; beyond, the table starts anew.
-MAX_NAMES = 1_500_000
+#: Names kept per worker, and ids of all of them: at most this many; beyond, the table starts anew.
+MAX_NAMES, MAX_IDS = 1_500_000, 12_000_000
+#: Words given to the tokenizer at a time: it holds some hundred bytes per token of a call beside the ids.
+LEARNED = 4_096
 #: Longer texts are encoded in parts.
 LONG = 2_000_000
 
@@ -88,8 +90,8 @@ class WordTokenizer:
 
     def clear(self) -> None:
         self.names = np.empty(0, np.uint64)  # sorted
-        self.place = np.empty((0, 2), np.int64)  # start and length in ids
-        self.ids = np.empty(0, np.uint32)
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int32)  # of each name in ids
+        self.ids, self.n_ids = np.empty(0, np.uint32), 0  # with room at the end
 
     def powers(self, n: int) -> None:
         if len(self.power) <= n:
@@ -101,16 +103,27 @@ class WordTokenizer:
             self.power, self.inverse = np.multiply.accumulate(step), np.multiply.accumulate(back)
 
     def learn(self, names: np.ndarray, words: list[str]) -> None:
-        """Tokenize words not met before and add them to the table."""
-        if len(self.names) + len(names) > MAX_NAMES:
+        """Tokenize words not met before, whose names ascend, and add them to the table."""
+        if len(self.names) + len(names) > MAX_NAMES or self.n_ids > MAX_IDS:
             self.clear()
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        sizes = np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(words))
-        place = np.stack([len(self.ids) + np.cumsum(sizes) - sizes, sizes], 1)
-        self.ids = np.concatenate([self.ids, np.asarray(got.ids, np.uint32)])
-        all_names = np.concatenate([self.names, names])
-        order = np.argsort(all_names, kind="stable")
-        self.names, self.place = all_names[order], np.concatenate([self.place, place])[order]
+        ids, sizes = [], []
+        for at in range(0, len(words), LEARNED):
+            some = words[at : at + LEARNED]
+            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            sizes.append(np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(some)))
+            ids.append(np.asarray(got.ids, np.uint32))
+        sizes = np.concatenate(sizes)
+        stops = self.n_ids + np.cumsum(sizes)
+        if stops[-1] > len(self.ids):
+            more = np.empty(int(stops[-1]) * 5 // 4, np.uint32)
+            more[: self.n_ids] = self.ids[: self.n_ids]
+            self.ids = more
+        self.ids[self.n_ids : stops[-1]] = np.concatenate(ids)
+        self.n_ids = int(stops[-1])
+        # both sides are sorted
+        spot = np.searchsorted(self.names, names)
+        self.names = np.insert(self.names, spot, names)
+        self.begin, self.size = np.insert(self.begin, spot, stops - sizes), np.insert(self.size, spot, sizes)
 
     def _encode_long(self, text: str) -> np.ndarray:
         """Cut where a blank or line feed follows something else: a pre-token always starts there."""
@@ -160,15 +173,14 @@ class WordTokenizer:
         inside = spot < len(self.names)
         known[inside] = self.names[spot[inside]] == uniq[inside]
         if not known.all():
-            if len(self.names) + (~known).sum() > MAX_NAMES:
+            if len(self.names) + (~known).sum() > MAX_NAMES or self.n_ids > MAX_IDS:
                 self.clear()
                 known[:] = False
             new = one[~known]
             self.learn(uniq[~known], [joined[a:b] for a, b in zip(at[new].tolist(), to[new].tolist())])
             spot = np.searchsorted(self.names, uniq)
-        place = self.place[spot][back]
-        sizes = place[:, 1]
+        sizes = self.size[spot][back].astype(np.int64)
         total = np.cumsum(sizes)
-        source = np.repeat(place[:, 0] - (total - sizes), sizes) + np.arange(total[-1])
+        source = np.repeat(self.begin[spot][back] - (total - sizes), sizes) + np.arange(total[-1])
         before = np.append(0, total)[np.searchsorted(at, np.append(ends - lengths, n))]
         return self.ids[source], np.diff(before)

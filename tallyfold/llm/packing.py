@@ -15,6 +15,8 @@ from tallyfold.llm.bpe import WordTokenizer
 from tallyfold.llm.common import doc_batches, running_start, small_batches, staged, text_of, worker_cached
 
 CAPACITY = 2048
+#: Texts are tokenized in parts of about this many characters; a part stands some ten times in a worker's memory.
+PIECE_CHARS = 300_000
 #: At most about this many patterns are enumerated, whatever the capacity.
 MAX_PATTERNS = 400_000
 #: The fit is rounded after each of these numbers of sweeps; the plan with the fewest sequences is taken.
@@ -32,7 +34,7 @@ def token_pieces(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = worker_cached(tokenizer, lambda: WordTokenizer(tokenizer))
-        for frame in doc_batches(frames, 1_500_000):
+        for frame in doc_batches(frames, PIECE_CHARS):
             ids, sizes = words.encode(frame["text"].tolist())
             stops = np.cumsum(sizes)
             ids = np.insert(ids, stops, end_id).astype("<u4")
@@ -252,6 +254,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Tokenize whole texts and pack them; see :func:`token_pieces` and :func:`pack`.  Other columns are ignored."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, "2m", 500):
         pieces = staged(token_pieces(docs, tokenizer, id_col, text_col, capacity, with_ids=with_ids), "pieces")
     return pack(pieces, capacity)

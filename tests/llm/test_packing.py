@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -9,7 +11,8 @@ from tokenizers import Tokenizer
 
 from tallyfold.llm import bpe
 from tallyfold.llm.bpe import WordTokenizer
-from tallyfold.llm.packing import best_fit_decreasing, pack_documents, plan_patterns
+from tallyfold.llm.common import doc_batches
+from tallyfold.llm.packing import PIECE_CHARS, best_fit_decreasing, pack_documents, plan_patterns
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -46,6 +49,30 @@ def test_same_ids_in_parts_with_added_tokens_and_after_a_fresh_start(plain, word
     assert split(words.encode(texts)) == want
 
 
+def test_a_worker_tokenizes_in_small_parts(words, monkeypatch):
+    frame = pd.DataFrame({"text": [" ".join(f"w{i:x}v{j}" for j in range(100)) for i in range(2_000)]})
+    parts = list(doc_batches([frame], PIECE_CHARS))
+    want = [split(words.encode(p["text"].tolist())) for p in parts]
+    words.clear()
+    asked = []
+
+    class Watched:
+        def encode(self, texts, **how):
+            asked.append(len(texts))
+            return inner.encode(texts, **how)
+
+    inner = words.tokenizer
+    monkeypatch.setattr(words, "tokenizer", Watched())
+    tracemalloc.start()
+    got = [split(words.encode(p["text"].tolist())) for p in parts]
+    most = tracemalloc.get_traced_memory()[1] - sum(len(i) for p in got for i in p) * 36
+    tracemalloc.stop()
+    assert got == want and max(asked) <= bpe.LEARNED and most < 60e6
+    monkeypatch.setattr(bpe, "MAX_IDS", 5_000)  # the table starts anew
+    assert [split(words.encode(p["text"].tolist())) for p in parts] == want
+    assert words.n_ids < 1_000_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 60), st.lists(st.integers(0, 40), min_size=1, max_size=60))
 def test_plans_hold_every_piece_once(capacity, some):
