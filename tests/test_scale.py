@@ -57,3 +57,11 @@ def test_numbers_are_read_after_repeats_are_gone(spark):
     df = fp.token_chain_bits(spark.createDataFrame([("a b a b",)], "t string"), "t", 2, 256)
     plan = df._jdf.queryExecution().analyzed().toString()
     assert plan.count("conv(") == 1  # not once in every round
+
+
+def test_positions_are_sorted_as_plain_numbers(spark):
+    for hash, n_bits in (("md5", 256), ("md5", 100), ("xx", 1024)):
+        df = fp.token_chain_bits(spark.createDataFrame([("a b a c d e",)], "t string"), "t", 1, n_bits, hash=hash)
+        assert "array_sort(" not in df._jdf.queryExecution().toString().split("Optimized")[1]
+        bits = df.first().bits
+        assert bits == sorted(set(bits)) and len(bits) > 5
